@@ -20,6 +20,11 @@ def _round(c: Column, digits: int) -> Column:
     return F.round(c.try_cast("decimal(38,6)"), digits).cast("double")
 
 
+def money(c: Column) -> Column:
+    """Exact two-digit amount for sums: independent of the order of addition."""
+    return F.round(c.try_cast("decimal(38,6)"), 2).cast("decimal(20,2)")
+
+
 def round2(c: Column) -> Column:
     """Two-digit rounding through DECIMAL, so that engines agree (null beyond 1e32)."""
     return _round(c, 2)

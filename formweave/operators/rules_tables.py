@@ -181,7 +181,7 @@ def repeated_forms(docs: DataFrame) -> DataFrame:
 # --- amounts across documents ------------------------------------------------------------------------------------
 def income_conflicts(amounts: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """State against federal income per client (client_id, level 'state'/'federal', amount)."""
-    a = F.col("amount").cast("decimal(20,2)")
+    a = S.money(F.col("amount"))
     s = amounts.groupBy("client_id").agg(F.sum(F.when(F.col("level") == "state", a)).alias("st"), F.sum(F.when(F.col("level") == "federal", a)).alias("fd"))
     st, fd = F.coalesce("st", F.lit(0)), F.coalesce("fd", F.lit(0))
     conflict = s.where((st != 0) & (fd != 0) & (F.abs(st - fd) > t.state_federal_gap))
