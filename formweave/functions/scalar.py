@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,6 +36,15 @@ def round3(c: Column) -> Column:
     return _round(c, 3)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``.
+
+    Lambdas of higher-order functions evaluate outer expressions again for every element; a value bound
+    this way is computed once per row.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def floor_zero(c: Column) -> Column:
     """max(0, c) that keeps null (``greatest`` would skip it)."""
     return F.when(c > 0, c).when(c.isNotNull(), F.lit(0.0))

@@ -98,8 +98,8 @@ def classify(excs: Column, m: Column, t: Thresholds = DEFAULTS) -> Column:
     r = Record(m)
     keyed = F.transform(F.filter(excs, lambda e: F.coalesce(e["field"], F.lit("")) != ""),
                         lambda e: F.struct(F.concat_ws(":", e["code"], e["field"]).alias("k"), e.alias("e")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    first = F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1)
+    first = S.let(keyed, lambda a: S.let(F.transform(a, lambda x: x["k"]), lambda keys: F.filter(
+        a, lambda x, i: F.array_position(keys, x["k"]) == i + 1)))
     hints = F.create_map(*[F.lit(x) for kv in V.EDIT_HINTS.items() for x in kv])
 
     def facts(x: Column) -> Column:

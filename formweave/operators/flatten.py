@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalar as S
-from .records import field_struct
+from .records import field_struct, settle
 
 MAX_DEPTH = 6
 NODE_TYPE = "struct<path:string,dotted:string,prefix:string,key:string,field:string,group:string,raw:string,kind:string>"
@@ -33,22 +33,26 @@ def _kind_of(v: Column) -> Column:
     )
 
 
+def _with_kind(texts: Column, variants: Column) -> Column:
+    """Pair raw values with their kinds; both sides are parsed once."""
+    return F.zip_with(texts, variants, lambda e, v: F.struct(e.alias("e"), _kind_of(v).alias("kind")))
+
+
 def _open_object(raw: Column, path: Column, dotted: Column, prefix: Column, group: Column) -> Column:
     """Entries of one JSON object in document order."""
-    texts = F.map_entries(F.from_json(raw, "map<string,string>"))
-    kinds = F.transform(F.map_values(F.from_json(raw, "map<string,variant>")), _kind_of)
+    entries = _with_kind(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")))
 
-    def node(e: Column, i: Column) -> Column:
-        k = e["key"]
+    def node(x: Column, i: Column) -> Column:
+        k = x["e"]["key"]
         return F.struct(
             F.concat_ws(".", F.nullif(path, F.lit("")), k).alias("path"),
             F.concat_ws(".", F.nullif(dotted, F.lit("")), k).alias("dotted"),
             prefix.alias("prefix"), k.alias("key"), F.concat(prefix, bare_key(k)).alias("field"),
             F.concat(group, F.lpad((i + 1).cast("string"), 4, "0")).alias("group"),
-            e["value"].alias("raw"), F.get(kinds, i).alias("kind"),
+            x["e"]["value"].alias("raw"), x["kind"].alias("kind"),
         )
 
-    return F.transform(texts, node)
+    return F.transform(entries, node)
 
 
 def _list_of_objects(raw: Column) -> Column:
@@ -68,13 +72,12 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
         )
 
     def open_scalars(n: Column) -> Column:
-        items = F.from_json(n["raw"], "array<string>")
-        kinds = F.transform(F.from_json(n["raw"], "array<variant>"), _kind_of)
-        return F.transform(items, lambda it, i: F.struct(
+        items = _with_kind(F.from_json(n["raw"], "array<string>"), F.from_json(n["raw"], "array<variant>"))
+        return F.transform(items, lambda x, i: F.struct(
             F.concat_ws(".", n["path"], i.cast("string")).alias("path"),
             F.concat_ws(".", n["dotted"], i.cast("string")).alias("dotted"), n["prefix"].alias("prefix"),
-            n["key"].alias("key"), n["field"].alias("field"), n["group"].alias("group"), it.alias("raw"),
-            F.get(kinds, i).alias("kind")))
+            n["key"].alias("key"), n["field"].alias("field"), n["group"].alias("group"), x["e"].alias("raw"),
+            x["kind"].alias("kind")))
 
     def expand(n: Column) -> Column:
         c = F.when(n["kind"] == "dict", F.coalesce(_open_object(
@@ -94,9 +97,10 @@ def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", dept
                lists_of_scalars: bool = False) -> DataFrame:
     """Leaves of the payload in depth-first order. One projection per level keeps each expression small."""
     root = _open_object(F.col(payload), F.lit(""), F.lit(""), F.lit(""), F.lit(""))
-    df = df.withColumn(out, F.coalesce(root, F.array().cast(f"array<{NODE_TYPE}>")))
+    # settled per level: a level refers to the one below several times
+    df = settle(df, **{out: F.coalesce(root, F.array().cast(f"array<{NODE_TYPE}>"))})
     for _ in range(depth - 1):
-        df = df.withColumn(out, _step(F.col(out), lists_of_scalars))
+        df = settle(df, **{out: _step(F.col(out), lists_of_scalars)})
     return df
 
 
@@ -120,7 +124,7 @@ def _last_wins(nodes: Column) -> Column:
     """One node per field: first position, last value."""
     names = F.transform(nodes, lambda n: n["field"])
     distinct = F.array_distinct(names)
-    merged = F.transform(distinct, lambda k: F.element_at(F.filter(nodes, lambda n: n["field"] == k), -1))
+    merged = F.transform(distinct, lambda k: F.try_element_at(F.filter(nodes, lambda n: n["field"] == k), F.lit(-1)))
     return F.when(F.size(distinct) == F.size(names), nodes).otherwise(merged)
 
 
@@ -164,10 +168,10 @@ def flatten_payload(df: DataFrame, payload: str = "payload", keep_metadata: bool
     d = with_nodes(df, payload, "_n")
     n = F.col("_n")
     if not keep_metadata:
-        d = d.withColumn("_n", F.filter(n, lambda x: ~x["path"].startswith("extraction_metadata.")))
-    d = d.withColumn("_n", _last_wins(n))
-    d = d.withColumn("_n", _with_person_name(n))
-    d = d.withColumn("_n", _renamed(n, aliases))
+        d = settle(d, _n=F.filter(n, lambda x: ~x["path"].startswith("extraction_metadata.")))
+    d = settle(d, _n=_last_wins(n))
+    d = settle(d, _n=_with_person_name(n))
+    d = settle(d, _n=_renamed(n, aliases))
 
     def typed(x: Column, i: Column) -> Column:
         v = _typed(x)
@@ -198,8 +202,17 @@ def find_name(nodes: Column) -> Column:
     Inside one object the order is: client-name keys, then first plus last name, then entity-name keys.
     An object is identified by the group path of its entries, so list items never take part.
     """
-    own = F.filter(nodes, lambda n: ~n["group"].contains("-"))
-    text = F.filter(own, lambda n: (n["kind"] == "str") & (S.strip(n["raw"]) != ""))
+    def usable(n: Column) -> Column:
+        k = F.lower(n["key"])
+        named = (k == "name") | k.endswith("_name") | _ends_with_any(k, V.CLIENT_NAME_SUFFIXES + V.ENTITY_NAME_SUFFIXES)
+        return ~n["group"].contains("-") & (n["kind"] == "str") & named
+
+    # only the few name-like text fields take part in the steps below
+    return S.let(F.filter(nodes, usable), _first_name)
+
+
+def _first_name(own: Column) -> Column:
+    text = F.filter(own, lambda n: S.strip(n["raw"]) != "")
 
     def container(n: Column) -> Column:
         # groups are 4-digit ordinals per level: the container is everything before the last one
@@ -219,8 +232,7 @@ def find_name(nodes: Column) -> Column:
             # the last key of each kind inside the object counts
             other = F.try_element_at(F.filter(lasts, lambda x: container(x) == container(f)), F.lit(-1))
             newest = F.try_element_at(F.filter(firsts, lambda x: container(x) == container(f)), F.lit(-1))
-            ok = (newest["group"] == f["group"]) & (f["kind"] == "str") & (other["kind"] == "str") & (
-                S.strip(f["raw"]) != "") & (S.strip(other["raw"]) != "")
+            ok = (newest["group"] == f["group"]) & (S.strip(f["raw"]) != "") & (S.strip(other["raw"]) != "")
             return F.when(ok, F.struct(container(f).alias("c"), F.lit(2 + i).alias("p"), f["group"].alias("g"),
                                        F.concat_ws(" ", S.strip(f["raw"]), S.strip(other["raw"])).alias("v")))
 

@@ -43,11 +43,12 @@ def field_scores(fields: Column, excs: Column, pdf_type: Column, verified: Colum
         fixed = F.transform(F.filter(corrections, lambda c: c["status"] == "corrected"), lambda c: c["field"])
         failed = F.transform(F.filter(corrections, lambda c: c["status"].isin("failed", "no_change")), lambda c: c["field"])
     digital = F.coalesce(pdf_type == "digital", F.lit(False))
-    return F.transform(fields, lambda x: F.struct(
+    facts = F.struct(blocking.alias("blk"), warning.alias("wrn"), fixed.alias("cor"), failed.alias("fail"))
+    return S.let(facts, lambda k: F.transform(fields, lambda x: F.struct(
         x["field"].alias("field"),
-        ladder(_in(verified, x["field"]), x["kind"] == "null", _in(failed, x["field"]), _in(blocking, x["field"]),
-               _in(fixed, x["field"]), _in(warning, x["field"]), digital).alias("score"),
-    ))
+        ladder(_in(verified, x["field"]), x["kind"] == "null", _in(k["fail"], x["field"]), _in(k["blk"], x["field"]),
+               _in(k["cor"], x["field"]), _in(k["wrn"], x["field"]), digital).alias("score"),
+    )))
 
 
 def document_score(scores: Column, t: Thresholds = DEFAULTS) -> list[Column]:
