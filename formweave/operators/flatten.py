@@ -205,14 +205,14 @@ def find_name(nodes: Column) -> Column:
     def usable(n: Column) -> Column:
         k = F.lower(n["key"])
         named = (k == "name") | k.endswith("_name") | _ends_with_any(k, V.CLIENT_NAME_SUFFIXES + V.ENTITY_NAME_SUFFIXES)
-        return ~n["group"].contains("-") & (n["kind"] == "str") & named
+        return ~n["group"].contains("-") & named
 
-    # only the few name-like text fields take part in the steps below
+    # only the few name-like fields take part in the steps below
     return S.let(F.filter(nodes, usable), _first_name)
 
 
 def _first_name(own: Column) -> Column:
-    text = F.filter(own, lambda n: S.strip(n["raw"]) != "")
+    text = F.filter(own, lambda n: (n["kind"] == "str") & (S.strip(n["raw"]) != ""))
 
     def container(n: Column) -> Column:
         # groups are 4-digit ordinals per level: the container is everything before the last one
@@ -232,7 +232,7 @@ def _first_name(own: Column) -> Column:
             # the last key of each kind inside the object counts
             other = F.try_element_at(F.filter(lasts, lambda x: container(x) == container(f)), F.lit(-1))
             newest = F.try_element_at(F.filter(firsts, lambda x: container(x) == container(f)), F.lit(-1))
-            ok = (newest["group"] == f["group"]) & (S.strip(f["raw"]) != "") & (S.strip(other["raw"]) != "")
+            ok = (newest["group"] == f["group"]) & (f["kind"] == "str") & (other["kind"] == "str") & (S.strip(f["raw"]) != "") & (S.strip(other["raw"]) != "")
             return F.when(ok, F.struct(container(f).alias("c"), F.lit(2 + i).alias("p"), f["group"].alias("g"),
                                        F.concat_ws(" ", S.strip(f["raw"]), S.strip(other["raw"])).alias("v")))
 

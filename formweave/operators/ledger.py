@@ -69,8 +69,12 @@ def status_updates(updates: DataFrame, like: DataFrame) -> DataFrame:
     return u.select(*[c for c in u.columns if c in like.columns], *missing).select(like.columns)
 
 
-def history(prepared: DataFrame, chunk: str = "hour") -> DataFrame:
-    """Every event with upload_count, version, content_changed and carried values after the event."""
+def history(prepared: DataFrame, chunk: str = "hour", prior: DataFrame | None = None) -> DataFrame:
+    """Every event with upload_count, version, content_changed and carried values after the event.
+
+    ``prior`` is an earlier ledger state (see ``running_state``); it enters as the oldest chunk total of its
+    document, so a stream can continue where the last batch ended.
+    """
     key = ["document_id", "chunk"]
     d = prepared.withColumn("chunk", F.date_trunc(chunk, "ts")).withColumn("at", F.struct("ts", "seq"))
     submit = F.col("kind") == "submit"
@@ -95,6 +99,11 @@ def history(prepared: DataFrame, chunk: str = "hour") -> DataFrame:
         F.sum(submit.cast("long")).alias("n"), F.sum("chg").alias("n_chg"),
         F.min_by("sig", F.when(submit, F.col("at"))).alias("first_sig"),
         F.max_by("sig", F.when(submit, F.col("at"))).alias("last_sig"), *[latest(c) for c in CARRIED])
+    if prior is not None:
+        totals = totals.unionByName(prior.select(
+            "document_id", F.lit("0001-01-01").cast("timestamp").alias("chunk"), F.col("upload_count").alias("n"),
+            (F.col("version") - 1).alias("n_chg"), F.col("sig").alias("first_sig"), F.col("sig").alias("last_sig"),
+            *[F.col(c).alias(f"p_{c}") for c in CARRIED]))
     cw = Window.partitionBy("document_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before_sig", F.last("last_sig", ignorenulls=True).over(cw)).withColumn(
         "first_chg", (F.col("first_sig").isNotNull() & ~F.col("first_sig").eqNullSafe(F.col("before_sig"))).cast("long"))
@@ -110,12 +119,22 @@ def history(prepared: DataFrame, chunk: str = "hour") -> DataFrame:
         "version": F.col("base_v") + started + F.col("v_local"),
         "content_changed": F.when(submit, F.when(first_submit, F.col("first_chg") == 1).otherwise(F.col("chg") == 1)),
     })
-    drop = ["chunk", "n_local", "prev_sig", "chg", "v_local", "first_chg", "base_n", "base_v", "sig",
+    drop = ["chunk", "n_local", "prev_sig", "chg", "v_local", "first_chg", "base_n", "base_v",
             *[f"l_{c}" for c in CARRIED], *[f"c_{c}" for c in CARRIED]]
     # a status event on a document that does not exist yet has no effect
     return out.withColumns({c: F.coalesce(f"l_{c}", f"c_{c}") for c in CARRIED}).where("upload_count > 0").drop(*drop)
 
 
+def running_state(hist: DataFrame) -> DataFrame:
+    """What a later batch needs to continue: counters, last content, carried values, newest event time."""
+    submit = F.col("kind") == "submit"
+    g = hist.groupBy("document_id").agg(
+        F.max("upload_count").alias("upload_count"), F.max("version").alias("version"),
+        F.max_by("sig", F.when(submit, F.col("at"))).alias("sig"), F.max_by(F.struct(*CARRIED), "at").alias("kept"),
+        F.max_by("status", "at").alias("status"), F.max("ts").alias("last_ts"))
+    return g.select("document_id", "upload_count", "version", "sig", "kept.*", "status", "last_ts")
+
+
 def canonical_names(prepared: DataFrame) -> DataFrame:
     """First spelling of each client name."""
     return prepared.where("kind = 'submit' and client_key <> ''").groupBy("client_key").agg(
