@@ -104,20 +104,26 @@ def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", dept
     return df
 
 
-def _typed(n: Column) -> Column:
-    """Field struct of a leaf, after number coercion of numeric-looking text."""
+def _number_of(n: Column) -> Column:
+    """Number of a leaf: a JSON number, or text that looks like an amount."""
     text = S.strip(n["raw"])
-    coerces = (n["kind"] == "str") & text.rlike(_COERCE_RE)
-    number = F.when(coerces, F.regexp_replace(text, "[$,]", "").try_cast("double")).when(
+    return F.when((n["kind"] == "str") & text.rlike(_COERCE_RE), F.regexp_replace(text, "[$,]", "").try_cast("double")).when(
         n["kind"] == "num", n["raw"].try_cast("double"))
-    kind = F.when(coerces & number.isNotNull(), "num").when(n["kind"].isin("dict", "list"), "list").otherwise(n["kind"])
+
+
+def _typed(n: Column, number: Column, pos: Column) -> Column:
+    """Field struct of a leaf whose number was worked out beforehand."""
+    k = n["kind"]
+    is_num, is_list = number.isNotNull(), k.isin("dict", "list")
+    kind = F.when(is_num, "num").when(is_list, "list").otherwise(k)
     shown = (
-        F.when(kind == "null", F.lit(None).cast("string"))
-        .when(kind == "bool", F.when(n["raw"] == "true", "True").otherwise("False"))
-        .when(n["kind"] == "num", n["raw"]).when(kind == "num", S.plain_number_text(number)).otherwise(n["raw"])
+        F.when(k == "null", F.lit(None).cast("string"))
+        .when(k == "bool", F.when(n["raw"] == "true", "True").otherwise("False"))
+        .when((k == "num") | ~is_num, n["raw"]).otherwise(S.plain_number_text(number))
     )
-    d = F.when(kind == "num", number).when(kind == "str", S.lenient_number(n["raw"]))
-    return field_struct(0, n["field"], kind, shown, d, F.when(kind == "bool", n["raw"] == "true"))
+    lenient = S.let(n["raw"], S.lenient_number)
+    return field_struct(pos, n["field"], kind, shown, F.when((k == "str") & ~is_num, lenient).otherwise(number),
+                        F.when(k == "bool", n["raw"] == "true"))
 
 
 def _last_wins(nodes: Column) -> Column:
@@ -173,15 +179,15 @@ def flatten_payload(df: DataFrame, payload: str = "payload", keep_metadata: bool
     d = settle(d, _n=_with_person_name(n))
     d = settle(d, _n=_renamed(n, aliases))
 
-    def typed(x: Column, i: Column) -> Column:
-        v = _typed(x)
+    def number(x: Column) -> Column:
+        value = _number_of(x)
         if strict_ids:
             is_id = x["field"].rlike("(zip|zip_code|_ssn|_tin|tax_id|number)$") & (x["kind"] == "str")
-            raw = field_struct(0, x["field"], F.lit("str"), x["raw"], S.lenient_number(x["raw"]), F.lit(None))
-            v = F.when(is_id, raw).otherwise(v)
-        return v.withField("pos", i.cast("int"))
+            value = F.when(~is_id, value)
+        return F.struct(x.alias("n"), value.alias("number"))
 
-    return d.withColumn("fields", F.transform(n, typed)).drop("_n")
+    # two small passes: the number of each leaf first, then the field around it
+    return d.withColumn("fields", F.transform(F.transform(n, number), lambda x, i: _typed(x["n"], x["number"], i))).drop("_n")
 
 
 def dotted_leaves(df: DataFrame, payload: str = "payload", *keep: str) -> DataFrame:

@@ -77,14 +77,39 @@ def field_map(fields: Column) -> Column:
 
 
 class Record:
-    """Reads fields of the flat record by name from a field-map column."""
+    """Reads fields of the flat record by name.
 
-    def __init__(self, m: Column):
-        self.m = m
+    Rules read the same few fields many times. A record made with ``slots=True`` notes which fields and
+    derived facts its rules use; ``settled`` then computes each of them once per row, in columns of their
+    own, before the rules run. Without slots, fields come straight from the field-map column.
+    """
+
+    def __init__(self, m: Column, slots: bool = False):
+        self.m, self.slots = m, slots
+        self.names: dict[str, None] = {}
+        self.facts: dict[str, Column] = {}
 
     def raw(self, name: str | Column) -> Column:
+        if self.slots and isinstance(name, str):
+            self.names[name] = None
+            return F.col("_slots")[name]
         return self.m[name]
 
+    def fact(self, label: str, value: Column) -> Column:
+        """A derived value used by several rules; computed once per row when slots are on."""
+        if not self.slots:
+            return value
+        self.facts.setdefault(label, value)
+        return F.col("_facts")[label]
+
+    def settled(self, df: DataFrame) -> DataFrame:
+        """Add the noted fields and facts to rows that hold the field map in ``_m``."""
+        if self.names:
+            df = settle(df, _slots=F.struct(*[self.m[n].alias(n) for n in self.names]))
+        if self.facts:
+            df = settle(df, _facts=F.struct(*[c.alias(n) for n, c in self.facts.items()]))
+        return df
+
     def num(self, name: str | Column) -> Column:
         return self.raw(name)["d"]
 

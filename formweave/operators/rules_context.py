@@ -259,9 +259,8 @@ def structural(c: Column, r: Record, t: Thresholds) -> Column:
     ])
 
 
-def context_exceptions(ctx: Column, form: Column, fields: Column, m: Column, t: Thresholds = DEFAULTS) -> Column:
+def context_exceptions(ctx: Column, form: Column, fields: Column, r: Record, t: Thresholds = DEFAULTS) -> Column:
     """All context sections in their fixed order."""
-    r = Record(m)
     return F.concat(
         ocr(ctx["ocr"], t), email(ctx["email"], t), engagement(ctx["engagement"], form, r), tenant(ctx["tenant"]),
         workflow(ctx["workflow"], form), session(ctx["session"], ctx["workflow"], form, r, t),

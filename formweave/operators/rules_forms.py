@@ -31,13 +31,13 @@ def non_negative(r: Record, *names: str) -> Rules:
 
 
 def ein(r: Record, name: str) -> Rules:
-    s = S.strip(r.text(name))
-    return [raised(S.bad_ein(s), "ID_INVALID_TIN", name, s)]
+    s = r.fact(f"text:{name}", S.strip(r.text(name)))
+    return [raised(r.fact(f"ein:{name}", S.bad_ein(S.strip(r.text(name)))), "ID_INVALID_TIN", name, s)]
 
 
 def any_tin(r: Record, name: str) -> Rules:
-    s = S.strip(r.text(name))
-    return [raised_one_of(S.tin_code(s), _TIN_CODES, name, s)]
+    s = r.fact(f"text:{name}", S.strip(r.text(name)))
+    return [raised_one_of(r.fact(f"tin:{name}", S.tin_code(S.strip(r.text(name)))), _TIN_CODES, name, s)]
 
 
 def backup_withholding(r: Record, income: Column, tax_field: str | Column, t: Thresholds) -> Rules:
@@ -70,7 +70,7 @@ def w2(r: Record, t: Thresholds) -> Rules:
     mw, mt = r.num("medicare_wages_and_tips"), r.num("medicare_tax_withheld")
     wages, dep = r.num("wages_tips_compensation"), r.num("dependent_care_benefits")
     ssn = r.text("employee_ssn")
-    status = S.tin_status(ssn)
+    status = r.fact("w2 ssn", S.tin_status(ssn))
     return [
         *required(r, "wages_tips_compensation", "employee_ssn", "employer_tin", "employer_name", "employee_name"),
         *non_negative(r, "wages_tips_compensation", "federal_income_tax_withheld", "social_security_wages",
@@ -93,8 +93,8 @@ def f1040(r: Record, t: Thresholds) -> Rules:
     wh_parts = r.num0("withholding_w2") + r.num0("withholding_1099") + r.num0("withholding_other")
     wh = r.num("total_withholding")
     owed, over = r.num("amount_owed"), r.num("overpayment")
-    balance = S.round2(r.num("total_tax") - r.num("total_payments"))
-    filing = F.lower(S.strip(F.coalesce(r.text("filing_status"), F.lit(""))))
+    balance = r.fact("1040 balance", S.round2(r.num("total_tax") - r.num("total_payments")))
+    filing = r.fact("filing status", F.lower(S.strip(F.coalesce(r.text("filing_status"), F.lit("")))))
     std, minimum = r.num("standard_or_itemized_ded"), S.lookup(V.STANDARD_DEDUCTIONS, filing)
     biz, sched = r.num("business_income"), r.text("schedule_c_attached")
     no_schedule = ~r.truthy("schedule_c_attached") | F.lower(sched).isin("false", "no", "0", "")
@@ -145,7 +145,7 @@ def f1099_int(r: Record, t: Thresholds) -> Rules:
 
 def f1099_div(r: Record, t: Thresholds) -> Rules:
     cap = r.num("total_capital_gain_distr")
-    parts = S.round2(r.num0("unrecaptured_sec1250_gain") + r.num0("section_1202_gain") + r.num0("collectibles_28pct_gain"))
+    parts = r.fact("div parts", S.round2(r.num0("unrecaptured_sec1250_gain") + r.num0("section_1202_gain") + r.num0("collectibles_28pct_gain")))
     return [
         *required(r, "total_ordinary_dividends", "payer_tin"),
         *non_negative(r, "total_ordinary_dividends", "qualified_dividends", "total_capital_gain_distr"),
@@ -159,7 +159,8 @@ def f1099_div(r: Record, t: Thresholds) -> Rules:
 
 def f1099_r(r: Record, t: Thresholds) -> Rules:
     code = r.text("distribution_code")
-    codes = F.transform(F.filter(F.split(code, r"[,/\s]+"), lambda c: S.strip(c) != ""), lambda c: F.upper(S.strip(c)))
+    codes = r.fact("distribution codes", F.transform(
+        F.filter(F.split(code, r"[,/\s]+"), lambda c: S.strip(c) != ""), lambda c: F.upper(S.strip(c))))
     valid = F.array(*[F.lit(c) for c in V.DISTRIBUTION_CODES])
     bad = raised_each(F.filter(codes, lambda c: ~F.array_contains(valid, c)),
                       lambda c: exc("DB_TYPE_CONFLICT", "distribution_code", c))
@@ -216,11 +217,11 @@ def f1099_g(r: Record, t: Thresholds) -> Rules:
 def f1099_k(r: Record, t: Thresholds) -> Rules:
     gross, tol = r.num("gross_amount_payment_card"), t.math_tolerance
     months = [r.num(m) for m in V.MONTHS]
-    filled = sum((F.when(m.isNotNull(), 1).otherwise(0) for m in months[1:]), F.when(months[0].isNotNull(), 1).otherwise(0))
+    filled = r.fact("months filled", sum((F.when(m.isNotNull(), 1).otherwise(0) for m in months[1:]), F.when(months[0].isNotNull(), 1).otherwise(0)))
     total = F.coalesce(months[0], F.lit(0.0))
     for m in months[1:]:
         total = total + F.coalesce(m, F.lit(0.0))
-    total = S.round2(total)
+    total = r.fact("months total", S.round2(total))
     mismatch = (filled >= 6) & ((total > gross + tol) | ((filled == 12) & (F.abs(total - gross) > tol)))
     return [
         *required(r, "gross_amount_payment_card", "payer_tin"), *non_negative(r, "gross_amount_payment_card"),
@@ -242,8 +243,8 @@ def f1099_s(r: Record, t: Thresholds) -> Rules:
 
 def k1_1065(r: Record, t: Thresholds) -> Rules:
     end = r.num("ending_capital_account")
-    rolled = S.round2(r.num0("beginning_capital_account") + r.num0("contributions") + r.num0("current_year_net_income")
-                      - F.abs(r.num0("withdrawals_distributions")))
+    rolled = r.fact("capital rolled", S.round2(r.num0("beginning_capital_account") + r.num0("contributions") + r.num0("current_year_net_income")
+                      - F.abs(r.num0("withdrawals_distributions"))))
     tol = F.greatest(F.lit(t.k1_tolerance), F.abs(end) * t.k1_relative_tolerance)
     gp = r.num0("guaranteed_payments_services") + r.num0("guaranteed_payments_capital")
     gp_total = r.num("total_guaranteed_payments")
@@ -282,7 +283,7 @@ def k1_1041(r: Record, t: Thresholds) -> Rules:
 
 def generic_1099(r: Record, t: Thresholds, fields: Column) -> Rules:
     """Forms without a validator of their own: payer EIN, any positive amount, backup withholding."""
-    positive = F.filter(fields, lambda x: x["nf"] & (x["d"] > 0))
+    positive = r.fact("positive amounts", F.filter(fields, lambda x: x["nf"] & (x["d"] > 0)))
     income = F.try_element_at(positive, F.lit(1))["d"]
     fed, other = r.num("federal_income_tax_withheld"), r.num("federal_tax_withheld")
     tax_field = F.when(fed > 0, F.lit("federal_income_tax_withheld")).when(other > 0, F.lit("federal_tax_withheld"))
@@ -346,13 +347,13 @@ def form_key_column(form_type: Column) -> Column:
     return F.translate(form_type, "- ()", "__")
 
 
-def form_exceptions(form_type: Column, fields: Column, m: Column, t: Thresholds = DEFAULTS,
+def form_exceptions(form_type: Column, fields: Column, r: Record, t: Thresholds = DEFAULTS,
                     image_only: Column | None = None, forms: list[str] | None = None) -> Column:
     """Exceptions of the validator chosen by form type, in one CASE; a row runs one branch only.
 
     ``forms`` limits the branches that are planned when the input is known to hold few form types.
     """
-    r, key = Record(m), form_key_column(form_type)
+    key = form_key_column(form_type)
     wanted = None if forms is None else {form_key(f) for f in forms}
     out = None
     for k, fn in VALIDATORS.items():

@@ -46,13 +46,13 @@ def _gate_sql(base, key="doc_id", text="text"):
  g1 as (select *, case when len < 10 then 0 else case when omb is not null then 40 else 0 end + case when form is not null then 25 else 0 end + case when agency then 20 else 0 end + case when yr is not null then 10 else 0 end + case when kw >= 3 then 5 else 0 end end as score from g0)"""
 
 
-_add("gate_score", lambda s, d: T.gate(_d(s, d, GATE_SQL, "documents")).select("doc_id", "score", "is_tax_form", "form_type", "tax_year", "omb_number", F.array_join("signals_found", "; ").alias("signals"), "rejection_reason"),
+_add("gate_score", lambda s, d: T.gate(I.derive_documents(s, d, GATE_SQL, "documents")).select("doc_id", "score", "is_tax_form", "form_type", "tax_year", "omb_number", F.array_join("signals_found", "; ").alias("signals"), "rejection_reason"),
      f"""with b as ({I.plain(GATE_SQL, 'documents')}), {_gate_sql('b')} select doc_id, score, score >= 30 as is_tax_form, case when len >= 10 then form end as form_type, case when len >= 10 then yr end as tax_year, case when len >= 10 then omb end as omb_number,
  case when len < 10 then '' else concat_ws('; ', 'OMB: ' || omb, 'Form: ' || form, case when agency then 'IRS Agency identified' end, 'Year: ' || yr, case when kw >= 3 then 'IRS Keywords (' || kw || ')' end) end as signals,
  case when len < 10 then 'Insufficient text extracted to identify document.' when score < 30 then 'Document recognition confidence too low.' end as rejection_reason from g1""")
-_add("gate_envelope", lambda s, d: T.gate_envelope(T.gate(_d(s, d, GATE_SQL, "documents"))).groupBy("accepted", "note").agg(F.count("*").alias("n")),
+_add("gate_envelope", lambda s, d: T.gate_envelope(T.gate(I.derive_documents(s, d, GATE_SQL, "documents"))).groupBy("accepted", "note").agg(F.count("*").alias("n")),
      f"with b as ({I.plain(GATE_SQL, 'documents')}), {_gate_sql('b')} select score >= 30 as accepted, case when score < 30 then 'score ' || score || ' below 30' end as note, count(*) as n from g1 group by 1, 2")
-_add("gate_plain_documents", lambda s, d: T.gate(I.table(s, d, "documents").select("doc_id", "text")).groupBy("score").agg(F.count("*").alias("n")),
+_add("gate_plain_documents", lambda s, d: T.gate(I.spread(I.table(s, d, "documents").select("doc_id", "text"))).groupBy("score").agg(F.count("*").alias("n")),
      f"with {_gate_sql('documents')} select score, count(*) as n from g1 group by 1")
 
 PAGE_SQL = """select conv_id as doc_id, cast(turn as int) as page, concat(case when (conv_id + turn) % 3 = 0 then 'OMB No. 1545-0074 ' else '' end, case when (conv_id + turn) % 5 = 1 then 'Form 1040 2025 ' else '' end,
@@ -104,7 +104,7 @@ PAY_SQL = """select o_orderkey as doc_id, concat('{{"form":"W-2","year":', cast(
  ',"box_2_federal_income_tax_withheld":"$1,', lpad(cast(o_orderkey % 1000 as varchar(12)), 3, '0'), '.50","box_9":null}},"employee_information":{{"employee_ssn":"', case when o_orderkey % 4 = 0 then '123456789' else '123-45-6789' end, '","employee_first_name":',
  case when o_orderkey % 5 = 0 then 'null' else '"Ann"' end, ',"employee_last_name":', case when o_orderkey % 7 = 0 then '""' else concat('"Lee ', o_orderstatus, '"') end, ',"employee_name":"Old Name"}},"box_12":[{{"code":"D","box_a_amount":', cast(o_orderkey % 90 as varchar(12)), '}},{{"code":"E","amount":"7"}}],"amounts":[1,2],"box_13":{{"retirement_plan":',
  case when o_orderkey % 2 = 0 then 'true' else 'false' end, ',"deep":{{"deeper":{{"note":"', o_orderpriority, '"}}}}}},"payer_ein":"12-3456789","payer_tin":"99-0000000","employer_information":{{"employer_name":"ABC CORP","code":"', cast(o_custkey as varchar(12)), '"}},"extraction_metadata":{{"employer_name":0.9}}}}') as payload from {orders}"""
-payloads = lambda s, d: _d(s, d, PAY_SQL, "orders")
+payloads = lambda s, d: I.derive_documents(s, d, PAY_SQL, "orders")
 _BARE = lambda k: f"case when regexp_replace(regexp_replace({k}, '^box_[0-9A-Za-z]+_', ''), '^box_[0-9A-Za-z]+$', '') = '' then {k} else regexp_replace(regexp_replace({k}, '^box_[0-9A-Za-z]+_', ''), '^box_[0-9A-Za-z]+$', '') end"
 _TREE = f"""b as ({I.plain(PAY_SQL, 'orders')}), tr as (select doc_id, j.key, j.type, j.fullkey, j.path, j.id, j.value from b, json_tree(b.payload) j),
  lf as (select *, case when regexp_matches(fullkey, '^\\$\\.box_12\\[') then 'box_12_' || regexp_extract(fullkey, '\\[([0-9]+)\\]', 1) || '_' || ({_BARE('key')}) else {_BARE('key')} end as field from tr

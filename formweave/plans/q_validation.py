@@ -29,7 +29,7 @@ def _register_forms(key, sql, by_form, rules, *tables):
     """One query over the whole source table; the check runs each form's rules on its own rows."""
 
     def run(spark, sf_dir):
-        df = I.derive(spark, sf_dir, sql, *tables)
+        df = I.derive_documents(spark, sf_dir, sql, *tables)
         return _form_exceptions(I.mixed_documents(df, by_form), list(by_form))
 
     ctes, rows = [f"base as ({I.plain(sql, *tables)})"], []
@@ -55,7 +55,7 @@ _GENERIC = ["1099-Q", "1099-SA", "1099-OID", "1099-PATR", "1099-LS", "1099-LTC"]
 
 
 def generic_1099(spark, sf_dir):
-    df = I.derive(spark, sf_dir, I.GENERIC_SQL, "lineitem")
+    df = I.derive_documents(spark, sf_dir, I.GENERIC_SQL, "lineitem")
     return _form_exceptions(I.documents(df, I.GENERIC_FIELDS, "doc_id", "form_type"), _GENERIC)
 
 
@@ -75,7 +75,7 @@ _UNKNOWN_FIELDS = [("mortgage_interest_received", "a_n", None), ("points_paid",
 
 
 def unknown_null_ratio(spark, sf_dir):
-    df = I.derive(spark, sf_dir, _UNKNOWN_SQL, "orders")
+    df = I.derive_documents(spark, sf_dir, _UNKNOWN_SQL, "orders")
     return _form_exceptions(I.documents(df, _UNKNOWN_FIELDS, "doc_id", "form_type"), []).select("doc_id", "code", "field", "value_num")
 
 

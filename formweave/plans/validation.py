@@ -12,7 +12,7 @@ from ..operators import rules_context as ctxr
 from ..operators import score as SC
 from ..operators.flatten import flatten_payload
 from ..operators.fixes import apply_to_records
-from ..operators.records import field_map, settle
+from ..operators.records import Record, field_map, settle
 from ..operators.rules_forms import form_exceptions
 from ..operators.rules_universal import universal_exceptions
 
@@ -26,20 +26,21 @@ def with_exceptions(docs: DataFrame, t: Thresholds = DEFAULTS, forms: list[str]
     has_ctx = "ctx" in docs.columns if context is None else context
     d = settle(docs, fields=F.col("fields"))
     d = settle(d, _m=field_map(F.col("fields")))
-    fields, m, form = F.col("fields"), F.col("_m"), F.col("form_type")
+    fields, form = F.col("fields"), F.col("form_type")
+    record = Record(F.col("_m"), slots=True)
     image_only = ctxr.image_only(F.col("ctx")) if has_ctx else None
     parts = []
     if universal:
         parts.append(universal_exceptions(fields, t))
-    parts.append(form_exceptions(form, fields, m, t, image_only, forms))
+    parts.append(form_exceptions(form, fields, record, t, image_only, forms))
     if has_ctx:
-        parts.append(ctxr.context_exceptions(F.col("ctx"), form, fields, m, t))
+        parts.append(ctxr.context_exceptions(F.col("ctx"), form, fields, record, t))
     elif universal:
         parts.append(ctxr.type_conflicts(fields))
     excs = F.concat(*parts) if len(parts) > 1 else parts[0]
     if universal:
         excs = F.when(F.size(fields) > 0, excs).otherwise(F.array(X.exc("FLD_ZERO_VS_BLANK")))
-    d = settle(d, exceptions=excs)
+    d = settle(record.settled(d), exceptions=excs).drop("_slots", "_facts")
     if "hv" in docs.columns:
         d = settle(d, exceptions=X.suppress_verified(F.col("exceptions"), F.col("hv")))
     return d

@@ -18,6 +18,9 @@ def build_session(app: str = "formweave", master: str | None = None, shuffle_par
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # rule projections compile to large methods: beyond this size the JVM would not compile them further,
+        # so they run in the split, per-expression form instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         # call-site capture doubles the time to build large rule expressions
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

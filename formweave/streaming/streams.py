@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..fixed_values import DEFAULTS, Thresholds
 
@@ -89,9 +90,9 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, mode: str =
     q.awaitTermination()
     if q.exception() is not None:
         raise q.exception()
-    got = spark.read.option("basePath", out).schema(stream.schema if mode == "append" else stream.schema.add("batch", "int")).parquet(out)
     if mode == "append":
-        return got
+        return spark.read.schema(stream.schema).parquet(out)
+    got = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.IntegerType())])).parquet(out)
     rest = [c for c in stream.columns if c not in keys]
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
