@@ -15,7 +15,7 @@ from ..functions import scalar as S
 from .records import field_struct, settle
 
 MAX_DEPTH = 6
-NODE_TYPE = "struct<path:string,dotted:string,prefix:string,key:string,field:string,group:string,raw:string,kind:string>"
+NODE_TYPE = "struct<path:string,prefix:string,key:string,field:string,group:string,raw:string,kind:string>"
 _COERCE_RE = r"^\$?-?[0-9,]+\.?[0-9]*$"
 
 
@@ -38,7 +38,7 @@ def _with_kind(texts: Column, variants: Column) -> Column:
     return F.zip_with(texts, variants, lambda e, v: F.struct(e.alias("e"), _kind_of(v).alias("kind")))
 
 
-def _open_object(raw: Column, path: Column, dotted: Column, prefix: Column, group: Column) -> Column:
+def _open_object(raw: Column, path: Column, prefix: Column, group: Column) -> Column:
     """Entries of one JSON object in document order."""
     entries = _with_kind(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")))
 
@@ -46,7 +46,6 @@ def _open_object(raw: Column, path: Column, dotted: Column, prefix: Column, grou
         k = x["e"]["key"]
         return F.struct(
             F.concat_ws(".", F.nullif(path, F.lit("")), k).alias("path"),
-            F.concat_ws(".", F.nullif(dotted, F.lit("")), k).alias("dotted"),
             prefix.alias("prefix"), k.alias("key"), F.concat(prefix, bare_key(k)).alias("field"),
             F.concat(group, F.lpad((i + 1).cast("string"), 4, "0")).alias("group"),
             x["e"]["value"].alias("raw"), x["kind"].alias("kind"),
@@ -66,7 +65,7 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
     def open_list(n: Column) -> Column:
         items = F.from_json(n["raw"], "array<string>")
         return F.flatten(F.transform(items, lambda it, i: _open_object(
-            it, F.concat_ws(".", n["path"], i.cast("string")), F.concat_ws(".", n["dotted"], i.cast("string")),
+            it, F.concat_ws(".", n["path"], i.cast("string")),
             F.concat(n["field"], F.lit("_"), i.cast("string"), F.lit("_")),
             F.concat(n["group"], F.lit("-"), F.lpad((i + 1).cast("string"), 4, "0"), F.lit("."))))
         )
@@ -75,13 +74,13 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
         items = _with_kind(F.from_json(n["raw"], "array<string>"), F.from_json(n["raw"], "array<variant>"))
         return F.transform(items, lambda x, i: F.struct(
             F.concat_ws(".", n["path"], i.cast("string")).alias("path"),
-            F.concat_ws(".", n["dotted"], i.cast("string")).alias("dotted"), n["prefix"].alias("prefix"),
+            n["prefix"].alias("prefix"),
             n["key"].alias("key"), n["field"].alias("field"), n["group"].alias("group"), x["e"].alias("raw"),
             x["kind"].alias("kind")))
 
     def expand(n: Column) -> Column:
         c = F.when(n["kind"] == "dict", F.coalesce(_open_object(
-            n["raw"], n["path"], n["dotted"], n["prefix"], F.concat(n["group"], F.lit("."))), none))
+            n["raw"], n["path"], n["prefix"], F.concat(n["group"], F.lit("."))), none))
         c = c.when((n["kind"] == "list") & _list_of_objects(n["raw"]), F.coalesce(open_list(n), none))
         if lists_of_scalars:
             c = c.when(n["kind"] == "list", F.coalesce(open_scalars(n), none))
@@ -96,7 +95,7 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
 def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", depth: int = MAX_DEPTH,
                lists_of_scalars: bool = False) -> DataFrame:
     """Leaves of the payload in depth-first order. One projection per level keeps each expression small."""
-    root = _open_object(F.col(payload), F.lit(""), F.lit(""), F.lit(""), F.lit(""))
+    root = _open_object(F.col(payload), F.lit(""), F.lit(""), F.lit(""))
     # settled per level: a level refers to the one below several times
     df = settle(df, **{out: F.coalesce(root, F.array().cast(f"array<{NODE_TYPE}>"))})
     for _ in range(depth - 1):
@@ -128,38 +127,54 @@ def _typed(n: Column, number: Column, pos: Column) -> Column:
 
 def _last_wins(nodes: Column) -> Column:
     """One node per field: first position, last value."""
-    names = F.transform(nodes, lambda n: n["field"])
-    distinct = F.array_distinct(names)
-    merged = F.transform(distinct, lambda k: F.try_element_at(F.filter(nodes, lambda n: n["field"] == k), F.lit(-1)))
-    return F.when(F.size(distinct) == F.size(names), nodes).otherwise(merged)
+
+    def merged(a: Column, distinct: Column) -> Column:
+        return F.transform(distinct, lambda k: F.try_element_at(F.filter(a, lambda n: n["field"] == k), F.lit(-1)))
+
+    def on_distinct(a: Column, distinct: Column) -> Column:
+        return F.when(F.size(distinct) == F.size(a), a).otherwise(merged(a, distinct))
+
+    return S.let(nodes, lambda a: S.let(F.array_distinct(F.transform(a, lambda n: n["field"])), lambda dn: on_distinct(a, dn)))
 
 
 def _with_person_name(nodes: Column) -> Column:
     """Add or replace employee_name from the first and last name."""
 
-    def get(name: str) -> Column:
-        hit = F.try_element_at(F.filter(nodes, lambda n: n["field"] == name), F.lit(1))
-        return F.when(hit["kind"] == "str", F.nullif(hit["raw"], F.lit("")))
+    def get(a: Column, name: str) -> Column:
+        hit = F.try_element_at(F.filter(a, lambda n: (n["field"] == name) & (n["kind"] == "str") & (n["raw"] != "")), F.lit(1))
+        return hit["raw"]
+
+    def made(full: Column) -> Column:
+        return F.struct(
+            F.lit("employee_name").alias("path"), F.lit("").alias("prefix"), F.lit("employee_name").alias("key"),
+            F.lit("employee_name").alias("field"), F.lit("9999").alias("group"), full.alias("raw"), F.lit("str").alias("kind"))
+
+    def put(a: Column, full: Column) -> Column:
+        exists = F.exists(a, lambda n: n["field"] == "employee_name")
+        swapped = F.transform(a, lambda n: F.when(n["field"] == "employee_name", made(full)).otherwise(n))
+        return F.when(full.isNull(), a).when(exists, swapped).otherwise(F.concat(a, F.array(made(full))))
+
+    def full_name(a: Column) -> Column:
+        first, last = get(a, "employee_first_name"), get(a, "employee_last_name")
+        return F.when(first.isNotNull() | last.isNotNull(), S.strip(F.concat_ws(" ", first, last)))
 
-    full = S.strip(F.concat_ws(" ", get("employee_first_name"), get("employee_last_name")))
-    made = F.struct(
-        F.lit("employee_name").alias("path"), F.lit("employee_name").alias("dotted"), F.lit("").alias("prefix"),
-        F.lit("employee_name").alias("key"), F.lit("employee_name").alias("field"), F.lit("9999").alias("group"),
-        full.alias("raw"), F.lit("str").alias("kind"))
-    have = get("employee_first_name").isNotNull() | get("employee_last_name").isNotNull()
-    exists = F.exists(nodes, lambda n: n["field"] == "employee_name")
-    swapped = F.transform(nodes, lambda n: F.when(n["field"] == "employee_name", made).otherwise(n))
-    return F.when(~have, nodes).when(exists, swapped).otherwise(F.concat(nodes, F.array(made)))
+    return S.let(full_name(nodes), lambda full: put(nodes, full))
 
 
 def _renamed(nodes: Column, aliases: dict[str, str]) -> Column:
     """Rename aliased fields; a renamed field moves to the end unless the new name is present."""
     names = F.array(*[F.lit(a) for a in aliases])
     to = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-    order = F.transform(names, lambda a: F.filter(nodes, lambda n: n["field"] == a))
-    moved = F.transform(F.flatten(order), lambda n: n.withField("field", F.element_at(to, n["field"])))
-    kept = F.filter(nodes, lambda n: ~F.array_contains(names, n["field"]))
-    return F.when(F.size(moved) > 0, _last_wins(F.concat(kept, moved))).otherwise(nodes)
+
+    def by_alias_order(found: Column) -> Column:
+        ordered = F.flatten(F.transform(names, lambda a: F.filter(found, lambda n: n["field"] == a)))
+        return F.transform(ordered, lambda n: n.withField("field", F.element_at(to, n["field"])))
+
+    def apply(found: Column) -> Column:
+        kept = F.filter(nodes, lambda n: ~F.array_contains(names, n["field"]))
+        return F.when(F.size(found) > 0, _last_wins(F.concat(kept, by_alias_order(found)))).otherwise(nodes)
+
+    return S.let(F.filter(nodes, lambda n: F.array_contains(names, n["field"])), apply)
 
 
 def flatten_payload(df: DataFrame, payload: str = "payload", keep_metadata: bool = False,
@@ -194,7 +209,7 @@ def dotted_leaves(df: DataFrame, payload: str = "payload", *keep: str) -> DataFr
     """Rows (path, raw, kind) with full dotted paths; list items carry their index."""
     d = with_nodes(df, payload, "_n", lists_of_scalars=True)
     return d.select(*keep, F.explode("_n").alias("n")).select(
-        *keep, F.col("n.dotted").alias("path"), F.col("n.raw").alias("raw"), F.col("n.kind").alias("kind"))
+        *keep, F.col("n.path").alias("path"), F.col("n.raw").alias("raw"), F.col("n.kind").alias("kind"))
 
 
 # --- names and identities inside a payload ------------------------------------------------------------------
