@@ -40,8 +40,10 @@ def last_cent_five(d: Column) -> Column:
 def universal_exceptions(fields: Column, t: Thresholds = DEFAULTS) -> Column:
     """Array of exceptions in rule order, then field order."""
 
-    def rank(n: int, x: Column, e: Column) -> Column:
-        return F.struct(F.lit(n).alias("rule"), x["pos"].alias("pos"), e.alias("e"))
+    def rank(n: int, x: Column, e: Column, names: list[str] | None = None) -> Column:
+        # rules over a list of names report in the order of that list, the others in field order
+        pos = x["pos"] if names is None else F.array_position(F.array(*[F.lit(v) for v in names]), x["field"]).cast("int")
+        return F.struct(F.lit(n).alias("rule"), pos.alias("pos"), e.alias("e"))
 
     def on_field(x: Column) -> Column:
         s, d, f = x["s"], x["d"], x["field"]
@@ -49,8 +51,8 @@ def universal_exceptions(fields: Column, t: Thresholds = DEFAULTS) -> Column:
         text_rules = F.array(
             F.when(trimmed.isin(V.STRING_ZEROS), rank(1, x, X.exc("FLD_ZERO_VS_BLANK", f, s))),
             F.when(numeric & (special_residue(s) != ""), rank(2, x, X.exc("FLD_SPECIAL_CHARS", f, s))),
-            F.when(f.isin(V.NAME_FIELDS) & S.title_cased(s), rank(5, x, X.exc("LLM_OVER_NORMALIZATION", f, s))),
-            F.when(f.isin(V.ADDRESS_FIELDS) & address_collapsed(s), rank(9, x, X.exc("FLD_ADDRESS_COLLAPSED", f, s))),
+            F.when(f.isin(V.NAME_FIELDS) & S.title_cased(s), rank(5, x, X.exc("LLM_OVER_NORMALIZATION", f, s), V.NAME_FIELDS)),
+            F.when(f.isin(V.ADDRESS_FIELDS) & address_collapsed(s), rank(9, x, X.exc("FLD_ADDRESS_COLLAPSED", f, s), V.ADDRESS_FIELDS)),
             F.when(F.upper(trimmed).isin(V.NA_TEXTS), rank(10, x, X.exc("FLD_NA_TEXT", f, s)))
             .when(trimmed.isin(V.DASH_TEXTS), rank(10, x, X.exc("FLD_DASH_SYMBOL", f, s))),
         )
@@ -58,8 +60,8 @@ def universal_exceptions(fields: Column, t: Thresholds = DEFAULTS) -> Column:
             F.when(numeric & (d > t.misplaced_decimal), rank(3, x, X.exc("NUM_DECIMAL_MISPLACE", f, num=d)))
             .when(numeric & (d > t.large_value), rank(4, x, X.exc("NUM_LARGE_OUTLIER", f, num=d))),
             F.when(f.isin(V.YEAR_FIELDS) & wrong_year(s, t),
-                   rank(6, x, X.exc("CY_WRONG_YEAR_UPLOAD", f, num=year_value(s)))),
-            F.when(f.isin(V.CHECKBOX_FIELDS) & (x["kind"] == "null"), rank(8, x, X.exc("FLD_CHECKBOX_BLANK", f))),
+                   rank(6, x, X.exc("CY_WRONG_YEAR_UPLOAD", f, num=year_value(s)), V.YEAR_FIELDS)),
+            F.when(f.isin(V.CHECKBOX_FIELDS) & (x["kind"] == "null"), rank(8, x, X.exc("FLD_CHECKBOX_BLANK", f), V.CHECKBOX_FIELDS)),
         )
         return F.when(x["kind"] == "str", F.concat(text_rules, any_rules)).otherwise(any_rules)
 

@@ -29,10 +29,13 @@ class LedgerStream:
         if before <= 0:
             return None
         base = self._base(before)
-        paths = [f"{self.path}/state/batch={b}" for b in range(base, before)]
+        parts = []
         if base > 0:
-            paths[0] = f"{self.path}/full/batch={base}"
-        d = spark.read.option("basePath", self.path).schema(STATE_COLUMNS + ", batch int").parquet(*paths)
+            parts.append(spark.read.schema(STATE_COLUMNS).parquet(f"{self.path}/full/batch={base}").withColumn("batch", F.lit(base)))
+        deltas = [f"{self.path}/state/batch={b}" for b in range(base + 1 if base > 0 else 0, before)]
+        if deltas:
+            parts.append(spark.read.option("basePath", f"{self.path}/state").schema(STATE_COLUMNS + ", batch int").parquet(*deltas))
+        d = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         cols = [c.split()[0] for c in STATE_COLUMNS.split(", ")]
         return d.groupBy("document_id").agg(F.max_by(F.struct(*cols[1:]), "batch").alias("r")).select("document_id", "r.*")
 
