@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed_values as V
 
 WHITESPACE = " \t\n\r\x0b\x0c"
-NUMERIC_SUFFIX_RE = "(" + "|".join(V.NUMERIC_SUFFIXES) + ")$"
+NUMERIC_SUFFIX_RE = "_(" + "|".join(x[1:] for x in V.NUMERIC_SUFFIXES) + ")$"
 
 
 def strip(c: Column) -> Column:

@@ -22,15 +22,16 @@ _COERCE_RE = r"^\$?-?[0-9,]+\.?[0-9]*$"
 def bare_key(key: Column) -> Column:
     """Key without its box prefix; a key that is only a box number is kept."""
     cut = F.regexp_replace(F.regexp_replace(key, r"^box_[0-9A-Za-z]+_", ""), r"^box_[0-9A-Za-z]+$", "")
-    return F.when(cut == "", key).otherwise(cut)
+    return F.when(~key.startswith("box_") | (cut == ""), key).otherwise(cut)
 
 
 def _kind_of(v: Column) -> Column:
-    s = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | (s == "VOID"), "null").when(s == "STRING", "str").when(s == "BOOLEAN", "bool")
-        .when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").otherwise("num")
-    )
+    def name(s: Column) -> Column:
+        return (
+            F.when(s == "STRING", "str").when(s.isNull() | (s == "VOID"), "null").when(s == "BOOLEAN", "bool")
+            .when(s.startswith("OBJECT"), "dict").when(s.startswith("ARRAY"), "list").otherwise("num"))
+
+    return S.let(F.schema_of_variant(v), name)
 
 
 def _with_kind(texts: Column, variants: Column) -> Column:

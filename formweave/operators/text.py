@@ -73,25 +73,40 @@ def gate(df: DataFrame, text: str = "text", t: Thresholds = DEFAULTS) -> DataFra
     return verdict(d, F.col("_len"), t).drop("_len")
 
 
+def _edge(text: Column, side: str) -> Column:
+    """End or start of a page text. A cut edge is closed with a word character, so no match begins or ends there."""
+    if side == "tail":
+        return F.when(F.length(text) > PAGE_OVERLAP, F.concat(F.lit("_"), F.right(text, F.lit(PAGE_OVERLAP)))).otherwise(text)
+    return F.when(F.length(text) > PAGE_OVERLAP, F.concat(F.left(text, F.lit(PAGE_OVERLAP)), F.lit("_"))).otherwise(text)
+
+
 def gate_pages(pages: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Gate of multi-page documents without joining their text into one value.
+    """Gate of multi-page documents without joining or shuffling their text.
 
-    Each page is scored together with the head of its next page, so a match across a page break is still
-    found; the first finding in page order wins and keyword counts add up. Text shorter than 50 characters
-    fails open as a scan.
+    Pages are searched where they are read; only findings and the page edges are shuffled. The edges of
+    neighbouring pages are put together to find matches across a page break. The first finding in page
+    order wins and keyword counts add up. Text shorter than 50 characters fails open as a scan.
     """
-    head = pages.select("doc_id", (F.col("page") - 1).alias("page"), F.left("text", F.lit(PAGE_OVERLAP)).alias("next_head"))
-    d = pages.join(head, ["doc_id", "page"], "left")
-    tail = F.coalesce(F.concat(F.lit("\n"), F.col("next_head")), F.lit(""))
-    d = settle(d, **signals(F.concat(F.col("text"), tail)), _tail_kw=F.regexp_count(tail, F.lit(V.KEYWORD_PATTERN)), _len=F.length(S.strip(F.col("text"))))
+    own = settle(pages, **signals(F.col("text")), _len=F.length(S.strip(F.col("text"))), _tail=_edge(F.col("text"), "tail"), _head=_edge(F.col("text"), "head")).drop("text")
+    heads = own.select("doc_id", (F.col("page") - 1).alias("page"), F.col("_head").alias("_next"))
+    gaps = own.select("doc_id", "page", "_tail").join(heads, ["doc_id", "page"])
+    window = F.concat(F.col("_tail"), F.lit("\n"), F.col("_next"))
+    gaps = settle(gaps, **signals(window))
+    pattern = F.lit(V.KEYWORD_PATTERN)
+    across = F.col("keywords") - F.regexp_count("_tail", pattern) - F.regexp_count("_next", pattern)
+    gaps = gaps.withColumn("keywords", across)
+    cols = ["doc_id", "page", "omb_number", "form_type", "agency", "tax_year", "keywords"]
+    rows = own.select(*cols, "_len", F.lit(0).alias("_gap")).unionByName(
+        gaps.select(*cols, F.lit(None).cast("int").alias("_len"), F.lit(1).alias("_gap")))
 
     def first(c: str) -> Column:
-        return F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c)
+        return F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("page", "_gap"))).alias(c)
 
-    g = d.groupBy("doc_id").agg(
+    page_len = F.when(F.col("_gap") == 0, F.col("_len"))
+    g = rows.groupBy("doc_id").agg(
         first("omb_number"), first("form_type"), F.max("agency").alias("agency"), first("tax_year"),
-        F.sum(F.col("keywords") - F.col("_tail_kw")).cast("int").alias("keywords"), F.sum("_len").alias("_len"), F.count("*").alias("page_count"),
-        F.min_by("_len", "page").alias("_first_len"))
+        F.sum("keywords").cast("int").alias("keywords"), F.sum(page_len).alias("_len"), F.count_if(F.col("_gap") == 0).alias("page_count"),
+        F.min_by("_len", F.when(F.col("_gap") == 0, F.col("page"))).alias("_first_len"))
     out = verdict(g, F.col("_len"), t)
     scan = F.col("_len") < 50
     out = out.withColumns({

@@ -42,7 +42,7 @@ _add("duplicate_keys", lambda s, d: R.duplicate_keys(_d(s, d, "select l_orderkey
      "select pk, 'DB_DUPLICATE_PK' as code, cast(pk as varchar) as value from (select l_orderkey * 8 + l_linenumber as pk from lineitem) z group by pk having count(*) > 1")
 
 _SF = "select event_id as doc_id, case when event_type = 'error' then 'W-2' else '1040' end as form_type, concat('field_', cast(event_id % 30 as varchar(12))) as field, case when event_id % 4 = 0 then 'null' else 'str' end as kind from {events}"
-_TPL = "select distinct case when p_size % 2 = 0 then 'W-2' else '1040' end as form_type, concat('field_', cast(p_size as varchar(12))) as key from {part} where p_size < 25"
+_TPL = "select distinct case when p_size % 2 = 0 then 'W-2' else '1040' end as form_type, concat(case when p_size < 25 then 'field_' else 'other_' end, cast(p_size as varchar(12))) as key from {part}"
 _add("schema_drift", lambda s, d: R.schema_drift(_d(s, d, _SF, "events"), _d(s, d, _TPL, "part")),
      f"select doc_id, 'DB_SCHEMA_DRIFT' as code, field as value from ({I.plain(_SF, 'events')}) f where not exists (select 1 from ({I.plain(_TPL, 'part')}) t where t.form_type = f.form_type and t.key = f.field)")
 _add("not_null_fields", lambda s, d: R.not_null_violations(_d(s, d, _SF, "events"), _d(s, d, _TPL, "part").withColumnRenamed("key", "field")),
@@ -53,7 +53,7 @@ _add("bbox_drift", lambda s, d: R.bbox_drift(_d(s, d, _BOX, "lineitem").select("
      f"select doc_id, field, 'LLM_CONTEXT_DRIFT' as code from ({I.plain(_BOX, 'lineitem')}) b where abs(ex - ax) > 15 or abs(ey - ay) > 15")
 
 _HF = "select o_orderkey as doc_id, 'priority' as field, o_orderpriority as s from {orders} union all select o_orderkey, 'status', case when o_orderkey % 9 = 0 then 'ZZ' else o_orderstatus end from {orders}"
-_HW = "select o_orderkey as doc_id, lower(o_orderpriority) as word from {orders} where o_orderkey % 8 <> 1 union all select o_orderkey, o_orderstatus from {orders}"
+_HW = "select o_orderkey as doc_id, case when o_orderkey % 8 = 1 then 'blank' else lower(o_orderpriority) end as word from {orders} union all select o_orderkey, o_orderstatus from {orders}"
 _add("ungrounded_values", lambda s, d: R.ungrounded_values(_d(s, d, _HF, "orders"), _d(s, d, _HW, "orders")),
      f"select doc_id, field, 'LLM_HALLUCINATED' as code, s as value from ({I.plain(_HF, 'orders')}) f where not exists (select 1 from ({I.plain(_HW, 'orders')}) w where w.doc_id = f.doc_id and lower(w.word) = lower(f.s))")
 
@@ -69,7 +69,7 @@ _add("wrong_entity", lambda s, d: R.wrong_entities(_d(s, d, _DC, "orders"), _d(s
 _add("dup_profile", lambda s, d: R.duplicate_profiles(_d(s, d, _CC, "customer")),
      f"select replace(tax_id, '-', '') as tin, 'ENG_DUPLICATE_PROFILE' as code, cast(count(distinct client_id) as varchar) as value from ({I.plain(_CC, 'customer')}) c group by 1 having count(distinct client_id) > 1")
 _ML = "select event_id as doc_id, user_id % 7 as mail_id, case when event_id % 3 = 0 then concat('a@Firm', cast(user_id % 25 as varchar(12)), '.com') else concat('b@out', cast(user_id as varchar(12)), '.net') end as sender, concat('ssn', cast(user_id as varchar(12))) as ssn from {events}"
-_DM = "select concat('firm', cast(n_nationkey as varchar(12)), '.com') as domain from {nation} where n_nationkey < 20"
+_DM = "select case when n_regionkey = 4 then concat('org', cast(n_nationkey as varchar(12)), '.net') else concat('firm', cast(n_nationkey as varchar(12)), '.com') end as domain from {nation}"
 _add("unknown_sender", lambda s, d: R.unknown_senders(_d(s, d, _ML, "events"), _d(s, d, _DM, "nation")),
      f"select doc_id, 'EMAIL_UNKNOWN_SENDER' as code, lower(split_part(sender, '@', 2)) as value from ({I.plain(_ML, 'events')}) m where lower(split_part(sender, '@', 2)) not in (select domain from ({I.plain(_DM, 'nation')}) d)")
 _add("multi_client_mail", lambda s, d: R.multi_client_mails(_d(s, d, _ML, "events")),

@@ -72,8 +72,7 @@ def validate_payloads(df: DataFrame, t: Thresholds = DEFAULTS, **flatten_options
 
 def revalidate_with_fixes(docs: DataFrame, fixes: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
     """Patch the documents that have fixes and run the chain on those only."""
-    touched = docs.join(fixes.select("doc_id").distinct(), "doc_id", "left_semi")
-    return validate(apply_to_records(touched, fixes), t)
+    return validate(apply_to_records(docs, fixes, only_touched=True), t)
 
 
 def response(validated: DataFrame) -> DataFrame:
