@@ -109,3 +109,14 @@ def test_patch_paths(spark):
     fixes = spark.createDataFrame([(0, 1, "wages", "7"), (0, 2, "wages", "8")], "doc_id int, seq int, field string, new_value string")
     got = {r["path"]: (r["new_raw"], r["patched"]) for r in patch_paths(leaves, fixes).collect()}
     assert got == {"w.box_1_wages": ("8", True), "list.0.wages": ("8", True), "z": ("1", False)}
+
+
+def test_apply_to_records(spark):
+    from formweave.operators.fixes import apply_to_records
+
+    d = FL.flatten_payload(payloads(spark, {"a_amount": "x", "b": 1, "c": "keep"}, {"b": 2}))
+    fixes = spark.createDataFrame([(0, 1, "a_amount", "$1,000"), (0, 2, "b", "5"), (0, 3, "b", " (7.5) "), (0, 4, "new", "yes"), (0, 5, "c", "n/a"), (0, 6, "", "z")], "doc_id int, seq int, field string, new_value string")
+    got = flat(apply_to_records(d, fixes))
+    assert got[0] == [("a_amount", "num", "1000.0", 1000.0, None), ("b", "num", "7.5", 7.5, None), ("c", "null", None, None, None), ("new", "bool", "True", None, True)]
+    assert got[1] == [("b", "num", "2", 2.0, None)]
+    assert list(flat(apply_to_records(d, fixes, only_touched=True))) == [0]
