@@ -206,3 +206,30 @@ def strict_submissions(spark, sf_dir):
 
 QUERIES["strict_submissions"] = strict_submissions
 ORACLE["strict_submissions"] = f"with {_PREP}, k as (select 'client ' || c_custkey as client_key from customer where c_acctbal > 0) select document_type, count(*) as n, case when k.client_key is not null then 'accepted' else 'rejected' end as outcome from sub left join k using (client_key) group by 1, 3"
+
+_PATH_SQL = "select concat('D', cast(o_orderkey as varchar(12))) as document_id, case when o_orderkey % 3 = 0 then '' else concat('/x/', o_orderstatus, '.json') end as local_json_path, o_orderdate as ts from {orders}"
+
+
+def json_path_update(spark, sf_dir):
+    """Stored path replaced where a new one is given."""
+    led = I.derive(spark, sf_dir, _LED_NAMES_SQL, "orders").select("document_id", F.lit("/old.json").alias("local_json_path"))
+    return L.set_json_path(led, I.derive(spark, sf_dir, _PATH_SQL, "orders"))
+
+
+QUERIES["json_path_update"] = json_path_update
+ORACLE["json_path_update"] = f"select document_id, case when local_json_path = '' then '/old.json' else local_json_path end as local_json_path from ({I.plain(_PATH_SQL, 'orders')}) p"
+
+_SUBM_SQL = """select event_id as seq, ts, case when event_id % 7 = 0 then concat('Override ', cast(user_id as varchar(12))) end as name_override, case when event_id % 3 = 0 then concat('Found ', cast(user_id as varchar(12))) when event_id % 3 = 1 then '' end as extracted_name,
+ case when event_id % 5 = 0 then 'From Context' end as ctx_client_name, concat('file', cast(event_id as varchar(12)), '.pdf') as filename, case when event_type = 'error' then '' when event_type = 'view' then 'W-2' end as form_type,
+ case when event_id % 2 = 0 then '2025' else '2024' end as ctx_tax_year from {events}"""
+
+
+def ledger_submissions(spark, sf_dir):
+    """Submissions assembled from extraction rows."""
+    from ..operators.export import submission
+
+    return submission(I.derive(spark, sf_dir, _SUBM_SQL, "events")).select("seq", "client_name", "document_type", "description", "source", "tax_year")
+
+
+QUERIES["ledger_submissions"] = ledger_submissions
+ORACLE["ledger_submissions"] = f"select seq, coalesce(name_override, nullif(extracted_name, ''), ctx_client_name, filename) as client_name, coalesce(nullif(form_type, ''), 'Unknown') as document_type, 'Auto-extracted: ' || filename as description, filename as source, cast(ctx_tax_year as int) as tax_year from ({I.plain(_SUBM_SQL, 'events')}) z"

@@ -423,3 +423,31 @@ _IGNORE_SQL = "select o_orderkey as doc_id, case o_orderkey % 2 when 0 then 'ID_
 QUERIES["split_ignored"] = split_ignored
 ORACLE["split_ignored"] = f"""{_ALL_EXC}, ig as ({I.plain(_IGNORE_SQL, 'orders')}) select ex.code, count(*) as n, case when ig.doc_id is null then 'active' else 'ignored' end as state
  from ex left join ig on ig.doc_id = ex.doc_id and ig.exc_id = ex.code || ':' || coalesce(ex.field, 'document') group by 1, 3"""
+
+
+# --- edits and approvals ----------------------------------------------------------------------------------------------
+_ACC_SQL = "select o_orderkey as doc_id, 'employer_name' as field, 'ACME' as new_value from {orders} union all select o_orderkey, 'employee_ssn', '111-22-3333' from {orders} where o_orderstatus = 'F'"
+_EDIT_SQL = "select o_orderkey as doc_id, 'employer_name' as field, o_orderpriority as new_value from {orders} where o_orderstatus = 'O'"
+
+
+def change_log(spark, sf_dir):
+    """Accepted proposals and manual edits applied, as old and new text per changed field; edits win."""
+    fields = to_long(I.w2_docs(spark, sf_dir), "doc_id")
+    fixes = C.build_fixes(I.derive(spark, sf_dir, _ACC_SQL, "orders"), I.derive(spark, sf_dir, _EDIT_SQL, "orders"))
+    return FX.change_log(fields, FX.apply_to_long(fields, fixes))
+
+
+QUERIES["change_log"] = change_log
+ORACLE["change_log"] = f"""with {_W2_BASE}, fx as (select a.doc_id, a.field, coalesce(e.new_value, a.new_value) as v from ({I.plain(_ACC_SQL, 'orders')}) a left join ({I.plain(_EDIT_SQL, 'orders')}) e on e.doc_id = a.doc_id and e.field = a.field),
+ o as (select doc_id, 'employer_name' as field, employer_s as s from base union all select doc_id, 'employee_ssn', ssn_s from base) select o.doc_id, o.field, o.s as old_value, fx.v as new_value from o join fx on fx.doc_id = o.doc_id and fx.field = o.field where o.s is distinct from fx.v"""
+
+
+def approve_all(spark, sf_dir):
+    """Triage after every field was approved: only exceptions without a field can remain."""
+    d = I.w2_docs(spark, sf_dir).withColumn("hv", C.all_verified(F.col("fields")))
+    v = validate(d, forms=["W-2"])
+    return v.groupBy("confidence", "document_confidence", "needs_review").agg(F.count("*").alias("n"))
+
+
+QUERIES["approve_all"] = approve_all
+ORACLE["approve_all"] = f"with {_W2_BASE} select 'HIGH' as confidence, cast(1.0 as double) as document_confidence, false as needs_review, count(*) as n from base"
