@@ -120,3 +120,33 @@ def test_apply_to_records(spark):
     assert got[0] == [("a_amount", "num", "1000.0", 1000.0, None), ("b", "num", "7.5", 7.5, None), ("c", "null", None, None, None), ("new", "bool", "True", None, True)]
     assert got[1] == [("b", "num", "2", 2.0, None)]
     assert list(flat(apply_to_records(d, fixes, only_touched=True))) == [0]
+
+
+def test_writers(spark, tmp_path):
+    from formweave.operators import ledger as L
+    from formweave.operators.export import safe_projection
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text(json.dumps({"a": 1}))
+    got = readers.read_extractions(spark, str(tmp_path / "in")).first()
+    assert got["source"] == "x.json" and json.loads(got["payload"]) == {"a": 1}
+    rows = [("DOC-1", "f.pdf", "W-2", "s", "ui", "2026-01-01 00:00:00", 1, "old"), ("DOC-1", "f.pdf", "W-2", "s", "ui", "2026-01-02 00:00:00", 2, "new"), (None, "My File.pdf", "1040", "s", "ui", "2026-01-01 00:00:00", 3, "p")]
+    d = spark.createDataFrame(rows, "document_id string, filename string, form_type string, session_id string, source string, t string, seq int, payload string").withColumn("ts", F.col("t").cast("timestamp"))
+    sinks.write_snapshots(d, str(tmp_path / "snap"))
+    snap = {r["storage_key"]: r["payload"] for r in spark.read.json(str(tmp_path / "snap")).collect()}
+    assert snap == {"doc-1": "new", "my_file": "p"}
+    sub = d.select(F.lit("Ann").alias("client_name"), F.col("form_type").alias("document_type"), F.lit(2025).alias("tax_year"), "ts", F.col("seq").cast("bigint").alias("seq"))
+    log = L.document_log(L.history(L.prepare(sub))).drop("at", "sig")
+    for _ in range(2):
+        sinks.append_log(log, str(tmp_path / "log"))
+    back = spark.read.parquet(str(tmp_path / "log"))
+    assert back.count() == 2 * log.count() and back.where("form_type = '1040'").count() == 2
+    assert "raw_text" not in safe_projection(d.withColumn("raw_text", F.lit("x"))).columns
+
+
+def test_seed_is_idempotent(spark):
+    seed = spark.createDataFrame([("state", "NY"), ("state", "CA"), ("state", "CA")], "enum_type string, code string")
+    have = spark.createDataFrame([("state", "NY")], "enum_type string, code string")
+    new = readers.seed_dimension(have, seed)
+    assert [r["code"] for r in new.collect()] == ["CA"]
+    assert readers.seed_dimension(have.unionByName(new), seed).count() == 0
