@@ -53,7 +53,7 @@ select o_orderkey as doc_id, 'W-2' as form_type,
        when o_orderkey % 43 = 0 then o_totalprice * 10 when o_orderkey % 47 = 0 then o_totalprice * 100
        else o_totalprice end as wages_n,
   case when o_orderkey % 17 = 0 then '0' when o_orderkey % 19 = 0 then '—' when o_orderkey % 23 = 0 then 'N/A'
-       when o_orderkey % 29 = 0 then '54,23I.00' when o_orderkey % 31 = 0 then '(1,250.75)' else null end as wages_s,
+       when o_orderkey % 29 = 0 then '54,23I.00' when o_orderkey % 31 = 0 then '(1,250.75)' when o_orderkey % 73 = 0 then 'unreadable' when o_orderkey % 79 = 0 then 'NONE' else null end as wages_s,
   {money('o_totalprice * 0.15')} as fed_n,
   case when o_orderkey % 13 = 0 then 170000.0 else least(o_totalprice, 168600.0) end as ssw_n,
   {money('least(o_totalprice, 168600.0) * 0.062')} + case when o_orderkey % 7 = 0 then 5.0 else 0.0 end as sst_n,
@@ -68,7 +68,7 @@ select o_orderkey as doc_id, 'W-2' as form_type,
   case when o_custkey % 5 = 0 then 'Globex Corporation' when o_custkey % 5 = 1 then 'ACME HOLDINGS LLC'
        when o_custkey % 5 = 2 then 'O''Brien & Mc-Donald' when o_custkey % 5 = 3 then 'umbrella group' else 'ABC Corp' end as employer_s,
   case when o_orderkey % 71 = 0 then '  ' when o_custkey % 2 = 0 then upper(c_name) else c_name end as employee_s,
-  case when o_orderkey % 3 = 0 then concat(cast(o_custkey as varchar(12)), ' Oak Street St, Springfield, IL ', lpad(cast(o_custkey % 100000 as varchar(12)), 5, '0'), ' United States')
+  case when o_orderkey % 3 = 0 then concat(cast(o_custkey as varchar(12)), ' Oak St, Springfield, IL ', lpad(cast(o_custkey % 100000 as varchar(12)), 5, '0'), ' United States')
        when o_orderkey % 3 = 1 then '12 Elm Ave' else null end as address_s,
   2020 + cast(o_orderkey % 9 as int) as year_n
 from {{orders}} join {{customer}} on o_custkey = c_custkey
