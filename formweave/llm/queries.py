@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from formweave.llm import q_decontaminate
+from formweave.llm import q_decontaminate, q_jaccard
 
-_PARTS = [q_decontaminate]
+_PARTS = [q_decontaminate, q_jaccard]
 QUERIES = {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _PARTS for k, v in m.ORACLE.items()}
