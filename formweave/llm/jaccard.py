@@ -7,13 +7,14 @@ node, named by a 64-bit hash of the set, and copies are never paired.
 Bounds that follow from the sizes keep the product sparse and lose nothing. In any fixed order of the n-grams, two sets with
 Jaccard similarity t share one of their first n - ceil(t n) + 1 n-grams, so only these columns are multiplied. The order is by
 hash, with frequent n-grams (``FREQUENT`` sets or more; the ``MOST`` most frequent at most, a bounded broadcast; counted over
-all sets) last: the order decides the work, never the result. Columns are dealt to blocks by hash. A block multiplies its
+all sets) last and the most frequent of them at the end: the order decides the work, never the result. Columns are dealt to blocks by hash. A block multiplies its
 columns and adds up the overlap of each pair; the overlaps are added over the blocks, and a pair is dropped when its overlap
 plus all that may follow cannot reach ceil(t / (1 + t) (n1 + n2)). The rest are intersected in full.
 
 A column still longer than ``LONG`` (large groups of near copies) gives no pairs but a list of its sets. Each set is compared
-with one leader of the column; when the components of all links found so far are known, the sets outside a column's largest
-component are compared with those of other components there. Pairs left out then lie inside one component already.
+with one leader of the column. When the components of all links found so far are known, sets of columns that hang together
+form a cluster; where it has several components, the sets outside the largest are multiplied with all others in blocks of
+``TILE`` by ``TILE`` sets, and a block returns only links that connect. Pairs left out lie inside one component already.
 
 Null and empty texts: no n-grams, alone in their component. Equal rows are members of one node. A null id never is the
 smallest; a component of null ids only has a null id. An empty table gives an empty result.
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,7 @@ from formweave.llm.graph import components
 from formweave.llm.tables import stored
 
 SIZE, PERCENT = 5, 80
-FREQUENT, MOST, LONG = 64, 1 << 20, 64
-_COUNTED = 0.4  # n-grams with a hash in this lower part are counted; later ones are rarely among a set's first
+FREQUENT, MOST, LONG, TILE = 64, 1 << 20, 64, 512
 
 
 def sets_of(w: W.Words, size: int) -> Iterator[np.ndarray]:
@@ -120,8 +121,8 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
 
-def frequent(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most: int = MOST) -> np.ndarray:
-    """Sorted (block, lower bits) of the n-grams that ``least`` or more sets hold; at most ``most`` of them."""
+def frequent(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted (block, lower bits) of the n-grams that ``least`` or more sets hold, and how many; at most ``most`` of them."""
     blocks = _blocks(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +131,7 @@ def frequent(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most:
             for s in sets:
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    out.add(s[: np.searchsorted(s, np.uint64(int(_COUNTED * 2**64)))])
+                    out.add(s)
             if out.n > 4 << 20:
                 yield out.rows(group=True)
                 seen.clear()
@@ -147,18 +148,18 @@ def frequent(docs: DataFrame, text: str, size: int, least: int = FREQUENT, most:
         return pa.table({"key": (v[at][keep].astype(np.int64) | (block << 32)), "sets": total[keep]})
 
     sums = docs.select(text).mapInArrow(count, "block int, c0 binary, c1 binary").groupBy("block").applyInArrow(add_up, "key long, sets long")
-    top = sums.orderBy(F.desc("sets"), "key").limit(most).select("key").toPandas()["key"]
-    return np.sort(top.to_numpy(np.int64))
+    top = sums.orderBy(F.desc("sets"), "key").limit(most).toPandas().sort_values("key")
+    return top["key"].to_numpy(np.int64), top["sets"].to_numpy(np.int64)
 
 
-def product(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarray, long: int = LONG) -> DataFrame:
+def product(docs: DataFrame, text: str, size: int, percent: int, late: tuple[np.ndarray, np.ndarray], long: int = LONG) -> DataFrame:
     """``a``, ``b``, ``na``, ``nb``, ``n`` (overlap within a block) per pair, and rows with ``b`` null: ``a`` is listed in the long column ``n``."""
     blocks = _blocks(docs)
     bits = blocks.bit_length() - 1
     known = docs.sparkSession.sparkContext.broadcast(late)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, seen, late = _Blobs(blocks, np.uint64, np.int64, np.int32), set(), known.value
+        out, seen, (late, sets_with) = _Blobs(blocks, np.uint64, np.int64, np.int32), set(), known.value
         for _, _, sets in _sets(batches, 0, size):
             for s in sets:
                 if not len(s) or (node := node_of(s)) in seen:
@@ -169,9 +170,10 @@ def product(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarra
                 take = s[:p]
                 if len(late):
                     key = (s >> np.uint64(64 - bits)).astype(np.int64) << 32 | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    often = late[np.minimum(np.searchsorted(late, key), len(late) - 1)] == key
+                    at = np.minimum(np.searchsorted(late, key), len(late) - 1)
+                    often = late[at] == key
                     if often[:p].any():
-                        take = np.concatenate([s[~often], s[often]])[:p]
+                        take = s[np.argsort(np.where(often, sets_with[at], 0), kind="stable")[:p]]
                 out.add(take, np.full(len(take), node, np.int64), np.full(len(take), n, np.int32))
             if out.n > 2 << 20:
                 yield out.rows()
@@ -217,10 +219,9 @@ def product(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarra
     return docs.select(text).mapInArrow(rows, "block int, c0 binary, c1 binary, c2 binary").groupBy("block").applyInArrow(multiply, "a long, b long, na long, nb long, n long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """Links among the pairs (a, b), by intersecting whole sets: ``a``, ``b``, ``overlap``."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    one = who.where("node is not null").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("k")).join(need, "node", "left_semi").select("k.th", F.col("k.doc_id").alias("_id")).distinct()
+def _grams(nodes: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int) -> DataFrame:
+    """``node``, ``grams`` (the whole set, sorted) of the nodes asked for."""
+    one = who.where("node is not null").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("k")).join(nodes, "node", "left_semi").select("k.th", F.col("k.doc_id").alias("_id")).distinct()
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = rows.alias("r").join(one.alias("o"), (F.col("r.th") == F.col("o.th")) & F.col("r._id").eqNullSafe(F.col("o._id")), "left_semi").select("text")
 
@@ -228,12 +229,74 @@ def _verified(pairs: DataFrame, docs: DataFrame, who: DataFrame, text: str, size
         for _, _, sets in _sets(batches, 0, size):
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
 
-    grams = rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+    return rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """Links among the pairs (a, b), by intersecting whole sets: ``a``, ``b``, ``overlap``."""
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    grams = _grams(need, docs, who, text, size)
     both = pairs.join(grams.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a").join(grams.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("overlap"), (F.size("ga") + F.size("gb")).alias("sum"))
+    both = both.select("a", "b", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"), (F.size("ga") + F.size("gb")).alias("sum"))
     return both.where(F.col("overlap") * 100 >= percent * (F.col("sum") - F.col("overlap"))).select("a", "b", "overlap")
 
 
+def _tiled(listed: DataFrame, labels: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """Links between components among sets whose long columns hang together: ``a``, ``b``, ``overlap``."""
+    leader = listed.groupBy("col").agg(F.min("a").alias("lead"))
+    hang = listed.join(leader, "col").select("a", F.col("lead").alias("b")).distinct()
+    clusters = components(hang).select(F.col("node"), F.col("label").alias("cluster"))
+    own = clusters.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = own.groupBy("cluster", "label").count().groupBy("cluster").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("all"), F.count("*").alias("k")).where("k > 1")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    sizes = sizes.select("cluster", F.col("m.label").alias("main"), tiles(F.col("m.count")).alias("mains"), tiles(F.col("all") - F.col("m.count")).alias("rests"))
+    own = own.join(sizes, "cluster").withColumn("rest", F.col("label") != F.col("main"))
+    own = own.withColumn("tile", F.pmod(F.xxhash64("node"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    pair = lambda i, j, kind: F.struct(i.alias("i"), j.alias("j"), F.lit(kind).alias("kind"))
+    where = F.when(F.col("rest"), F.concat(F.transform(upto("mains"), lambda j: pair(F.col("tile"), j, 0)), F.transform(upto("rests"), lambda j: pair(F.least("tile", j), F.greatest("tile", j), 1))))
+    own = stored(own.select("node", "cluster", "label", "rest", "tile", F.explode(where.otherwise(F.transform(upto("rests"), lambda i: pair(i, F.col("tile"), 0)))).alias("at")), "tiles")
+    grams = _grams(own.select("node").distinct(), docs, who, text, size)
+
+    def multiply(table: pa.Table) -> pa.Table:
+        node, label, rest = (np.asarray(table.column(c)) for c in ("node", "label", "rest"))
+        lists = table.column("grams").combine_chunks()
+        row, gram = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
+        n = np.bincount(row, minlength=len(node))
+        _, column, held = np.unique(gram, return_inverse=True, return_counts=True)
+        shared = held > 1
+        place = (np.cumsum(shared) - 1)[column]
+        use = np.flatnonzero(shared[column])
+        use = use[np.argsort(place[use], kind="stable")]
+        both = np.zeros((int(rest.sum()), len(node)), np.float32)
+        for c in range(0, int(shared.sum()), 4096):  # so many columns at a time
+            part = use[np.searchsorted(place[use], c) : np.searchsorted(place[use], c + 4096)]
+            matrix = np.zeros((len(node), 4096), np.float32)
+            matrix[row[part], place[part] - c] = 1
+            both += matrix[rest] @ matrix.T
+        both = np.rint(both).astype(np.int64)
+        i, j = np.nonzero(both * 100 >= percent * (n[rest][:, None] + n[None, :] - both))
+        i = np.flatnonzero(rest)[i]
+        up = {int(x): int(x) for x in np.unique(label)}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        out = []
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):
+            a, b = top(int(label[x])), top(int(label[y]))
+            if a != b:
+                up[a] = b
+                low, high = sorted((int(node[x]), int(node[y])))
+                out.append((low, high, len(np.intersect1d(gram[row == x], gram[row == y]))))
+        return pa.table([pa.array(list(c), pa.int64()) for c in (zip(*out, strict=True) if out else ((), (), ()))], names=["a", "b", "overlap"])
+
+    return own.join(grams, "node").select("node", "label", "rest", "grams", "cluster", F.col("at.i").alias("i"), F.col("at.j").alias("j"), F.col("at.kind").alias("kind")).groupBy("cluster", "i", "j", "kind").applyInArrow(
+        multiply, "a long, b long, overlap long")
+
+
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, links, labels): the node of each row; links ``a``, ``b``, ``overlap`` between nodes that make up all
     components (every link but those between sets of one long column that are connected already); ``node``, ``label``."""
@@ -256,16 +319,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     links = stored(_verified(pairs, docs, who, "text", size, percent), "links")
     labels = components(links)
     if not listed.isEmpty():
-        here = listed.join(labels.withColumnRenamed("node", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-        here = stored(here, "columns")
-        largest = here.groupBy("col", "label").count().groupBy("col").agg(F.max(F.struct("count", "label")).alias("l"), F.count("*").alias("k")).where("k > 1").select("col", F.col("l.label").alias("main"))
-        here = here.join(largest, "col")
-        rest = here.where("label <> main").select("col", F.col("a").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-        more = rest.join(here, "col").where((F.col("label") != F.col("other")) & fits(F.col("n"), F.col("m"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            links = stored(links.union(_verified(more, docs, who, "text", size, percent)), "links")
-            labels = components(links)
+        links = stored(links.union(_tiled(listed, labels, docs, who, text, size, percent)).distinct(), "links")
+        labels = components(links)
     return who, links, labels
 
 
