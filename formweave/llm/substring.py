@@ -152,22 +152,24 @@ def _contents(rows: DataFrame, window: int, blocks: int) -> DataFrame:
                 first, length = w.first[text] + start, m.astype(np.int64) + window - 1
                 fits = start + length <= w.count()[text]
                 fits[fits] = run_hash(w, first[fits], length[fits]).view(np.int64) == seg[fits]  # else another row with the same key
-                out = []
-                for i in np.flatnonzero(fits).tolist():
-                    body = w.hash[first[i] : first[i] + length[i]]
-                    if not crowded[i]:
-                        out.append((int(anchor[i] >> 32), int(anchor[i]), int(seg[i]), int(n[i]), int(m[i]), body.tobytes(), int(anchor[i]), int(seg[i]), 0, False))
-                        continue
-                    spots = first[i] + np.arange(m[i])
-                    one, two = (run_hash(w, spots, np.full(m[i], window), seed).view(np.int64).tolist() for seed in (31, 32))
-                    out += [((x >> (64 - bits)) & ((1 << bits) - 1), x, y, int(n[i]), 1, body[k : k + window].tobytes(), int(anchor[i]), int(seg[i]), k, True) for k, (x, y) in enumerate(zip(one, two, strict=True))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)] if out else [pa.array([], t) for t in _TYPES], names=fields)
+                plain, single = np.flatnonzero(fits & ~crowded), np.flatnonzero(fits & crowded)
+                off = np.concatenate([np.arange(x) for x in m[single]]) if len(single) else np.empty(0, np.int64)
+                single = np.repeat(single, m[single])
+                spots, width = first[single] + off, np.full(len(single), window)
+                one, two = (run_hash(w, spots, width, seed).view(np.int64) for seed in (31, 32))
+                every = np.concatenate([plain, single])
+                begin, width = np.concatenate([first[plain], spots]), np.concatenate([length[plain], width])
+                ends = np.concatenate([[0], np.cumsum(width)])
+                body = w.hash[np.repeat(begin - ends[:-1], width) + np.arange(ends[-1])]
+                zero, is_single = np.zeros(len(plain), np.int64), np.arange(len(every)) >= len(plain)
+                columns = [np.concatenate([anchor[plain] >> 32, (one.view(_U) >> _U(64 - bits)).astype(np.int64)]).astype(np.int32), np.concatenate([anchor[plain], one]), np.concatenate([seg[plain], two]), n[every],
+                           np.where(is_single, 1, m[every]).astype(np.int32), None, anchor[every], seg[every], np.concatenate([zero, off]).astype(np.int32), is_single]
+                columns = [pa.array(c) if c is not None else pa.Array.from_buffers(pa.binary(), len(every), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(body)]) for c in columns]
+                yield pa.RecordBatch.from_arrays(columns, names=fields)
 
     return rows.mapInArrow(cut, "block int, id1 long, id2 long, n long, m int, body binary, anchor long, seg long, off int, crowded boolean")
 
 
-_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
-
 
 def _searched(contents: DataFrame, window: int) -> DataFrame:
     """``id1``, ``id2``, ``bits``: which windows of a class occur twice or more."""
@@ -207,7 +209,7 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
         contents = stored(contents, "contents")
         plain = contents.where("not crowded").select("block", "id1", "id2", "n", "m", "body")
         single = contents.where("crowded")
-        found = _searched(plain.union(single.groupBy("block", "id1", "id2").agg(F.sum("n").alias("n"), F.first("m").alias("m"), F.first("body").alias("body"))), window)
+        found = _searched(plain.union(single.groupBy("block", "id1", "id2").agg(F.sum("n").alias("n"), F.first("m").alias("m"), F.first("body").alias("body")).where("n > 1")), window)
         found = stored(found, "found")
         own = single.select("id1", "id2", "anchor", "seg", "off").join(found.where("bits <> 0"), ["id1", "id2"]).groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
         found = found.join(single.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti").select(F.col("id1").alias("anchor"), F.col("id2").alias("seg"), "bits").union(own)
@@ -225,10 +227,8 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, lists = batch.column(1).to_pylist(), batch.column(2)
-            count, spans, kept = [], [], []
             for a, b, w in W.words(batch.column(1)):
-                part = lists.slice(a, b - a)
+                part, raw = batch.column(2).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
                 text, flat = np.asarray(pc.list_parent_indices(part)).astype(np.int64), part.flatten()
                 delta = np.zeros(len(w.hash) + window + 1, np.int64)
                 if len(flat):
@@ -241,17 +241,15 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
                         np.add.at(delta, first[on] + k, 1)
                         np.add.at(delta, first[on] + k + window, -1)
                 gone = np.cumsum(delta[: len(w.hash)]) > 0
-                count += w.count().tolist()
+                spans, kept = [], []
                 for d in range(b - a):
-                    own, all_words = gone[w.first[d] : w.first[d + 1]], raw[a + d].encode().split()
-                    if own.any():
-                        edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2).tolist()
+                    own, all_words = gone[w.first[d] : w.first[d + 1]], raw[d].encode().split()
+                    edges = np.flatnonzero(np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))).reshape(-1, 2).tolist() if own.any() else []
+                    if edges:
                         left = [0, *(e[1] for e in edges)]
-                        all_words = [x for x, (y, _) in zip(left, [*edges, [len(all_words), 0]], strict=True) for x in all_words[x:y]]
-                    else:
-                        edges = []
+                        all_words = [x for i, (j, _) in zip(left, [*edges, [len(all_words), 0]], strict=True) for x in all_words[i:j]]
                     spans.append(edges)
                     kept.append(b" ".join(all_words).decode())
-            yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(w.count(), pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
     return rows.join(marks, "key", "left").select("doc_id", "text", "marks").mapInArrow(cover, f"doc_id {kind}, n_words long, spans array<array<int>>, kept string")
