@@ -68,3 +68,15 @@ def test_empty_table(spark):
 def test_only_texts_without_words(spark):
     got = J.classes(spark.createDataFrame([(1, None, None, None, None), (2, " ", None, None, None)], SCHEMA)).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == [(1, 0, 1), (2, 0, 2)]
+
+
+def test_keep_one(spark):
+    rows = corpus(11)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r)[:2] for r in kept.collect()]
+    alone = {c for _, n, c in brute(rows[:-1]) if n and c is not None}  # the last row repeats an id, and is linked to nothing
+    assert sorted(i for i, t in got if i is not None and (t or "").split()) == sorted([*alone, 7])
+    assert len([1 for i, t in got if not (t or "").split()]) == sum(n == 0 for _, n, _ in brute(rows))
+    assert (None, "null id") in got
