@@ -140,39 +140,40 @@ def lifecycle_by_name(clients: DataFrame) -> DataFrame:
 
 
 # --- containment ------------------------------------------------------------------------------------------------
-GRAM = 3
+LONGEST = 32
 
 
-def _grams(c: Column, n: int) -> Column:
+def _pieces(c: Column, n: int) -> Column:
+    """Distinct substrings of length n."""
     last = F.length(c) - n
     return F.when(last >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(c, i + 1, F.lit(n))))).otherwise(
         F.array().cast("array<string>"))
 
 
-def contained_names(names: DataFrame, clients: DataFrame) -> DataFrame:
+def contained_names(names: DataFrame, clients: DataFrame, longest: int = LONGEST) -> DataFrame:
     """First client whose name contains each given name: (name_key, client_id).
 
-    Exact and without a pairwise join. A name can only be inside a client name that holds all of its
-    three-letter grams, so each name is looked up under its rarest gram; names shorter than that use grams
-    of their own length. Tiers are person, business, trust name; within a tier the oldest client wins.
+    Exact and without a pairwise join: client names are cut into their substrings of the lengths that the given names
+    have, one row per substring keeps the client that wins, and a name is joined with the substring that equals it. So
+    the rows are in proportion to the client text, however similar the names are. Names longer than ``longest`` are joined
+    on so many characters and compared in full. Tiers are person, business, trust name; within a tier the oldest
+    client wins.
     """
     person = F.lower(F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit(""))))
     tiers = F.array(*[F.struct(F.lit(i).alias("tier"), c.alias("full"))
                       for i, c in enumerate([person, F.lower("business_name"), F.lower("trust_name")])])
     full = clients.select("id", "created_at", F.explode(tiers).alias("t")).select("id", "created_at", "t.*").where("full <> ''")
-    # equal full names in a tier differ only in who wins, so the index keeps one row per name
+    # equal full names in a tier differ only in who wins, so one row per name is enough
     full = full.groupBy("tier", "full").agg(F.min(F.struct("created_at", "id")).alias("who"))
-    index = full.select("tier", "full", "who", F.explode(F.concat(*[_grams(F.col("full"), n) for n in range(1, GRAM + 1)])).alias("gram"))
     wanted = names.select(S.strip(F.lower("name_key")).alias("key")).where("key <> ''").distinct()
-    size = F.least(F.length("key"), F.lit(GRAM))
-    probe = wanted.select("key", F.explode(F.when(size == 1, _grams(F.col("key"), 1)).when(size == 2, _grams(F.col("key"), 2))
-                                           .otherwise(_grams(F.col("key"), GRAM))).alias("gram"))
-    weight = index.groupBy("gram").agg(F.count("*").alias("df"))
-    # a gram that no client holds makes the name unmatchable: weight 0 is the rarest of all
-    rarest = probe.join(weight, "gram", "left").groupBy("key").agg(
-        F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("gram"))).alias("gram"))
-    hits = rarest.join(index, "gram").where(F.col("full").contains(F.col("key")))
-    best = hits.groupBy("key").agg(F.min(F.struct("tier", "who")).alias("best"))
+    size = F.least(F.length("key"), F.lit(longest))
+    lengths = sorted(r[0] for r in wanted.select(size.alias("n")).distinct().collect())  # at most `longest` numbers
+    cut = lambda ns: full.select("full", F.struct("tier", "who").alias("best"), F.explode(F.concat(F.array().cast("array<string>"), *[_pieces(F.col("full"), n) for n in ns])).alias("piece"))
+    exact = cut(lengths).groupBy("piece").agg(F.min("best").alias("best"))
+    best = wanted.where(F.length("key") <= longest).join(exact, F.col("key") == F.col("piece")).select("key", "best")
+    if longest in lengths:
+        hits = wanted.where(F.length("key") > longest).withColumn("piece", F.left("key", F.lit(longest))).join(cut([longest]), "piece")
+        best = best.union(hits.where(F.col("full").contains(F.col("key"))).groupBy("key").agg(F.min("best").alias("best")))
     return best.select(F.col("key").alias("name_key"), F.col("best.who.id").alias("client_id"), F.col("best.tier").alias("tier"))
 
 
