@@ -3,6 +3,8 @@
 Every nesting level is opened in place with ``from_json``: a ``map<string,string>`` view keeps the
 document order and the raw text of nested values, a ``map<string,variant>`` view of the same text
 keeps the kind of scalars. Nothing is exploded or shuffled, so a document of any size stays one row.
+As many levels are opened as the deepest payload has: that number comes from one pass over the brackets.
+Of a repeated key the last value counts, at the place of the first.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from .. import fixed_values as V
 from ..functions import scalar as S
 from .records import field_struct, settle
 
-MAX_DEPTH = 6
+ORDINAL = 10  # digits of an entry's number in its group: as many as the largest array index has
 NODE_TYPE = "struct<path:string,prefix:string,key:string,field:string,group:string,raw:string,kind:string>"
 _COERCE_RE = r"^\$?-?[0-9,]+\.?[0-9]*$"
 
@@ -34,6 +36,24 @@ def _kind_of(v: Column) -> Column:
     return S.let(F.schema_of_variant(v), name)
 
 
+def _ordinal(i: Column) -> Column:
+    return F.lpad((i + 1).cast("string"), ORDINAL, "0")
+
+
+def keep_last(a: Column, key) -> Column:
+    """One entry per key: place of the first, value of the last. Entries are sorted once, only where a key repeats."""
+
+    def picked(ordered: Column) -> Column:
+        firsts = F.filter(ordered, lambda x, i: (i == 0) | (F.get(ordered, i - 1)["k"] != x["k"]))
+        lasts = F.filter(ordered, lambda x, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["k"] != x["k"]))
+        places = F.array_sort(F.zip_with(firsts, lasts, lambda f, last: F.struct(f["i"].alias("f"), last["i"].alias("l"))))
+        return F.transform(places, lambda x: F.get(a, x["l"]))
+
+    tagged = F.transform(a, lambda n, i: F.struct(key(n).alias("k"), i.alias("i")))
+    unique = F.size(F.array_distinct(F.transform(a, key))) == F.size(a)
+    return F.when(unique, a).otherwise(S.let(F.array_sort(tagged), picked))
+
+
 def _with_kind(texts: Column, variants: Column) -> Column:
     """Pair raw values with their kinds; both sides are parsed once."""
     return F.zip_with(texts, variants, lambda e, v: F.struct(e.alias("e"), _kind_of(v).alias("kind")))
@@ -41,14 +61,15 @@ def _with_kind(texts: Column, variants: Column) -> Column:
 
 def _open_object(raw: Column, path: Column, prefix: Column, group: Column) -> Column:
     """Entries of one JSON object in document order."""
-    entries = _with_kind(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")))
+    every = _with_kind(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")))
+    entries = S.let(every, lambda a: keep_last(a, lambda x: x["e"]["key"]))
 
     def node(x: Column, i: Column) -> Column:
         k = x["e"]["key"]
         return F.struct(
             F.concat_ws(".", F.nullif(path, F.lit("")), k).alias("path"),
             prefix.alias("prefix"), k.alias("key"), F.concat(prefix, bare_key(k)).alias("field"),
-            F.concat(group, F.lpad((i + 1).cast("string"), 4, "0")).alias("group"),
+            F.concat(group, _ordinal(i)).alias("group"),
             x["e"]["value"].alias("raw"), x["kind"].alias("kind"),
         )
 
@@ -59,18 +80,19 @@ def _list_of_objects(raw: Column) -> Column:
     return raw.rlike(r"^\[\s*\{")
 
 
+def _open_list(raw: Column, path: Column, field: Column, group: Column) -> Column:
+    """Entries of the objects in a list; an item that is not an object adds nothing."""
+    none = F.array().cast(f"array<{NODE_TYPE}>")
+    return F.flatten(F.transform(F.from_json(raw, "array<string>"), lambda it, i: F.coalesce(_open_object(
+        it, F.concat_ws(".", F.nullif(path, F.lit("")), i.cast("string")),
+        F.concat(field, F.lit("_"), i.cast("string"), F.lit("_")),
+        F.concat(group, F.lit("-"), _ordinal(i), F.lit("."))), none)))
+
+
 def _step(nodes: Column, lists_of_scalars: bool) -> Column:
     """Replace container nodes by their entries, keep everything else in place."""
     none = F.array().cast(f"array<{NODE_TYPE}>")
 
-    def open_list(n: Column) -> Column:
-        items = F.from_json(n["raw"], "array<string>")
-        return F.flatten(F.transform(items, lambda it, i: _open_object(
-            it, F.concat_ws(".", n["path"], i.cast("string")),
-            F.concat(n["field"], F.lit("_"), i.cast("string"), F.lit("_")),
-            F.concat(n["group"], F.lit("-"), F.lpad((i + 1).cast("string"), 4, "0"), F.lit("."))))
-        )
-
     def open_scalars(n: Column) -> Column:
         items = _with_kind(F.from_json(n["raw"], "array<string>"), F.from_json(n["raw"], "array<variant>"))
         return F.transform(items, lambda x, i: F.struct(
@@ -82,7 +104,7 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
     def expand(n: Column) -> Column:
         c = F.when(n["kind"] == "dict", F.coalesce(_open_object(
             n["raw"], n["path"], n["prefix"], F.concat(n["group"], F.lit("."))), none))
-        c = c.when((n["kind"] == "list") & _list_of_objects(n["raw"]), F.coalesce(open_list(n), none))
+        c = c.when((n["kind"] == "list") & _list_of_objects(n["raw"]), F.coalesce(_open_list(n["raw"], n["path"], n["field"], n["group"]), none))
         if lists_of_scalars:
             c = c.when(n["kind"] == "list", F.coalesce(open_scalars(n), none))
         return c.otherwise(F.array(n))
@@ -93,13 +115,35 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
     return F.when(again, opened).otherwise(nodes)
 
 
-def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", depth: int = MAX_DEPTH,
+def nesting(payload: Column) -> Column:
+    """How deep the brackets of a JSON text go; brackets inside strings do not count."""
+    bare = F.regexp_replace(F.regexp_replace(payload, r"(?s)\\.", ""), r'"[^"]*+"', "")
+    marks = F.regexp_replace(bare, r"[^\[\]{}]++", "")
+
+    def step(state: Column, c: Column) -> Column:
+        now = state["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
+
+    return F.aggregate(F.split(marks, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda state: state["top"])
+
+
+def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", depth: int | None = None,
                lists_of_scalars: bool = False) -> DataFrame:
-    """Leaves of the payload in depth-first order. One projection per level keeps each expression small."""
-    root = _open_object(F.col(payload), F.lit(""), F.lit(""), F.lit(""))
+    """Leaves of the payload in depth-first order. One projection per level keeps each expression small.
+
+    ``depth`` is the deepest nesting; where it is not given it is measured over all rows. A stream must give it.
+    A payload that is a list is opened like a field ``item``.
+    """
+    # of a repeated key inside a nested object, the last counts
+    df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if depth is None:
+        depth = df.agg(F.max(nesting(F.col(payload)))).first()[0] or 1
+    raw, none = F.col(payload), F.array().cast(f"array<{NODE_TYPE}>")
+    top = lambda x: [F.lit(v) for v in x]
+    root = F.when(raw.rlike(r"^\s*\["), _open_list(raw, *top(("", "item", "")))).otherwise(_open_object(raw, *top(("", "", ""))))
     # settled per level: a level refers to the one below several times
-    df = settle(df, **{out: F.coalesce(root, F.array().cast(f"array<{NODE_TYPE}>"))})
-    for _ in range(depth - 1):
+    df = settle(df, **{out: F.coalesce(root, none)})
+    for _ in range(max(0, depth - 1)):
         df = settle(df, **{out: _step(F.col(out), lists_of_scalars)})
     return df
 
@@ -128,14 +172,7 @@ def _typed(n: Column, number: Column, pos: Column) -> Column:
 
 def _last_wins(nodes: Column) -> Column:
     """One node per field: first position, last value."""
-
-    def merged(a: Column, distinct: Column) -> Column:
-        return F.transform(distinct, lambda k: F.try_element_at(F.filter(a, lambda n: n["field"] == k), F.lit(-1)))
-
-    def on_distinct(a: Column, distinct: Column) -> Column:
-        return F.when(F.size(distinct) == F.size(a), a).otherwise(merged(a, distinct))
-
-    return S.let(nodes, lambda a: S.let(F.array_distinct(F.transform(a, lambda n: n["field"])), lambda dn: on_distinct(a, dn)))
+    return S.let(nodes, lambda a: keep_last(a, lambda n: n["field"]))
 
 
 def _with_person_name(nodes: Column) -> Column:
@@ -148,7 +185,7 @@ def _with_person_name(nodes: Column) -> Column:
     def made(full: Column) -> Column:
         return F.struct(
             F.lit("employee_name").alias("path"), F.lit("").alias("prefix"), F.lit("employee_name").alias("key"),
-            F.lit("employee_name").alias("field"), F.lit("9999").alias("group"), full.alias("raw"), F.lit("str").alias("kind"))
+            F.lit("employee_name").alias("field"), F.lit("9" * ORDINAL).alias("group"), full.alias("raw"), F.lit("str").alias("kind"))
 
     def put(a: Column, full: Column) -> Column:
         exists = F.exists(a, lambda n: n["field"] == "employee_name")
@@ -237,8 +274,8 @@ def _first_name(own: Column) -> Column:
     text = F.filter(own, lambda n: (n["kind"] == "str") & (S.strip(n["raw"]) != ""))
 
     def container(n: Column) -> Column:
-        # groups are 4-digit ordinals per level: the container is everything before the last one
-        return F.regexp_replace(n["group"], r"[0-9]{4}$", "")
+        # groups are ordinals per level: the container is everything before the last one
+        return F.regexp_replace(n["group"], r"[0-9]+$", "")
 
     def ranked(prio: int, hits: Column) -> Column:
         return F.transform(hits, lambda n: F.struct(
@@ -270,7 +307,7 @@ def client_identity(nodes: Column) -> Column:
     text = F.filter(nodes, lambda n: (n["kind"] == "str") & (n["raw"] != ""))
 
     def container(n: Column) -> Column:
-        return F.regexp_replace(n["group"], r"[0-9]{4}$", "")
+        return F.regexp_replace(n["group"], r"[0-9]+$", "")
 
     names = F.transform(F.filter(text, lambda n: (F.lower(n["key"]) == "name") | _ends_with_any(
         F.lower(n["key"]), V.CLIENT_NAME_SUFFIXES + V.ENTITY_NAME_SUFFIXES)),

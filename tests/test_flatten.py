@@ -150,3 +150,51 @@ def test_seed_is_idempotent(spark):
     new = readers.seed_dimension(have, seed)
     assert [r["code"] for r in new.collect()] == ["CA"]
     assert readers.seed_dimension(have.unionByName(new), seed).count() == 0
+
+
+def _leaves(data, prefix=""):
+    """The flattening rule written out: (field, value) pairs in order, later values overwrite."""
+    import re
+
+    out = {}
+
+    def walk(x, prefix):
+        for i, v in enumerate(x) if isinstance(x, list) else ():
+            walk(v, f"item_{i}_")
+        for k, v in x.items() if isinstance(x, dict) else ():
+            bare = re.sub(r"^box_[0-9A-Za-z]+$", "", re.sub(r"^box_[0-9A-Za-z]+_", "", k)) if k.startswith("box_") else k
+            name = prefix + (bare or k)
+            if isinstance(v, dict):
+                walk(v, prefix)
+            elif isinstance(v, list) and v and isinstance(v[0], dict):
+                for i, y in enumerate(v):
+                    walk(y, f"{name}_{i}_")
+            else:
+                out[name] = v
+
+    walk(data, prefix)
+    return list(out)
+
+
+def test_odd_payloads(spark):
+    import json
+
+    deep = '"v"'
+    for i in range(12):
+        deep = f'{{"k{i}":{deep}}}'
+    texts = [
+        '{"a":"1x","b":{"c":1,"c":2},"d":true}', '{"m":[{"a":2},3],"z":"q"}', '[{"a":1,"b":{"c":"x"}},5,{"a":"y"}]', deep,
+        json.dumps({"rows": [{"v": i} for i in range(10050)]}), '{"a":{"x":1},"a":{"y":"{[\\"{"},"b":[1,{"c":2}]}', '{"k":"a","b":1,"k":"c"}', "{}", "[]", None, "not json",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, payload string")
+    got = {r.doc_id: r.fields for r in FL.flatten_payload(df).collect()}
+    for i, t in enumerate(texts):
+        try:
+            want = _leaves(json.loads(t)) if t else []
+        except ValueError:
+            want = []
+        assert [f.field for f in got[i]] == want, t
+    assert {f.field: f.s for f in got[0]} == {"a": "1x", "c": "2", "d": "True"}
+    assert {f.field: f.s for f in got[6]} == {"k": "c", "b": "1"}
+    nodes = {r.doc_id: r.nodes for r in FL.with_nodes(df, lists_of_scalars=True).collect()}
+    assert len({n.group for n in nodes[4]}) == 10050 and [n.group for n in nodes[4]] == sorted(n.group for n in nodes[4])
