@@ -10,15 +10,22 @@ from ..fixed_values import DEFAULTS, Thresholds
 from ..functions import scalar as S
 from .records import settle
 
-PAGE_OVERLAP = 400
+# a match holds fewer units than this; a unit is a run of blanks and hyphens, a number, or another character
+EDGE_UNITS = 64
+_EDGE = rf"^(?:[\s-]++|[0-9]++|[^\s0-9-]){{0,{EDGE_UNITS}}}+"
+
+
+def _loose(name: str) -> str:
+    """Pattern of one form name in which blanks and hyphens may stand, or be left out, between any two characters."""
+    words = name.replace("-", " ").split()
+    gap = r"[\s-]*"
+    return gap.join(gap.join(word) for word in words)
 
 
 def form_name_pattern() -> str:
-    """Any known form name, longest first; blanks and hyphens between its characters are optional."""
-    parts = []
-    for name in sorted(V.GATE_FORMS, key=len, reverse=True):
-        parts.append(r"[\s-]*".join(c for c in name if c not in "- "))
-    return r"(?i)\b(?:Form\s+)?(" + "|".join(parts) + r")\b"
+    """Any known form name; longer names are tried before the names they begin with."""
+    by_length = sorted(V.GATE_FORMS, key=lambda name: -len(name))
+    return rf"(?i)\b(?:Form\s+)?({'|'.join(map(_loose, by_length))})\b"
 
 
 FORM_PATTERN = form_name_pattern()
@@ -74,23 +81,36 @@ def gate(df: DataFrame, text: str = "text", t: Thresholds = DEFAULTS) -> DataFra
 
 
 def _edge(text: Column, side: str) -> Column:
-    """End or start of a page text. A cut edge is closed with a word character, so no match begins or ends there."""
+    """The last or first units of a page text. A cut edge is closed with a word character, so no match begins or ends there."""
     if side == "tail":
-        return F.when(F.length(text) > PAGE_OVERLAP, F.concat(F.lit("_"), F.right(text, F.lit(PAGE_OVERLAP)))).otherwise(text)
-    return F.when(F.length(text) > PAGE_OVERLAP, F.concat(F.left(text, F.lit(PAGE_OVERLAP)), F.lit("_"))).otherwise(text)
+        cut = F.regexp_extract(F.reverse(text), _EDGE, 0)
+        return F.when(F.length(cut) < F.length(text), F.concat(F.lit("_"), F.reverse(cut))).otherwise(text)
+    cut = F.regexp_extract(text, _EDGE, 0)
+    return F.when(F.length(cut) < F.length(text), F.concat(cut, F.lit("_"))).otherwise(text)
 
 
 def gate_pages(pages: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Gate of multi-page documents without joining or shuffling their text.
+    """Gate of multi-page documents, equal to that of the pages joined by line feeds, without shuffling their text.
 
-    Pages are searched where they are read; only findings and the page edges are shuffled. The edges of
-    neighbouring pages are put together to find matches across a page break. The first finding in page
-    order wins and keyword counts add up. Text shorter than 50 characters fails open as a scan.
+    Pages are searched where they are read; only findings and page edges of ``EDGE_UNITS`` units are shuffled, more than
+    any match holds. The end of a page is put together with the beginnings of the pages that follow, up to the first that is
+    longer than its edge. Blank pages belong to the page before them, as a longer break; gaps in the numbering do not matter.
+    The first finding in page order wins and keyword counts add up; a keyword across pages counts where it begins.
+    Text shorter than 50 characters fails open as a scan.
     """
-    own = settle(pages, **signals(F.col("text")), _len=F.length(S.strip(F.col("text"))), _tail=_edge(F.col("text"), "tail"), _head=_edge(F.col("text"), "head")).drop("text")
-    heads = own.select("doc_id", (F.col("page") - 1).alias("page"), F.col("_head").alias("_next"))
-    gaps = own.select("doc_id", "page", "_tail").join(heads, ["doc_id", "page"])
-    window = F.concat(F.col("_tail"), F.lit("\n"), F.col("_next"))
+    body = F.coalesce("text", F.lit(""))
+    own = settle(pages, **signals(body), _len=F.length(S.strip(body)), _blank=~body.rlike(r"\S"), _tail=_edge(body, "tail"), _head=_edge(body, "head")).drop("text")
+    in_order = Window.partitionBy("doc_id").orderBy("page")
+    own = own.withColumn("_no", F.sum(F.when(F.col("_blank"), 0).otherwise(1)).over(in_order))
+    blanks = own.where("_blank").groupBy("doc_id", "_no").agg(F.sort_array(F.collect_list(F.struct("page", F.concat(F.lit("\n"), "_head").alias("t")))).alias("_b"))
+    blanks = blanks.select("doc_id", "_no", F.array_join("_b.t", "").alias("_sep"))
+    solid = own.where("not _blank").join(blanks, ["doc_id", "_no"], "left").withColumn("_sep", F.coalesce("_sep", F.lit("")))
+    head = F.struct(F.concat("_head", "_sep").alias("h"), (F.col("_head").endswith("_") & (F.col("_len") >= EDGE_UNITS)).alias("cut"))
+    solid = solid.withColumn("_heads", F.collect_list(head).over(in_order.rowsBetween(1, EDGE_UNITS)))
+    stop = F.array_position(F.transform("_heads", lambda x: x["cut"]), True).cast("int")
+    heads = F.when(stop > 0, F.slice("_heads", F.lit(1), stop)).otherwise(F.col("_heads"))
+    gaps = solid.where(F.size("_heads") > 0).select("doc_id", "page", "_tail", "_sep", F.array_join(F.transform(heads, lambda x: x["h"]), "\n").alias("_next"))
+    window = F.concat(F.col("_tail"), F.col("_sep"), F.lit("\n"), F.col("_next"))
     gaps = settle(gaps, **signals(window))
     pattern = F.lit(V.KEYWORD_PATTERN)
     across = F.col("keywords") - F.regexp_count("_tail", pattern) - F.regexp_count("_next", pattern)

@@ -16,24 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a source that comes in fewer splits than there are cores (one small file).
-
-    A source of cluster size has far more splits than cores and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """Run a derivation text over parquet tables without registering session-wide views."""
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in tables})
 
 
 def derive_documents(spark: SparkSession, sf_dir: str, sql: str, main: str, *others: str) -> DataFrame:
-    """Derivation whose rows go through heavy per-row work: the main table is spread over the cores."""
-    args = {main: spread(table(spark, sf_dir, main)), **{t: table(spark, sf_dir, t) for t in others}}
-    return spark.sql(sql, **args)
+    """Derivation of documents from a main table and others."""
+    return derive(spark, sf_dir, sql, main, *others)
 
 
 def plain(sql: str, *tables: str) -> str:

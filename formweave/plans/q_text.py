@@ -52,11 +52,15 @@ _add("gate_score", lambda s, d: T.gate(I.derive_documents(s, d, GATE_SQL, "docum
  case when len < 10 then 'Insufficient text extracted to identify document.' when score < 30 then 'Document recognition confidence too low.' end as rejection_reason from g1""")
 _add("gate_envelope", lambda s, d: T.gate_envelope(T.gate(I.derive_documents(s, d, GATE_SQL, "documents"))).groupBy("accepted", "note").agg(F.count("*").alias("n")),
      f"with b as ({I.plain(GATE_SQL, 'documents')}), {_gate_sql('b')} select score >= 30 as accepted, case when score < 30 then 'score ' || score || ' below 30' end as note, count(*) as n from g1 group by 1, 2")
-_add("gate_plain_documents", lambda s, d: T.gate(I.spread(I.table(s, d, "documents").select("doc_id", "text"))).groupBy("score").agg(F.count("*").alias("n")),
+_add("gate_plain_documents", lambda s, d: T.gate(I.table(s, d, "documents").select("doc_id", "text")).groupBy("score").agg(F.count("*").alias("n")),
      f"with {_gate_sql('documents')} select score, count(*) as n from g1 group by 1")
 
-PAGE_SQL = """select conv_id as doc_id, cast(turn as int) as page, concat(case when (conv_id + turn) % 3 = 0 then 'OMB No. 1545-0074 ' else '' end, case when (conv_id + turn) % 5 = 1 then 'Form 1040 2025 ' else '' end,
- case when conv_id % 6 = 0 then left(text, 12) else text end) as text from {conversations}"""
+# whole turns as pages, and between them blank and short pages that a match may run across; some documents are short as a whole
+PAGE_SQL = """select conv_id as doc_id, cast(turn * 3 as int) as page, concat(case when (conv_id + turn) % 3 = 0 then 'OMB No. 1545-0074 ' else '' end, case when (conv_id + turn) % 5 = 1 then 'Form 1040 2025 ' else '' end,
+ text, case when (conv_id + turn) % 8 = 1 then ' internal ' when (conv_id + turn) % 8 = 5 then ' Form W-' else '' end) as text from {conversations}
+ union all select conv_id, cast(turn * 3 + 1 as int), case (conv_id + turn) % 8 when 0 then '  ' when 1 then ' ' when 2 then 'Department of the' when 3 then 'U.S.' when 4 then 'social' when 5 then ' ' when 6 then 'box' else 'W' end from {conversations} where turn % 2 = 0
+ union all select conv_id, cast(turn * 3 + 2 as int), case (conv_id + turn) % 8 when 1 then 'revenue service' when 2 then 'Treasury 2024' when 3 then 'treasury' when 4 then 'security' when 5 then '2 wage' when 6 then '12a' when 7 then '-' else 'employee' end from {conversations} where turn % 2 = 0
+ union all select conv_id + 1000000000, 0, case when conv_id % 2 = 0 then 'short page' else 'Form W-2 employer' end from {conversations} where turn = 0"""
 _PG = f"pg as ({I.plain(PAGE_SQL, 'conversations')})"
 pages = lambda s, d: _d(s, d, PAGE_SQL, "conversations")
 _add("gate_pages", lambda s, d: T.gate_pages(pages(s, d)).select("doc_id", "score", "is_tax_form", "form_type", "tax_year", "omb_number", "gate_pdf_type", "route", "page_count"),
