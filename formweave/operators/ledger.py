@@ -69,6 +69,11 @@ def status_updates(updates: DataFrame, like: DataFrame) -> DataFrame:
     return u.select(*[c for c in u.columns if c in like.columns], *missing).select(like.columns)
 
 
+def _chunk(unit: str) -> Column:
+    """Time chunk of an event; events without a time come first, after an earlier state."""
+    return F.coalesce(F.date_trunc(unit, "ts"), F.lit("0001-01-02").cast("timestamp"))
+
+
 def history(prepared: DataFrame, chunk: str = "hour", prior: DataFrame | None = None) -> DataFrame:
     """Every event with upload_count, version, content_changed and carried values after the event.
 
@@ -76,7 +81,7 @@ def history(prepared: DataFrame, chunk: str = "hour", prior: DataFrame | None =
     document, so a stream can continue where the last batch ended.
     """
     key = ["document_id", "chunk"]
-    d = prepared.withColumn("chunk", F.date_trunc(chunk, "ts")).withColumn("at", F.struct("ts", "seq"))
+    d = prepared.withColumn("chunk", _chunk(chunk)).withColumn("at", F.struct("ts", "seq"))
     submit = F.col("kind") == "submit"
     # the client name is constant per document up to case, so it does not take part in the comparison
     sig = F.when(submit, F.to_json(F.struct("source", "stage", "status", "tax_year"), {"ignoreNullFields": "false"}))
@@ -204,13 +209,13 @@ def as_of(hist: DataFrame, when: Column) -> DataFrame:
 
 def transitions(events: DataFrame, key: str, allowed: dict[str, list[str]], chunk: str = "hour") -> DataFrame:
     """Stage changes that are not allowed, with the previous stage; same chunked scan as the ledger."""
-    d = events.withColumn("chunk", F.date_trunc(chunk, "ts")).withColumn("at", F.struct("ts", "seq"))
+    d = events.withColumn("chunk", _chunk(chunk)).withColumn("at", F.struct("ts", "seq"))
     w = Window.partitionBy(key, "chunk").orderBy("ts", "seq")
     local = d.withColumn("prev", F.lag("stage").over(w)).withColumn("rn", F.row_number().over(w))
     last = local.groupBy(key, "chunk").agg(F.max_by("stage", "at").alias("last_stage"))
     cw = Window.partitionBy(key).orderBy("chunk")
-    last = last.select(key, "chunk", F.lag("last_stage").over(cw).alias("before"))
-    j = local.join(last, [key, "chunk"]).withColumn(
+    last = last.select(F.col(key).alias("_key"), F.col("chunk").alias("_chunk"), F.lag("last_stage").over(cw).alias("before"))
+    j = local.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chunk") == F.col("_chunk"))).withColumn(
         "prev_stage", F.when(F.col("rn") == 1, F.col("before")).otherwise(F.col("prev")))
     bad = None
     for stage, froms in allowed.items():

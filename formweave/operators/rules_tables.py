@@ -120,7 +120,12 @@ def name_tin_mismatches(docs: DataFrame, tins: DataFrame) -> DataFrame:
 
 def cross_tenant(docs: DataFrame, owners: DataFrame) -> DataFrame:
     """Documents with an SSN owned by another tenant; one row per document."""
-    j = docs.join(owners.select("ssn", F.col("tenant_id").alias("owner")), "ssn").where("owner <> tenant_id")
+    # the two smallest tenants of an SSN are enough: one of them is not the document's own
+    own = owners.where("tenant_id is not null").select("ssn", "tenant_id").distinct()
+    first = own.groupBy("ssn").agg(F.min("tenant_id").alias("first"))
+    second = own.join(first, "ssn").where("tenant_id <> first").groupBy("ssn").agg(F.min("tenant_id").alias("second"))
+    j = docs.where("tenant_id is not null").join(first, "ssn").join(second, "ssn", "left")
+    j = j.withColumn("owner", F.when(F.col("first") != F.col("tenant_id"), F.col("first")).otherwise(F.col("second"))).where("owner is not null")
     return _rows(j.groupBy("doc_id").agg(F.min("owner").alias("owner")), "MT_CROSS_TENANT_CLIENT", "doc_id", value=F.col("owner"))
 
 

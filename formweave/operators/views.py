@@ -151,9 +151,10 @@ def document_rows(uploads: DataFrame, ledger: DataFrame) -> DataFrame:
 
 
 def client_summary(rows: DataFrame) -> DataFrame:
-    """Counts, stage and confidence per client (client_key, kind, stage, conf, exceptions, validation, ts, action)."""
+    """Counts, stage and confidence per client (client_key, pos, kind, stage, conf, exceptions, validation, ts, action)."""
     rank = S.lookup(V.SUMMARY_STAGE_RANK, F.col("stage"), 0)
-    best = F.max(F.struct(rank.alias("r"), F.when(rank > 0, F.col("stage")).otherwise("Document Collection").alias("s")))
+    # of equally advanced stages the first row's counts
+    best = F.min_by(F.struct(rank.alias("r"), F.when(rank > 0, F.col("stage")).otherwise("Document Collection").alias("s")), F.struct(-rank, F.col("kind") != "upload", "pos"))
     upload = F.col("kind") == "upload"
     return rows.groupBy("client_key").agg(
         best.alias("b"), F.floor(F.sum("conf") / F.nullif(F.count("conf"), F.lit(0)) + 0.5).cast("bigint").alias("avg_confidence"),
@@ -223,19 +224,23 @@ def exception_board(exceptions: DataFrame, scores: DataFrame) -> DataFrame:
 
 def exception_rollup(exceptions: DataFrame) -> DataFrame:
     """Exception counts by category, form and severity with all subtotals."""
-    return exceptions.cube("category", "form_type", "severity").agg(
-        F.count("*").alias("n"), F.grouping_id().cast("bigint").alias("level"))
+    # counted once before the cube copies rows to every subtotal
+    counts = exceptions.groupBy("category", "form_type", "severity").count()
+    return counts.cube("category", "form_type", "severity").agg(
+        F.sum("count").alias("n"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def filing_rollup(rows: DataFrame) -> DataFrame:
-    return rows.rollup("form", "stage").agg(F.count("*").alias("n_docs"), F.countDistinct("name").alias("n_clients"), F.grouping_id().cast("bigint").alias("level"))
+    counts = rows.groupBy("form", "stage", "name").count()
+    return counts.rollup("form", "stage").agg(F.sum("count").alias("n_docs"), F.countDistinct("name").alias("n_clients"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def workload(rows: DataFrame) -> DataFrame:
     """Open documents and distinct clients per preparer."""
-    return rows.groupBy(F.coalesce("cpa", F.lit("—")).alias("cpa")).agg(
-        F.count("*").alias("n_docs"), F.approx_count_distinct("client_name").alias("about_clients"),
-        F.count_if(F.col("status") != "VALIDATED").alias("n_open"))
+    per_client = rows.groupBy(F.coalesce("cpa", F.lit("—")).alias("cpa"), "client_name").agg(
+        F.count("*").alias("n"), F.count_if(F.col("status") != "VALIDATED").alias("open"))
+    return per_client.groupBy("cpa").agg(
+        F.sum("n").alias("n_docs"), F.count("client_name").alias("n_clients"), F.sum("open").alias("n_open"))
 
 
 def session_stats(sessions: DataFrame, now: Column) -> DataFrame:

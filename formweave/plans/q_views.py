@@ -155,10 +155,10 @@ _DR = f"""up as (select {_NORM('name')} as client_key, document_id, form, pos, c
   case status when 'VALIDATED' then 'Validation Completed' when 'EXTRACTED' then 'Document Ingested' when null then '' else coalesce(status, 'Pipeline Update') end as action, 'ledger' as kind from ({I.plain(LED_SQL, 'events')}) z),
  dr as (select * from up union all select * from le where not exists (select 1 from up where up.client_key = le.client_key and up.document_id = le.document_id and up.document_id <> ''))"""
 _SUMRANK = "case stage " + " ".join(f"when '{k}' then {v}" for k, v in V.SUMMARY_STAGE_RANK.items()) + " else 0 end"
-_SUM = f"""sm as (select client_key, max({_SUMRANK}) as stage_rank, cast(floor(sum(conf) / nullif(count(conf), 0) + 0.5) as bigint) as avg_confidence, count(*) as total_docs, count(*) filter (kind = 'upload') as uploaded,
+_SUM = f"""sm as (select client_key, max({_SUMRANK}) as stage_rank, arg_min(case when {_SUMRANK} > 0 then stage else 'Document Collection' end, row(-({_SUMRANK}), kind <> 'upload', pos)) as stage, cast(floor(sum(conf) / nullif(count(conf), 0) + 0.5) as bigint) as avg_confidence, count(*) as total_docs, count(*) filter (kind = 'upload') as uploaded,
  count(*) filter (kind = 'ledger' or stage <> 'Document Collection') as processed, count(*) filter (validation = 'Validated') as validated, count(*) filter (coalesce(exceptions, 0) > 0 or validation = 'Needs review') as needs_review,
  cast(sum(coalesce(exceptions, 0)) as bigint) as open_exceptions, coalesce(max(case when ts is not null then (ts, action) end)[2], max(action)) as latest_action from dr group by 1)"""
-_add("client_summary", lambda s, d: W.client_summary(_doc_rows(s, d)).drop("stage"), f"with {_DR}, {_SUM} select * from sm")
+_add("client_summary", lambda s, d: W.client_summary(_doc_rows(s, d)), f"with {_DR}, {_SUM} select * from sm")
 _FORMS = """ff as (select client_key, trim(form) as form, min(pos) as pos from dr where trim(form) not in ('', '—') group by 1, 2), fr as (select *, row_number() over (partition by client_key order by pos, form) as rn from ff),
  fx as (select client_key, string_agg(form, ', ' order by rn) filter (rn <= 4) || case when max(rn) > 4 then ', ...' else '' end as forms_text from fr group by 1)"""
 _add("client_narrative", lambda s, d: (lambda r: W.narrative(W.client_summary(r), W.forms_text(r)))(_doc_rows(s, d)),
@@ -195,8 +195,7 @@ def _long(s, d):
 
 
 _add("exception_rollup", lambda s, d: W.exception_rollup(X.enrich(_long(s, d))),
-     f"{_EXQ} select g.category, 'W-2' as form_type, g.severity, count(*) as n, cast(0 as bigint) as level from ex join {QV._REG_FULL} on g.code = ex.code group by g.category, g.severity")
-ORACLE["exception_rollup"] = f"{_EXQ}, r as (select g.category, 'W-2' as form_type, g.severity from ex join {QV._REG_FULL} on g.code = ex.code) select category, form_type, severity, count(*) as n, cast(grouping(category, form_type, severity) as bigint) as level from r group by cube(category, form_type, severity)"
+     f"{_EXQ}, r as (select g.category, 'W-2' as form_type, g.severity from ex join {QV._REG_FULL} on g.code = ex.code) select category, form_type, severity, count(*) as n, cast(grouping(category, form_type, severity) as bigint) as level from r group by cube(category, form_type, severity)")
 _add("exception_types", lambda s, d: _long(s, d).groupBy(W.exception_type(F.col("code")).alias("etype"), W.display_severity(F.col("severity")).alias("shown")).agg(F.count("*").alias("n"), *[F.count_if(W.in_category(F.col("code"), c)).alias(c.lower().replace(" ", "_")) for c in W.CATEGORY_CHIPS]),
      f"""{_EXQ} select case when regexp_matches(ex.code, 'MISMATCH|VARIANCE|GT|LT|NEQ') then 'Data Mismatch' when regexp_matches(ex.code, 'MISSING|ZERO|BLANK|NULL') then 'Missing Field' when regexp_matches(ex.code, 'CALC|MATH|SUM') then 'Calculation Variance' when regexp_matches(ex.code, 'IRS|FLAG|RULE|SALT') then 'IRS Rule Flag' when regexp_matches(ex.code, 'YEAR|DATE|PRIOR') then 'Prior Year Conflict' else 'Exception' end as etype,
  case when severity in ('CRITICAL','BLOCKING') then 'HIGH' when severity = 'WARNING' then 'MEDIUM' else 'LOW' end as shown, count(*) as n, count(*) filter (regexp_matches(ex.code, 'MISMATCH|NEQ|GT|LT|VARIANCE')) as data_mismatch, count(*) filter (regexp_matches(ex.code, 'MISSING|ZERO|BLANK|NULL')) as missing_doc,
@@ -223,8 +222,8 @@ _add("field_quality", lambda s, d: W.field_quality(validate(I.w2_docs(s, d), for
      f"{_DS0} select doc_id, count(*) filter (score > 0.95) as high, count(*) filter (score >= 0.85 and score <= 0.95) as medium, count(*) filter (score < 0.85) as low from sc group by 1")
 _add("filing_rollup", lambda s, d: W.filing_rollup(_merged(s, d)),
      f"with {_MERGED} select form, stage, count(*) as n_docs, count(distinct name) as n_clients, cast(grouping(form, stage) as bigint) as level from mg group by rollup(form, stage)")
-_add("workload", lambda s, d: W.workload(_d(s, d, LED_SQL, "events")).drop("about_clients"),
-     f"select coalesce(cpa, '—') as cpa, count(*) as n_docs, count(*) filter (status <> 'VALIDATED') as n_open from ({I.plain(LED_SQL, 'events')}) z group by 1")
+_add("workload", lambda s, d: W.workload(_d(s, d, LED_SQL, "events")),
+     f"select coalesce(cpa, '—') as cpa, count(*) as n_docs, count(distinct client_name) as n_clients, count(*) filter (status <> 'VALIDATED') as n_open from ({I.plain(LED_SQL, 'events')}) z group by 1")
 _SES = "select event_id as session_id, event_type as stage, ts as created_at, ts + interval '30' minute as expires_at from {events}"
 _add("session_stats", lambda s, d: W.session_stats(_d(s, d, _SES, "events"), F.lit("2024-01-15 12:00:00").cast("timestamp")),
      f"select stage, count(*) as total, count(*) filter (expires_at > timestamp '2024-01-15 12:00:00') as active from ({I.plain(_SES, 'events')}) z group by 1")

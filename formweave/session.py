@@ -36,12 +36,16 @@ def build_session(app: str = "formweave", master: str | None = None, shuffle_par
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` names the shared folder on a cluster. Only where it is unset (tests, a
-    laptop) is a local temporary folder taken instead.
+    ``spark.checkpoint.dir`` names the shared folder on a cluster. Where it is unset, a local temporary
+    folder is taken on a single machine (tests, a laptop); on a cluster it is an error, as executors would
+    write files that others do not see.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-formweave-", dir="/tmp")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
