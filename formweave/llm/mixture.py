@@ -51,7 +51,8 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     rows = stored(rows, "sizes")
     plan = targets(rows.groupBy("none", "name").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    plan = stored(plan.withColumn("sure", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")), "plan")
+    # one row per source; stored in one file, so that its size is known and Spark broadcasts it where it is small
+    plan = stored(plan.withColumn("sure", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")).coalesce(1), "plan")
     odds = lambda c: c / (1 - c)
     ranked = rows.join(plan, ["none", "name"]).withColumn("u", chance("doc_id"))
     ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))).otherwise(F.col("u")))
@@ -59,11 +60,12 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     ranked = running(ranked, ["none", "name"], "u", ["rank", "doc_id", "size", "th"], {"before": F.col("size")})
     ranked = stored(ranked.withColumn("extra", (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))), "ranked")
     gap = ranked.groupBy("none", "name").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
+    gap = stored(gap.coalesce(1), "gap")
     off = F.abs(F.col("size") - F.abs("gap"))
     # a row of size > 0 is the only one with its `before` in its source
     fit = ranked.where("size > 0").join(gap, ["none", "name"]).where(((F.col("gap") > 0) != F.col("extra")) & (off < F.abs("gap")) & (F.col("p") > 0))
     fit = fit.groupBy("none", "name").agg(F.min_by("before", F.struct(off, "rank", "before")).alias("turned"))
-    out = ranked.join(fit, ["none", "name"], "left")
+    out = ranked.join(stored(fit.coalesce(1), "fit"), ["none", "name"], "left")
     extra = F.col("extra") != F.coalesce((F.col("turned") == F.col("before")) & (F.col("size") > 0), F.lit(False))
     return out.select("doc_id", "th", "size", "source_size", "target", (F.col("sure") + extra.cast("long")).alias("copies"))
 
