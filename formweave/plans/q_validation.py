@@ -174,11 +174,11 @@ _HV_SQL = "select o_orderkey as doc_id, 'employee_name' as field from {orders} w
 def _validated(spark, sf_dir, hv=False):
     docs = I.w2_docs(spark, sf_dir)
     if hv:
-        docs = _with_verified(spark, sf_dir, docs)
+        docs = with_verified(spark, sf_dir, docs)
     return validate(docs, forms=["W-2"])
 
 
-def _with_verified(spark, sf_dir, docs):
+def with_verified(spark, sf_dir, docs):
     """Human-verified fields per document, joined as one small array."""
     v = I.derive(spark, sf_dir, _HV_SQL, "orders").groupBy("doc_id").agg(F.collect_set("field").alias("hv"))
     return docs.join(v, "doc_id", "left")
@@ -214,7 +214,7 @@ ORACLE["triage"] = f"""{_ALL_EXC} select 'W-2' as form_type, case when n_critica
 
 
 def hv_suppress(spark, sf_dir):
-    d = with_exceptions(_with_verified(spark, sf_dir, I.w2_docs(spark, sf_dir)), forms=["W-2"])
+    d = with_exceptions(with_verified(spark, sf_dir, I.w2_docs(spark, sf_dir)), forms=["W-2"])
     return X.explode_exceptions(d, "doc_id").select(*COLS)
 
 
