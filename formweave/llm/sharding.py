@@ -69,8 +69,8 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     if not total:
         return rows.select("doc_id", "th", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
     limit = max(1, total // (shards * parts))
-    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit).select("g", F.ceil(F.col("bytes") / limit).cast("long").alias("hubs"))
-    rows = rows.join(groups, "g", "left").withColumn("_part", F.pmod(F.xxhash64("v", F.lit("hub")), F.coalesce("hubs", F.lit(1))))
+    groups = rows.groupBy("g").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > limit).select("g", F.ceil(F.col("bytes") / limit).cast("long").alias("hubs"))  # shards * parts groups at most
+    rows = rows.join(F.broadcast(groups), "g", "left").withColumn("_part", F.pmod(F.xxhash64("v", F.lit("hub")), F.coalesce("hubs", F.lit(1))))
     rows = rows.withColumn("hub", F.xxhash64("g", "_part")).withColumn("first", F.when(F.col("hubs").isNotNull(), F.pmod(F.pmod(F.xxhash64("g", F.lit("first")), F.lit(shards)) + F.floor(F.col("_part") / parts), F.lit(shards))))
     rows = stored(rows.drop("hubs", "_part"), "rows")
     labels = propagate(rows.groupBy("v", "hub", "first").agg(F.sum("size").alias("bytes")), shards, total, rounds, slack)
