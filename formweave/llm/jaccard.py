@@ -328,7 +328,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: i
     """Per row: ``doc_id``, ``th`` (hash of the text), ``n_shingles``, ``component_id`` (smallest id of the component)."""
     who, _, labels = join(docs, doc_id, text, size, percent, **how)
     who = who.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = who.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
+    # stored, so that the join stands apart from the sum and Spark can split a component with many rows
+    least = stored(who.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least")), "least")
     return who.join(least, "label", "left").select("doc_id", "th", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
