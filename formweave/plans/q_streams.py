@@ -19,16 +19,20 @@ def _add(name, run, sql):
     ORACLE[name] = sql
 
 
-def _events(s, d):
-    return ST.read_parquet_stream(s, d, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+PIECES = 6
 
 
-def _run(s, stream, label, **kw):
-    return ST.run_to_table(s, stream, shared_dir(s, label), **kw)
+def _shuffled(s, d):
+    """The event table as files dealt by a hash, read one per micro-batch: events arrive far out of order."""
+    folder = shared_dir(s, "pieces")
+    events = I.table(s, d, "events").withColumn("piece", F.pmod(F.xxhash64("event_id"), F.lit(PIECES)))
+    events.repartition(PIECES, "piece").write.partitionBy("piece").parquet(folder)
+    stream = s.readStream.schema(events.drop("piece").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def stream_ledger(s, d):
-    raw = s.sql(QL.SUB_SQL, events=_events(s, d))
+    raw = s.sql(QL.SUB_SQL, events=_shuffled(s, d))
     led = LedgerStream(shared_dir(s, "ledger"))
     q = led.start(raw, availableNow=True)
     q.awaitTermination()
@@ -38,15 +42,19 @@ def stream_ledger(s, d):
 
 
 _add("stream_ledger", stream_ledger, QL.ORACLE["ledger_versions"])
-_add("stream_attempts", lambda s, d: _run(s, ST.attempt_counts(_events(s, d), "user_id", "3 days"), "attempts", mode="update", keys=["user_id", "window_start"]),
+def _counted(s, d, label, keys, size):
+    return ST.counted(shared_dir(s, label), {k: F.col(k) for k in keys}, size).run(_shuffled(s, d)).withColumn("window_start", F.col("w.start"))
+
+
+_add("stream_attempts", lambda s, d: _counted(s, d, "attempts", ["user_id"], "3 days").where("n > 10").select("user_id", "window_start", F.col("n").alias("attempts")),
      "select user_id, time_bucket(interval '3 days', ts, timestamp '1970-01-01') as window_start, count(*) as attempts from events group by 1, 2 having count(*) > 10")
-_add("stream_event_counts", lambda s, d: _run(s, ST.event_counts(_events(s, d), "6 hours"), "counts", mode="update", keys=["window_start", "event_type"]),
+_add("stream_event_counts", lambda s, d: _counted(s, d, "counts", ["event_type"], "6 hours").select("window_start", "event_type", "n"),
      "select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as window_start, event_type, count(*) as n from events group by 1, 2")
-_add("stream_dedup", lambda s, d: _run(s, ST.first_uploads(_events(s, d).select(F.col("props").alias("doc_hash"), "ts", "event_id")), "dedup").select("doc_hash"),
-     "select distinct props as doc_hash from events")
-_add("stream_new_tins", lambda s, d: _run(s, ST.first_seen_tins(_events(s, d).select(F.col("user_id").alias("client_id"), F.col("props").alias("tin"), "ts")), "tins").select("client_id", "tin"),
-     "select distinct user_id as client_id, props as tin from events")
-_add("stream_sessions", lambda s, d: _run(s, ST.session_creations(_events(s, d).withColumnRenamed("user_id", "session_id")), "sessions", mode="update", keys=["session_id"]),
+_add("stream_dedup", lambda s, d: ST.first_seen(shared_dir(s, "dedup"), {"doc_hash": F.col("props")}).run(_shuffled(s, d)),
+     "select props as doc_hash, min(ts) as first_ts from events group by 1")
+_add("stream_new_tins", lambda s, d: ST.first_seen(shared_dir(s, "tins"), {"client_id": F.col("user_id"), "tin": F.col("props")}).run(_shuffled(s, d)),
+     "select user_id as client_id, props as tin, min(ts) as first_ts from events group by 1, 2")
+_add("stream_sessions", lambda s, d: ST.first_seen(shared_dir(s, "sessions"), {"session_id": F.col("user_id")}).run(_shuffled(s, d)).select("session_id", F.col("first_ts").alias("created_at"), (F.col("first_ts") + F.expr("interval 30 minutes")).alias("expires_at")),
      "select user_id as session_id, min(ts) as created_at, min(ts) + interval '30' minute as expires_at from events group by 1")
 _add("fixed_sessions", lambda s, d: ST.fixed_sessions(I.table(s, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMddHH")).alias("session_id"), "ts", "event_id")).select("event_id", "session_id", "live"),
      "with e as (select event_id, ts, user_id || '-' || strftime(ts, '%Y%m%d%H') as session_id from events), c as (select session_id, min(ts) as c from e group by 1) select event_id, session_id, ts <= c + interval '30' minute as live from e join c using (session_id)")

@@ -97,5 +97,48 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, mode: str =
     return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+class MergedTable:
+    """A table that a stream feeds with partial aggregates: one row per key and batch, merged when it is read.
+
+    ``parts`` names each value, its aggregate within a batch, and how partial values are merged (``F.sum``, ``F.min`` ...).
+    There is no engine state and no watermark: a row counts however late it comes, and a key is never forgotten. A batch
+    that is run again overwrites its own folder.
+    """
+
+    def __init__(self, path: str, keys: dict[str, Column], parts: dict[str, tuple]):
+        self.path, self.keys, self.parts = path.rstrip("/"), keys, parts
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        grouped = batch.groupBy(*[c.alias(k) for k, c in self.keys.items()])
+        grouped.agg(*[partial.alias(k) for k, (partial, _) in self.parts.items()]).write.mode("overwrite").parquet(f"{self.path}/out/batch={number}")
+
+    def run(self, stream: DataFrame) -> DataFrame:
+        """Feed everything available, and return the merged table."""
+        q = stream.writeStream.option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).foreachBatch(self.write).start()
+        q.awaitTermination()
+        if q.exception() is not None:
+            raise q.exception()
+        return self.read(stream.sparkSession)
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.option("basePath", f"{self.path}/out").parquet(f"{self.path}/out")
+        return rows.groupBy(*self.keys).agg(*[merge(k).alias(k) for k, (_, merge) in self.parts.items()])
+
+
+def window_start(size: str, slide: str | None = None) -> Column:
+    """Start of the window of ``ts``; a sliding window gives a row several."""
+    return (F.window("ts", size, slide) if slide else F.window("ts", size))
+
+
+def counted(path: str, keys: dict[str, Column], size: str, slide: str | None = None) -> MergedTable:
+    """Events per key and window ``w``."""
+    return MergedTable(path, {**keys, "w": window_start(size, slide)}, {"n": (F.count("*"), F.sum)})
+
+
+def first_seen(path: str, keys: dict[str, Column], time: str = "ts") -> MergedTable:
+    """First time of each key."""
+    return MergedTable(path, keys, {"first_ts": (F.min(time), F.min)})
+
+
 def live_at(expires: Column, now: Column) -> Column:
     return expires > now

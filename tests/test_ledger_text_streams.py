@@ -60,18 +60,31 @@ def test_ledger_against_brute_force(spark, chunk):
     assert {r["seq"]: (r["upload_count"], r["version"], r["content_changed"], r["cpa"]) for r in h.collect()} == brute(rows)
 
 
-def test_stream_ledger_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("late", [False, True])
+def test_stream_ledger_equals_batch(spark, tmp_path, late):
     rows = sorted(_random_rows(120, 9), key=lambda r: r[7])
     s = LedgerStream(str(tmp_path / "led"), compact_every=2, chunk="day")
     d = L.prepare(subs(spark, rows))
+    # in order of time, or dealt so that most batches bring events older than the state
+    part = (lambda b: F.floor(F.col("seq") / 24) == b) if not late else (lambda b: F.col("seq") * 7 % 5 == b)
     for b in range(5):
-        s.process(d.where((F.col("seq") >= b * 24) & (F.col("seq") < (b + 1) * 24)), b)
-    s.process(d.where("seq >= 96"), 4)  # a batch run again gives the same result
+        s.process(d.where(part(b)), b)
+    s.process(d.where(part(4)), 4)  # a batch run again gives the same result
     got = {r["seq"]: (r["upload_count"], r["version"], r["content_changed"], r["cpa"]) for r in s.history(spark).collect()}
     assert got == brute(rows)
-    late = L.prepare(subs(spark, [("Hot Client", "W-2", "a", "AI Processing", "EXTRACTED", None, None, -50)]))
-    s.process(late, 5)
-    assert spark.read.parquet(str(tmp_path / "led" / "late" / "batch=5")).count() == 1
+
+
+def test_merged_stream_forgets_nothing(spark, tmp_path):
+    """A key first seen years before its copies, in a later batch, still counts as the first."""
+    rows = [("a", "2024-05-01", 1), ("b", "2024-05-01", 2), ("a", "2020-01-01", 3), ("c", "2024-05-02", 4), ("a", "2024-05-01", 5), ("b", "2024-09-01", 6)]
+    src = tmp_path / "in"
+    for k, n, i in rows:
+        spark.createDataFrame([(k, n, i)], "k string, t string, i int").selectExpr("k", "cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(str(src))
+    stream = lambda: spark.readStream.schema("k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(src))
+    first = {r.k: str(r.first_ts)[:10] for r in ST.first_seen(str(tmp_path / "f"), {"k": F.col("k")}).run(stream()).collect()}
+    assert first == {"a": "2020-01-01", "b": "2024-05-01", "c": "2024-05-02"}
+    counts = {(r.k, str(r.w.start)[:10]): r.n for r in ST.counted(str(tmp_path / "c"), {"k": F.col("k")}, "1 day").run(stream()).collect()}
+    assert counts == {("a", "2024-05-01"): 2, ("b", "2024-05-01"): 1, ("a", "2020-01-01"): 1, ("c", "2024-05-02"): 1, ("b", "2024-09-01"): 1}
 
 
 def test_status_update_and_as_of(spark):
