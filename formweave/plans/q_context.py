@@ -28,7 +28,6 @@ _PG = "select l_orderkey as doc_id, l_linenumber as page, concat('h', cast(l_par
 _add("dup_page", lambda s, d: R.duplicate_pages(_d(s, d, _PG, "lineitem")),
      f"with p as ({I.plain(_PG, 'lineitem')}), h as (select doc_id, page_hash, min(page) as fp from p group by 1, 2 having count(*) > 1), r as (select *, row_number() over (partition by doc_id order by fp, page_hash) as rn, count(*) over (partition by doc_id, fp) as ties from h) select doc_id, 'OCR_DUPLICATE_PAGE' as code, page_hash as value from r where rn = 1 and ties >= 1")
 
-_EXP = "select o_orderkey as doc_id, cast(p as int) as page from {orders} cross join (select explode(sequence(1, 4)) as p) x"
 _add("missing_pages",
      lambda s, d: R.missing_pages(_d(s, d, "select o_orderkey as doc_id, explode(sequence(1, 4)) as page from {orders}", "orders"), _d(s, d, "select l_orderkey as doc_id, l_linenumber as page from {lineitem}", "lineitem")),
      "select o_orderkey as doc_id, 'OCR_CROPPED' as code, cast(p as varchar) as value from orders cross join range(1, 5) r(p) where not exists (select 1 from lineitem where l_orderkey = o_orderkey and l_linenumber = p)")

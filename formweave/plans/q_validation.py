@@ -291,12 +291,13 @@ select o_orderkey as doc_id, case o_orderkey % 3 when 0 then 'employee_name' whe
 
 
 def field_scores(spark, sf_dir):
-    """Long-table scoring with verified fields and corrections as tables."""
-    docs = I.w2_docs(spark, sf_dir)
-    d = with_exceptions(docs, forms=["W-2"])
-    fields = to_long(d, "doc_id", "pdf_type")
-    excs = X.explode_exceptions(d, "doc_id")
-    return SC.long_field_scores(fields, excs, I.derive(spark, sf_dir, _HV_SQL, "orders"), I.derive(spark, sf_dir, _CORR_SQL, "orders"), F.col("pdf_type"))
+    """Scores with verified fields and corrections brought along as one array per document: the rules run once, on the row."""
+    verified = I.derive(spark, sf_dir, _HV_SQL, "orders").groupBy("doc_id").agg(F.collect_set("field").alias("verified"))
+    fixed = I.derive(spark, sf_dir, _CORR_SQL, "orders").groupBy("doc_id").agg(F.collect_list(F.struct("field", "status")).alias("corrections"))
+    d = with_exceptions(I.w2_docs(spark, sf_dir).join(verified, "doc_id", "left").join(fixed, "doc_id", "left"), forms=["W-2"])
+    none = F.array().cast("array<string>")
+    scores = SC.field_scores(F.col("fields"), F.col("exceptions"), F.col("pdf_type"), F.coalesce("verified", none), F.coalesce("corrections", F.array().cast("array<struct<field:string,status:string>>")))
+    return d.select("doc_id", F.explode(scores).alias("s")).select("doc_id", "s.field", "s.score")
 
 
 QUERIES["field_scores"] = field_scores
