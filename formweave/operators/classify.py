@@ -128,11 +128,10 @@ def in_bucket(classified: Column, bucket: str) -> Column:
     return F.filter(classified, lambda c: c["bucket"] == bucket)
 
 
-def split_ignored(long: DataFrame, ignored: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Active and ignored exceptions. ``ignored`` holds doc_id and exc_id ('code:field' or 'code:document')."""
-    keyed = long.withColumn("exc_id", F.concat_ws(":", "code", F.coalesce(F.nullif(F.col("field"), F.lit("")), F.lit("document"))))
-    on = keys or ["doc_id", "exc_id"]
-    return keyed.join(ignored, on, "left_anti"), keyed.join(ignored, on, "left_semi")
+def is_ignored(code: Column, field: Column, ignored: Column) -> Column:
+    """Is an exception on the ignore list of its document ('code:field' or 'code:document')? The list travels on the row."""
+    exc_id = F.concat_ws(":", code, F.coalesce(F.nullif(field, F.lit("")), F.lit("document")))
+    return F.coalesce(F.array_contains(ignored, exc_id), F.lit(False))
 
 
 def accepted_value(proposed: Column, auto: Column, current: Column) -> Column:

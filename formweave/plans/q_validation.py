@@ -350,10 +350,10 @@ union all select o_orderkey, 4, 'note', case when o_orderkey % 2 = 0 then '' els
 
 
 def apply_fixes(spark, sf_dir):
-    fields = to_long(I.w2_docs(spark, sf_dir), "doc_id")
-    out = FX.apply_to_long(fields, I.derive(spark, sf_dir, _FIX_SQL, "orders"))
+    out = FX.apply_to_records(I.w2_docs(spark, sf_dir), I.derive(spark, sf_dir, _FIX_SQL, "orders"), log=True)
+    out = out.select("doc_id", "touched", F.explode("fields").alias("x")).select("doc_id", "touched", "x.*")
     return out.select("doc_id", "field", "kind", F.when(F.col("kind") == "str", F.col("s")).alias("s"),
-                      F.when(F.col("kind") == "num", F.col("d")).alias("d"), "b", "changed")
+                      F.when(F.col("kind") == "num", F.col("d")).alias("d"), "b", F.array_contains("touched", F.col("field")).alias("changed"))
 
 
 QUERIES["apply_fixes"] = apply_fixes
@@ -371,7 +371,7 @@ from fl full outer join fx on fx.doc_id = fl.doc_id and fx.field = fl.field
 
 
 def revalidate(spark, sf_dir):
-    """Patch, validate and count again, for the documents that have fixes."""
+    """Patch, validate and count again; here every document has fixes."""
     from .validation import revalidate_with_fixes
 
     fixes = I.derive(spark, sf_dir, _REFIX_SQL, "orders")
@@ -380,13 +380,13 @@ def revalidate(spark, sf_dir):
 
 
 _REFIX_SQL = """
-select o_orderkey as doc_id, cast(1 as int) as seq, 'employee_ssn' as field, '123-45-6789' as new_value from {orders} where o_orderpriority = '2-HIGH'
-union all select o_orderkey, 2, 'employer_tin', '12-3456789' from {orders} where o_orderpriority = '2-HIGH'
-union all select o_orderkey, 3, 'employee_name', 'DOE JANE' from {orders} where o_orderpriority = '2-HIGH'
-union all select o_orderkey, 4, 'employer_name', 'ACME' from {orders} where o_orderpriority = '2-HIGH'
+select o_orderkey as doc_id, cast(1 as int) as seq, 'employee_ssn' as field, '123-45-6789' as new_value from {orders}
+union all select o_orderkey, 2, 'employer_tin', '12-3456789' from {orders}
+union all select o_orderkey, 3, 'employee_name', 'DOE JANE' from {orders}
+union all select o_orderkey, 4, 'employer_name', 'ACME' from {orders}
 """
 QUERIES["revalidate_fixed"] = revalidate
-_PATCHED = I.W2_SQL.replace("from {orders} join {customer} on o_custkey = c_custkey", "from {orders} join {customer} on o_custkey = c_custkey where o_orderpriority = '2-HIGH'")
+_PATCHED = I.W2_SQL
 _PATCHED_BASE = f"""base0 as ({I.plain(_PATCHED, 'orders', 'customer')}), base as (select * replace ('123-45-6789' as ssn_s, '12-3456789' as ein_s, 'DOE JANE' as employee_s, 'ACME' as employer_s) from base0),
  fl as ({I.fields_sql('base', I.W2_FIELDS)})"""
 ORACLE["revalidate_fixed"] = f"""with {_PATCHED_BASE}, {Q.wide_cte('f0', 'base', I.W2_FIELDS)}, {Q.REG_CTE}, ex as ({Q.union(Q.universal_rows() + Q.w2('f0'))}), {_XS},
@@ -411,13 +411,11 @@ ORACLE["deduped_exceptions"] = f"{_ALL_EXC} select b.doc_id, count(distinct ex.c
 
 def split_ignored(spark, sf_dir):
     """Active exceptions after the ignore list, by code."""
-    d = with_exceptions(I.w2_docs(spark, sf_dir), forms=["W-2"])
-    long = X.explode_exceptions(d, "doc_id")
-    ignored = I.derive(spark, sf_dir, _IGNORE_SQL, "orders")
-    active, gone = C.split_ignored(long, ignored)
-    a = active.groupBy("code").agg(F.count("*").alias("n"))
-    b = gone.groupBy("code").agg(F.count("*").alias("n"))
-    return a.withColumn("state", F.lit("active")).unionByName(b.withColumn("state", F.lit("ignored")))
+    ignored = I.derive(spark, sf_dir, _IGNORE_SQL, "orders").groupBy("doc_id").agg(F.collect_set("exc_id").alias("ignored"))
+    d = with_exceptions(I.w2_docs(spark, sf_dir).join(ignored, "doc_id", "left"), forms=["W-2"])
+    long = X.explode_exceptions(d, "doc_id", "ignored")
+    state = F.when(C.is_ignored(F.col("code"), F.col("field"), F.col("ignored")), "ignored").otherwise("active")
+    return long.groupBy("code", state.alias("state")).agg(F.count("*").alias("n"))
 
 
 _IGNORE_SQL = "select o_orderkey as doc_id, case o_orderkey % 2 when 0 then 'ID_INVALID_TIN:employer_tin' else 'CY_WRONG_YEAR_UPLOAD:tax_year' end as exc_id from {orders} where o_orderstatus = 'O'"
@@ -433,9 +431,9 @@ _EDIT_SQL = "select o_orderkey as doc_id, 'employer_name' as field, o_orderprior
 
 def change_log(spark, sf_dir):
     """Accepted proposals and manual edits applied, as old and new text per changed field; edits win."""
-    fields = to_long(I.w2_docs(spark, sf_dir), "doc_id")
     fixes = C.build_fixes(I.derive(spark, sf_dir, _ACC_SQL, "orders"), I.derive(spark, sf_dir, _EDIT_SQL, "orders"))
-    return FX.change_log(fields, FX.apply_to_long(fields, fixes))
+    out = FX.apply_to_records(I.w2_docs(spark, sf_dir), fixes, log=True)
+    return out.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.*")
 
 
 QUERIES["change_log"] = change_log
