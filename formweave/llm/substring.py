@@ -213,7 +213,8 @@ def mark(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: in
         found = stored(found, "found")
         own = single.select("id1", "id2", "anchor", "seg", "off").join(found.where("bits <> 0"), ["id1", "id2"]).groupBy("anchor", "seg").agg(F.bit_or(F.expr("shiftleft(1L, off)")).alias("bits"))
         found = found.join(single.select("id1", "id2").distinct(), ["id1", "id2"], "left_anti").select(F.col("id1").alias("anchor"), F.col("id2").alias("seg"), "bits").union(own)
-    found = found.where("bits <> 0").groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits"))
+    # stored, so that the join below stands apart from this sum and Spark can split a class that many rows hold
+    found = stored(found.where("bits <> 0").groupBy("anchor", "seg").agg(F.bit_or("bits").alias("bits")), "repeated")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
