@@ -220,7 +220,11 @@ def product(docs: DataFrame, text: str, size: int, percent: int, late: tuple[np.
 
 
 def _grams(nodes: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int) -> DataFrame:
-    """``node``, ``grams`` (the whole set, sorted) of the nodes asked for."""
+    """``node``, ``grams`` (the whole set, sorted) of the nodes asked for, one row each.
+
+    A node is read from one row. Only where rows repeat as a whole, several are read and all but one dropped; otherwise
+    no sum stands before the joins that follow, and Spark can split those where many pairs share a node.
+    """
     one = who.where("node is not null").groupBy("node").agg(F.min(F.struct("th", "doc_id")).alias("k")).join(nodes, "node", "left_semi").select("k.th", F.col("k.doc_id").alias("_id")).distinct()
     rows = docs.select(F.col("doc_id").alias("_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     rows = rows.alias("r").join(one.alias("o"), (F.col("r.th") == F.col("o.th")) & F.col("r._id").eqNullSafe(F.col("o._id")), "left_semi").select("text")
@@ -229,7 +233,9 @@ def _grams(nodes: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: i
         for _, _, sets in _sets(batches, 0, size):
             yield pa.record_batch([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "grams"])
 
-    return rows.mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+    grams = rows.mapInArrow(run, "node long, grams array<long>")
+    single = who.groupBy("doc_id", "th").count().where("count > 1").isEmpty()
+    return grams if single else grams.dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, who: DataFrame, text: str, size: int, percent: int) -> DataFrame:
