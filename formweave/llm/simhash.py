@@ -27,13 +27,13 @@ from formweave.llm.tables import stored
 
 BITS, RADIUS, BLOCKS = 128, 3, 4
 _VOTE = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
-_SLICE = 1 << 19
+_SLICE, _ROWS = 1 << 19, 512  # votes take 32 KB a text
 
 
 def fingerprints(text: pa.Array) -> np.ndarray:
     """One row of 16 bytes per text."""
     out = [np.zeros((0, BITS // 8), np.uint8)]
-    for a, b, w in W.words(text, lower=True, size=_SLICE):
+    for a, b, w in W.words(text, lower=True, size=_SLICE, rows=_ROWS):
         h, at = w.windows(2)
         alone = np.flatnonzero(w.count() == 1)
         of = np.concatenate([w.text_of()[at], alone])
@@ -120,7 +120,7 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, off = W.buffers(batch.column(1))
-            for a, b in W.slices(off, _SLICE):
+            for a, b in W.slices(off, _SLICE, _ROWS):
                 own, nxt = batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)
                 texts = own.to_pylist()
                 edited = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, nxt.to_pylist(), strict=True)]

@@ -133,17 +133,17 @@ def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)), off
 
 
-def slices(off: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Ranges of rows that hold about ``size`` bytes each; at least one row."""
+def slices(off: np.ndarray, size: int = SLICE, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``size`` bytes each; at least one row, ``rows`` rows at most."""
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1), a + rows, n)
+        yield a, b
+        a = b
 
 
-def words(text: pa.Array, inside: np.ndarray = BLANK_SEPARATED, lower: bool = False, size: int = SLICE) -> Iterator[tuple[int, int, Words]]:
+def words(text: pa.Array, inside: np.ndarray = BLANK_SEPARATED, lower: bool = False, size: int = SLICE, rows: int = 1 << 30) -> Iterator[tuple[int, int, Words]]:
     """Rows a to b - 1 of the array and their words, slice by slice."""
     data, off = buffers(text)
-    for a, b in slices(off, size):
+    for a, b in slices(off, size, rows):
         yield a, b, Words(data[off[a] : off[b]], off[a : b + 1] - off[a], inside, lower)
