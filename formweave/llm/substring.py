@@ -66,7 +66,8 @@ class _Segments:
         inside = self.start[:, None] + np.arange(RUN + span - 1)[None, :]
         same = (single[np.minimum(inside, len(single) - 1)] == v[i][:, None]) & (np.arange(RUN + span - 1)[None, :] < (self.m + span - 1)[:, None])
         self.twice = same.sum(axis=1) > 1
-        self.anchor = v[i] & ~_U((1 << (64 - bits)) - 1) | (v[i] & _U(0xFFFFFFFF))  # the block and the lower 32 bits
+        name = W.mix(v[i], 51)  # least hashes are small numbers: mixed again, they fill all blocks alike
+        self.anchor = name & ~_U((1 << (64 - bits)) - 1) | (name & _U(0xFFFFFFFF))  # the block and the lower 32 bits
         self.hash = run_hash(w, self.start, self.m + window - 1)
         self.text = self.text_of[self.start]
 
