@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..fixed_values import DEFAULTS, Thresholds
 
@@ -33,29 +32,6 @@ def split_batches(good_path: str, bad_path: str, flag: str = "broken"):
     return write
 
 
-def event_counts(events: DataFrame, size: str = "1 hour", delay: str = "1 day", kind: str = "event_type") -> DataFrame:
-    """Events per window and type; rows later than the watermark are left out by the engine."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", size).alias("w"), kind).agg(F.count("*").alias("n")).select(
-        F.col("w.start").alias("window_start"), kind, "n")
-
-
-def attempt_counts(attempts: DataFrame, key: str, size: str, slide: str | None = None, delay: str = "1 day", t: Thresholds = DEFAULTS) -> DataFrame:
-    """Windows over the attempt limit."""
-    w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    n = attempts.withWatermark("ts", delay).groupBy(key, w.alias("w")).agg(F.count("*").alias("attempts"))
-    return n.where(F.col("attempts") > t.attempt_limit).select(key, F.col("w.start").alias("window_start"), "attempts")
-
-
-def first_uploads(docs: DataFrame, delay: str = "60 days") -> DataFrame:
-    """First document per content hash within the watermark; later copies are dropped."""
-    return docs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["doc_hash"])
-
-
-def first_seen_tins(docs: DataFrame, delay: str = "60 days") -> DataFrame:
-    """First use of an identifier by a client."""
-    return docs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["client_id", "tin"])
-
-
 def activity_sessions(events: DataFrame, key: str, gap: str = "30 minutes", delay: str = "1 day") -> DataFrame:
     """Sessions closed by a gap in activity."""
     s = events.withWatermark("ts", delay).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"))
@@ -69,34 +45,6 @@ def fixed_sessions(events: DataFrame, minutes: int = DEFAULTS.session_minutes) -
     return d.withColumn("live", F.col("ts") <= F.col("expires_at"))
 
 
-def session_creations(events: DataFrame, minutes: int = DEFAULTS.session_minutes, delay: str = "1 day") -> DataFrame:
-    """Creation and expiry per session as a stream: state holds one minimum per session."""
-    g = events.withWatermark("ts", delay).groupBy("session_id").agg(F.min("ts").alias("created_at"))
-    return g.withColumn("expires_at", F.col("created_at") + F.make_dt_interval(mins=F.lit(minutes)))
-
-
-def run_to_table(spark: SparkSession, stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Run a stream over everything available and return the written table.
-
-    In update and complete mode a row replaces earlier rows of the same keys: batches are written to their
-    own folders and the newest row per key is read back.
-    """
-    out, ck = f"{path}/out", f"{path}/checkpoint"
-    w = stream.writeStream.option("checkpointLocation", ck).trigger(availableNow=True)
-    if mode == "append":
-        q = w.outputMode("append").format("parquet").option("path", out).start()
-    else:
-        q = w.outputMode(mode).foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).start()
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
-    if mode == "append":
-        return spark.read.schema(stream.schema).parquet(out)
-    got = spark.read.schema(T.StructType(stream.schema.fields + [T.StructField("batch", T.IntegerType())])).parquet(out)
-    rest = [c for c in stream.columns if c not in keys]
-    return got.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
-
-
 class MergedTable:
     """A table that a stream feeds with partial aggregates: one row per key and batch, merged when it is read.
 
@@ -131,7 +79,7 @@ def window_start(size: str, slide: str | None = None) -> Column:
 
 
 def counted(path: str, keys: dict[str, Column], size: str, slide: str | None = None) -> MergedTable:
-    """Events per key and window ``w``."""
+    """Events per key and window ``w``; read with a filter on ``n`` it gives the windows over a limit."""
     return MergedTable(path, {**keys, "w": window_start(size, slide)}, {"n": (F.count("*"), F.sum)})
 
 
