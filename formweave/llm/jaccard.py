@@ -345,12 +345,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size:
     who = who.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = who.where("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("k")).select("k.doc_id", "k.th")
     bare = who.where("label is null").select("doc_id", "th").distinct()
-    keys = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    keys = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"))
+    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
     again = who.where("label is not null").groupBy("doc_id", "th").count().where("count > 1")
     kept = docs.join(keys(first.union(bare)), on, "left_semi")
     if again.isEmpty():
         return kept
     again = stored(keys(again), "again")  # rows that are there more than once
-    once = docs.join(again, on).join(keys(first).withColumnsRenamed({"_id": "_id2", "_th": "_th2"}), F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left_semi")
-    return kept.join(again, on, "left_anti").union(once.dropDuplicates(["_id", "_th"]).select(*docs.columns))
+    once = docs.join(again, on).join(keys(first).withColumnsRenamed({"__id": "__id2", "__th": "__th2"}), F.col("__id").eqNullSafe(F.col("__id2")) & (F.col("__th") == F.col("__th2")), "left_semi")
+    return kept.join(again, on, "left_anti").union(once.dropDuplicates(["__id", "__th"]).select(*docs.columns))

@@ -72,13 +72,13 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with their columns unchanged."""
-    taken = copies(docs, doc_id, text, source, weights, most).groupBy("doc_id", "th").agg(F.sum("copies").alias("_n"), F.count("*").alias("_k"))
-    taken = stored(taken.where("_n > 0").withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"), "taken")
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    repeat = lambda df, cols: df.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i")).drop("_i")
-    out = repeat(docs.join(taken.where("_k = 1"), on), [docs[c] for c in docs.columns])
-    more = taken.where("_k > 1")
+    taken = copies(docs, doc_id, text, source, weights, most).groupBy("doc_id", "th").agg(F.sum("copies").alias("__n"), F.count("*").alias("__k"))
+    taken = stored(taken.where("__n > 0").withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th"), "taken")
+    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    repeat = lambda df, cols: df.select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__i")).drop("__i")
+    out = repeat(docs.join(taken.where("__k = 1"), on), [docs[c] for c in docs.columns])
+    more = taken.where("__k > 1")
     if more.isEmpty():
         return out
-    one = docs.join(more, on).select(*[docs[c] for c in docs.columns], "_id", "_th", "_n").dropDuplicates(["_id", "_th"])
+    one = docs.join(more, on).select(*[docs[c] for c in docs.columns], "__id", "__th", "__n").dropDuplicates(["__id", "__th"])
     return out.union(repeat(one, docs.columns))

@@ -90,6 +90,6 @@ def sharded(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     """The rows of ``docs`` with their shard in a last column; it is called ``shard``, or ``shard_`` where that name is taken."""
     while name in docs.columns:
         name += "_"
-    put = assign(docs, shards, doc_id, text).groupBy("doc_id", "th").agg(F.min("shard").alias("_shard")).withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
-    on = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    return docs.join(put, on).select(*[docs[c] for c in docs.columns], F.col("_shard").alias(name))
+    put = assign(docs, shards, doc_id, text).groupBy("doc_id", "th").agg(F.min("shard").alias("__shard")).withColumnRenamed("doc_id", "__id").withColumnRenamed("th", "__th")
+    on = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__th"))
+    return docs.join(put, on).select(*[docs[c] for c in docs.columns], F.col("__shard").alias(name))

@@ -59,3 +59,15 @@ def test_small_documents(spark, rows):
     for k, (_, stage) in enumerate(P.STAGES):
         docs = stored(stage(spark, docs, SF), f"small{k}")
     assert docs.count() <= 3
+
+
+def test_clashing_columns(spark):
+    """Extra columns keep their names and values, whatever they are called."""
+    extra = ["_id", "th", "shard", "copies", "node", "label", "score", "spans", "size"]
+    rows = [(i, f"some words of text number {i} and a few more of them " * 3, "en", f"s{i % 2}", 5, *[f"{c}{i}" for c in extra]) for i in range(6)]
+    docs = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for k, (_, stage) in enumerate(P.STAGES):
+        if k:  # the labels of the small data say nothing about these texts
+            docs = stored(stage(spark, docs, SF), f"clash{k}")
+    assert docs.columns[-2:] == ["size", "shard_"]
+    assert docs.count() and all(r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in extra)
