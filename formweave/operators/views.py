@@ -208,18 +208,15 @@ def activity_feed(entries: DataFrame, limit: int = 60, per_client: bool = False)
 
 
 # --- boards and reports ----------------------------------------------------------------------------------------------
-def exception_board(exceptions: DataFrame, scores: DataFrame) -> DataFrame:
-    """Total, affected documents and mean document confidence.
+def exception_board(docs: DataFrame) -> DataFrame:
+    """Total, affected documents and mean document confidence, from rows with ``exceptions`` and ``document_confidence``.
 
-    ``exceptions`` is (doc_id, code, field); repeated pairs count once.
+    A code counts once per field of a document. One pass over the documents.
     """
-    pairs = exceptions.select("doc_id", "code", "field").distinct()
-    per_doc = pairs.groupBy("doc_id").agg(F.count("*").alias("n"))
-    cents = F.round(F.col("document_confidence") * 1000).cast("bigint")
-    a = per_doc.agg(F.sum("n").alias("total"), F.count("*").alias("affected"))
-    b = scores.where("document_confidence <> 0").agg(F.floor(F.sum(cents) / F.nullif(F.count("*"), F.lit(0)) / 10 + 0.5).cast("bigint").alias("avg_conf"))
-    # both sides are one-row totals
-    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+    pairs = F.size(F.array_distinct(F.transform("exceptions", lambda e: F.struct(e["code"], e["field"])))).cast("bigint")
+    cents = F.when(F.col("document_confidence") != 0, F.round(F.col("document_confidence") * 1000).cast("bigint"))
+    rows = docs.select(F.nullif(pairs, F.lit(0)).alias("n"), cents.alias("c"))
+    return rows.agg(F.sum("n").alias("total"), F.count("n").alias("affected"), F.floor(F.sum("c") / F.nullif(F.count("c"), F.lit(0)) / 10 + 0.5).cast("bigint").alias("avg_conf"))
 
 
 def exception_rollup(exceptions: DataFrame) -> DataFrame:

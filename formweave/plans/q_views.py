@@ -203,8 +203,7 @@ _add("exception_types", lambda s, d: _long(s, d).groupBy(W.exception_type(F.col(
 
 
 def exception_board(s, d):
-    v = validate(I.w2_docs(s, d), forms=["W-2"])
-    return W.exception_board(X.explode_exceptions(v, "doc_id"), v.select("doc_id", "document_confidence"))
+    return W.exception_board(validate(I.w2_docs(s, d), forms=["W-2"]))
 
 
 _DS0 = QV._DOC_SCORE.replace(QV._ALL_EXC_HV, QV._ALL_EXC).replace("when hv.doc_id is not null then 1.0 ", "").replace(" left join hv on hv.doc_id = fl.doc_id and hv.field = fl.field", "")
