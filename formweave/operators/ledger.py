@@ -189,6 +189,21 @@ def escalate(ledger: DataFrame, escalations: DataFrame) -> DataFrame:
     return j.withColumn("linked_document_id", linked).withColumn("ledger_linked", linked.isNotNull()).drop("id_hit", "name_hit")
 
 
+def with_escalations(trail: DataFrame, linked: DataFrame) -> DataFrame:
+    """Audit trail with the escalations that found a document (see ``escalate``) as entries of their own."""
+    rows = linked.where("ledger_linked").select(F.col("linked_document_id").alias("document_id"), "ts", "seq", F.lit("exception_escalated").alias("entry"))
+    return trail.unionByName(rows, allowMissingColumns=True)
+
+
+def correction_history(events: DataFrame, key: str, allowed: dict[str, list[str]], stage: str = "corrected") -> DataFrame:
+    """Accepted corrections per session, numbered from 1: those taken from a stage that allows them."""
+    mine = events.where(F.col("stage") == stage)
+    refused = transitions(events, key, {stage: allowed[stage]}).select(F.col(key).alias("_key"), F.col("ts").alias("_ts"), F.col("seq").alias("_seq"))
+    on = F.col(key).eqNullSafe(F.col("_key")) & F.col("ts").eqNullSafe(F.col("_ts")) & (F.col("seq") == F.col("_seq"))
+    accepted = mine.join(refused, on, "left_anti")
+    return accepted.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("ts", "seq")))
+
+
 def set_json_path(table: DataFrame, paths: DataFrame) -> DataFrame:
     """New local path per document where one is given."""
     p = paths.where("document_id <> '' and local_json_path <> ''").groupBy("document_id").agg(

@@ -233,3 +233,30 @@ def ledger_submissions(spark, sf_dir):
 
 QUERIES["ledger_submissions"] = ledger_submissions
 ORACLE["ledger_submissions"] = f"select seq, coalesce(name_override, nullif(extracted_name, ''), ctx_client_name, filename) as client_name, coalesce(nullif(form_type, ''), 'Unknown') as document_type, 'Auto-extracted: ' || filename as description, filename as source, cast(ctx_tax_year as int) as tax_year from ({I.plain(_SUBM_SQL, 'events')}) z"
+
+
+def audit_escalations(spark, sf_dir):
+    """Audit trail with escalations as entries."""
+    p = prepared(spark, sf_dir)
+    hist_ = L.history(p)
+    led = L.with_canonical(L.current(hist_), L.canonical_names(p))
+    # every event escalates; those of a type without a document find none
+    raised = I.derive(spark, sf_dir, _ESC_SQL.replace("where event_type <> 'error'", "").replace("select event_id,", "select ts, event_id as seq, event_id,"), "events")
+    trail = L.with_escalations(L.audit_trail(hist_), L.escalate(led, raised))
+    return trail.select("document_id", "ts", "seq", "entry", "upload_count")
+
+
+QUERIES["audit_escalations"] = audit_escalations
+ORACLE["audit_escalations"] = f"""with {_HIST}, nm as (select client_key, arg_min(client_name, ts) as canon from sub group by 1), led as (select distinct document_id, canon as client_name, document_type from sub join nm using (client_key)),
+ es as ({I.plain(_ESC_SQL, 'events').replace("where event_type <> 'error'", "").replace("select event_id,", "select ts, event_id as seq, event_id,")})
+select document_id, ts, seq, 'submit' as entry, upload_count from h union all select led.document_id, es.ts, es.seq, 'exception_escalated', null from es join led on led.client_name = es.client_name and led.document_type = es.document_type"""
+
+
+def correction_history(spark, sf_dir):
+    """Accepted corrections of each session, in order."""
+    return L.correction_history(I.derive(spark, sf_dir, _STAGE_SQL, "events"), "user_id", ALLOWED).select("user_id", F.col("n").cast("long").alias("n"), "ts", "seq")
+
+
+QUERIES["correction_history"] = correction_history
+ORACLE["correction_history"] = f"""with s as (select *, lag(stage) over (partition by user_id order by ts, seq) as prev_stage from ({I.plain(_STAGE_SQL, 'events')}) b)
+select user_id, row_number() over (partition by user_id order by ts, seq) as n, ts, seq from s where stage = 'corrected' and prev_stage in ('extracted','corrected')"""
