@@ -9,8 +9,9 @@ host above it (one label less), where both have pages, link to each other. Trust
 follows the links (personalised PageRank); distrust starts at the hosts with blocked pages and follows them backwards. Both
 start in proportion to the pages and are scaled to a sum of one. A host is blocked when its distrust is positive and at least
 ``RATIO`` times its trust, else allowed. Each round is a join of the links with the scores and a sum by target; rounds end
-when no score moves by more than ``TOLERANCE``, or after ``ROUNDS``. Mass that hosts without links lose would return to the
-seeds; scaling at the end has the same result.
+when in ``STEP`` of them no host is new and no score moves by more than ``TOLERANCE`` of itself, so neither the number of hosts
+nor their distance from a seed matters. What is missing falls by ``DAMPING`` a round, so rounds do end. Mass that hosts without
+links lose would return to the seeds; scaling at the end has the same result.
 
 Equal rows are judged one by one. Without seeds every page without a rule is allowed. Null html has no links.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from formweave.llm.tables import stored
 
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
-DAMPING, ROUNDS, STEP, TOLERANCE, RATIO = 0.85, 30, 3, 1e-7, 1.0
+DAMPING, STEP, TOLERANCE, RATIO = 0.85, 6, 1e-7, 1.0
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
@@ -69,22 +70,23 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return every.where("src <> dst and src <> '' and dst <> ''").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, most: int = ROUNDS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING) -> DataFrame:
     """``host``, ``trust``, ``distrust``, from ``seeds`` (``host``, ``kind`` 0 for trust and 1 for distrust, ``weight``)."""
     both = edges.select(F.lit(0).alias("kind"), "src", "dst").union(edges.select(F.lit(1), "dst", "src"))
     degree = both.groupBy("kind", "src").agg(F.count("*").alias("_n"))
     both = stored(both.join(degree, ["kind", "src"]).select("kind", "src", "dst", (damping / F.col("_n")).alias("share")), "links")
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("_all"))
     start = stored(seeds.join(total, "kind").select("kind", "host", ((1 - damping) * F.col("weight") / F.col("_all")).alias("score")), "seeds")
-    scores = start.withColumn("moved", F.lit(1.0))
-    for _ in range(0, most, STEP):
+    scores = start
+    while True:
+        before = scores
         for _ in range(STEP):
-            before = scores.select("kind", "host", F.col("score").alias("_old"))
-            flow = before.select("kind", F.col("host").alias("src"), "_old").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("_old")).alias("score"), F.lit(0.0).alias("_old"))
-            every = flow.union(start.select("kind", "host", "score", F.lit(0.0))).union(before.select("kind", "host", F.lit(0.0), "_old"))
-            scores = every.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("_old").alias("_old")).select("kind", "host", "score", F.abs(F.col("score") - F.col("_old")).alias("moved"))
+            flow = scores.select("kind", F.col("host").alias("src"), "score").join(both, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("share") * F.col("score")).alias("score"))
+            scores = flow.union(start).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+        every = scores.select("kind", "host", "score", F.lit(0.0).alias("_old")).union(before.select("kind", "host", F.lit(0.0), "score"))
+        scores = every.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.sum("_old").alias("_old")).select("kind", "host", "score", F.abs(F.col("score") - F.col("_old")).alias("moved"))
         scores = stored(scores, "scores")
-        if scores.where(F.col("moved") > TOLERANCE).isEmpty():
+        if scores.where(F.col("moved") > TOLERANCE * F.col("score")).isEmpty():  # a new host has moved by its whole score
             break
     whole = scores.groupBy("kind").agg(F.sum("score").alias("_all"))
     scores = scores.join(whole, "kind").withColumn("score", F.col("score") / F.col("_all"))

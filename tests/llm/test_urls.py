@@ -93,6 +93,30 @@ def test_judge(spark):
     assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
+def test_far_hosts(spark):
+    """Hosts 45 links away from the only seed are reached; many copies of a graph get the scores of one copy, as shares."""
+    n = 45
+    edges = spark.createDataFrame([(f"h{i}", f"h{i - 1}") for i in range(1, n + 1)], "src string, dst string")
+    got = {r.host: r.distrust for r in U.propagate(edges, spark.createDataFrame([("h0", 1, 1)], "host string, kind int, weight long")).collect()}
+    whole = sum(U.DAMPING**i for i in range(n + 1))
+    assert got.keys() == {f"h{i}" for i in range(n + 1)}
+    assert all(abs(got[f"h{i}"] * whole / U.DAMPING**i - 1) < 1e-6 for i in range(n + 1))
+
+
+def test_copies(spark):
+    """A million copies: what a host holds is far below any fixed limit, the verdicts are those of one copy."""
+    links = [("h1", "h0"), ("h2", "h1"), ("h3", "h2"), ("h4", "h3"), ("h5", "h4"), ("h6", "h5"), ("a", "h2"), ("a", "b"), ("b", "a"), ("h6", "a")]
+    edges = spark.createDataFrame(links, "src string, dst string")
+    seeds = [("h0", 1, 1), ("b", 0, 1)]
+    one = {r.host: r for r in U.propagate(edges, spark.createDataFrame(seeds, "host string, kind int, weight long")).collect()}
+    apart = [("o%d" % k, k, 999_999) for k in (0, 1)]  # all other copies' seeds, without links
+    many = {r.host: r for r in U.propagate(edges, spark.createDataFrame(seeds + apart, "host string, kind int, weight long")).collect()}
+    assert set(one) == set(many) - {"o0", "o1"} and one["h6"].distrust > 0
+    for h, r in one.items():
+        assert (many[h].distrust > 0) == (r.distrust > 0) and (many[h].distrust >= many[h].trust) == (r.distrust >= r.trust)
+        assert abs(many[h].distrust / many["h0"].distrust - r.distrust / one["h0"].distrust) < 1e-6
+
+
 def test_empty(spark):
     assert U.judge(spark.createDataFrame([], SCHEMA), U.rules(spark)).collect() == []
     r, = U.judge(spark.createDataFrame([(1, "http://a.org", None, None, None)], SCHEMA), U.rules(spark)).collect()
