@@ -1,12 +1,17 @@
-"""Document fingerprints: SimHash, and permuted block tables to find all fingerprints within a Hamming radius.
+"""Document fingerprints: SimHash, and the numbers of fingerprints within a Hamming radius.
 
 The terms of a text are its pairs of neighbouring words (A-Z lower-cased; a text of one word has that word). A term that
 occurs c times has the weight 1 + ln c; its 128 hash bits vote with this weight, and a bit is set where the votes for 1 lead.
 Texts with equal terms have equal fingerprints. Null, empty and blank texts have no terms: all bits are 0.
 
-For the search the bits are cut into ``blocks`` blocks. Two fingerprints within radius r agree in at least blocks - r of them,
-so each choice of blocks - r blocks is a table with these blocks as the key, and every neighbour shares a key in some table.
-Equal fingerprints are one row with a count, so copies never form pairs. The search is exact; nothing is capped.
+``with_neighbours`` counts the rows within ``RADIUS`` bits: the fingerprints that are asked for and those of all rows are dealt
+into tiles, and every pair of tiles is compared bit by bit and summed inside its task, so a large group of near copies makes no
+pairs. Equal fingerprints are one row with a count. No index is exact and selective at this radius; the work is that of all
+comparisons, asked times distinct fingerprints.
+
+``near`` lists the pairs themselves, for radii of a few bits: the bits are cut into ``blocks`` blocks. Two fingerprints within
+radius r agree in at least blocks - r of them, so each choice of blocks - r blocks is a table with these blocks as the key, and
+every neighbour shares a key in some table. Both are exact; nothing is capped.
 """
 
 from __future__ import annotations
@@ -25,7 +30,8 @@ from pyspark.sql.window import Window
 from formweave.llm import words as W
 from formweave.llm.tables import stored
 
-BITS, RADIUS, BLOCKS = 128, 3, 4
+BITS, RADIUS = 128, 20
+TILE, ASKED = 1 << 15, 1 << 16  # fingerprints of a tile: of all rows, of those asked for
 _VOTE = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
 _SLICE, _ROWS = 1 << 19, 512  # votes take 32 KB a text
 
@@ -72,7 +78,7 @@ def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fingerprint string, hi long, lo long")
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def near(queries: DataFrame, prints: DataFrame, radius: int, blocks: int) -> DataFrame:
     """All pairs (``fingerprint`` of ``queries``, ``other`` of ``prints``) within the radius, each once, with their ``distance``.
 
     Both need ``fingerprint``, ``hi`` and ``lo``; equal fingerprints count once on either side and pair with each other.
@@ -134,9 +140,40 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hi long, lo long")
 
 
-def with_neighbours(prints: DataFrame, asked, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def _tally(radius: int):
+    """Per fingerprint of the left tile: how many rows of the right tile lie within the radius, where there are any."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.empty((0, 3), np.int64)]
+        if left.num_rows and right.num_rows:
+            flat = lambda t: [np.asarray(c) for c in t.column("held").combine_chunks().flatten().flatten()]
+            (hi, lo), (ohi, olo, n) = flat(left), flat(right)
+            uhi, ulo, uohi, uolo = (x.view(np.uint64) for x in (hi, lo, ohi, olo))
+            for a in range(0, len(hi), 32):
+                upper = np.bitwise_count(uhi[a : a + 32, None] ^ uohi[None, :])
+                q, r = np.nonzero(upper <= radius)
+                fits = upper[q, r] + np.bitwise_count(ulo[a + q] ^ uolo[r]) <= radius
+                total = np.zeros(len(hi[a : a + 32]), np.int64)
+                np.add.at(total, q[fits], n[r[fits]])
+                k = np.flatnonzero(total)
+                out.append(np.stack([hi[a + k], lo[a + k], total[k]], axis=1))
+        found = np.concatenate(out)
+        return pa.table({c: found[:, i] for i, c in enumerate(("hi", "lo", "n"))})
+
+    return run
+
+
+def with_neighbours(prints: DataFrame, asked, radius: int = RADIUS, tile: int = TILE, asked_tile: int = ASKED) -> DataFrame:
     """Add ``n_within``: for the rows that ``asked`` names, how many other rows lie within the radius; null elsewhere."""
     prints = stored(prints, "fingerprints")
-    counts = prints.groupBy(F.col("fingerprint").alias("other")).count()
-    found = near(prints.where(asked), prints, radius, blocks).join(counts, "other").groupBy("fingerprint").agg((F.sum("count") - 1).alias("_n"))
-    return prints.join(found, "fingerprint", "left").withColumn("n_within", F.when(asked, F.col("_n"))).drop("_n")
+    every = prints.groupBy("hi", "lo").agg(F.count("*").alias("n"))
+    wanted = prints.where(asked).select("hi", "lo").distinct()
+    across, down = (max(1, -(-df.count() // size)) for df, size in ((every, tile), (wanted, asked_tile)))
+    spot = lambda n: F.pmod(F.xxhash64("hi", "lo"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = wanted.groupBy(spot(down).alias("i")).agg(F.collect_list(F.struct("hi", "lo")).alias("held")).select("i", upto(across).alias("j"), "held")
+    right = every.groupBy(spot(across).alias("j")).agg(F.collect_list(F.struct("hi", "lo", "n")).alias("held")).select(upto(down).alias("i"), "j", "held")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tally(radius), "hi long, lo long, n long")
+    # stored, so that the join stands apart from the sum and Spark can split a fingerprint that many rows have
+    found = stored(found.groupBy("hi", "lo").agg((F.sum("n") - 1).alias("_n")), "within")
+    return prints.join(found, ["hi", "lo"], "left").withColumn("n_within", F.when(asked, F.col("_n"))).select(*prints.columns, "n_within")

@@ -77,3 +77,45 @@ def test_empty_and_single(spark):
     assert (r.n_chars, r.edited_sha256) == (7, hashlib.sha256(b"abcdabc").hexdigest())
     twice = S.compared(spark.createDataFrame([(5, "abc", None, None, None)] * 2, SCHEMA)).collect()
     assert [r.edited_sha256 for r in twice] == [hashlib.sha256(b"aba").hexdigest()] * 2
+
+
+def test_recall(spark):
+    """Near copies of texts, by brute force over 5-word shingles: pairs of similarity 0.8 or more are neighbours, unrelated texts are not."""
+    rng = random.Random(8)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = []
+    for k in range(120):
+        words = [f"w{rng.randint(0, 3000)}" for _ in range(rng.choice([100, 250, 600]))]
+        edited = list(words)
+        for _ in range(1 if k % 2 else 200):
+            tried = list(edited)
+            tried[rng.randrange(len(tried))] = f"x{rng.randint(0, 3000)}"
+            a, b = shingles(words), shingles(tried)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            edited = tried
+        texts += [words, edited]
+    prints = S.fingerprints(pa.array([" ".join(w) for w in texts]))
+    _, hi, lo = S._columns(prints)
+    rows = list(zip(range(len(texts)), hi.to_pylist(), lo.to_pylist(), strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, hi long, lo long")
+    got = {r.doc_id: r.n_within for r in S.with_neighbours(df, F.lit(True)).collect()}
+    sets = [shingles(w) for w in texts]
+    want = {i: sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert set(want.values()) == {1}
+    assert all(got[i] == 1 for i in want if i // 2 % 2)  # one word changed
+    assert sum(got.values()) >= 0.97 * len(texts) and max(got.values()) == 1
+
+
+def test_tiles(spark):
+    """Small tiles, copies and ids that are null against brute force."""
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(8)]
+    prints = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 14))) for _ in range(120)] + base * 3 + [0, 0]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in enumerate(prints)] + [(None, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, hi long, lo long")
+    every = [*prints, 0]
+    for tile, asked in ((7, 3), (1000, 1000)):
+        got = sorted((str(r.doc_id), r.n_within) for r in S.with_neighbours(df, F.col("doc_id") % 2 == 0, tile=tile, asked_tile=asked).collect() if r.doc_id is not None and r.doc_id % 2 == 0)
+        assert got == sorted((str(i), sum((p ^ q).bit_count() <= S.RADIUS for q in every) - 1) for i, p in enumerate(prints) if i % 2 == 0)
