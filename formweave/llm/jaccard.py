@@ -15,6 +15,7 @@ A column still longer than ``LONG`` (large groups of near copies) gives no pairs
 with one leader of the column. When the components of all links found so far are known, sets of columns that hang together
 form a cluster; where it has several components, the sets outside the largest are multiplied with all others in blocks of
 ``TILE`` by ``TILE`` sets, and a block returns only links that connect. Pairs left out lie inside one component already.
+That is for components only: ``links`` and ``counted`` multiply every cluster in full and leave out nothing.
 
 Null and empty texts: no n-grams, alone in their component. Equal rows are members of one node. A null id never is the
 smallest; a component of null ids only has a null id. An empty table gives an empty result.
@@ -303,9 +304,8 @@ def _tiled(listed: DataFrame, labels: DataFrame, docs: DataFrame, who: DataFrame
         multiply, "a long, b long, overlap long")
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, labels): the node of each row; links ``a``, ``b``, ``overlap`` between nodes that make up all
-    components (every link but those between sets of one long column that are connected already); ``node``, ``label``."""
+def _found(docs: DataFrame, doc_id: str, text: str, size: int, percent: int, frequent_from: int, long: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows as ``doc_id``, ``text``; members; sets of long columns; verified links, all but some between sets of one long column)."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     who = stored(members(docs, "doc_id", "text", size), "members")
     late = frequent(docs, "text", size, frequent_from)
@@ -323,6 +323,13 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     star = listed.join(leaders, "col").where((F.col("a") != F.col("lead")) & fits(F.col("n"), F.col("m"))).select(F.least("a", "lead").alias("a"), F.greatest("a", "lead").alias("b"))
     pairs = stored(pairs.union(star).distinct(), "pairs")
     links = stored(_verified(pairs, docs, who, "text", size, percent), "links")
+    return docs, who, listed, links
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT, long: int = LONG) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, labels): the node of each row; links ``a``, ``b``, ``overlap`` between nodes that make up all
+    components (every link but those between sets of one long column that are connected already); ``node``, ``label``."""
+    docs, who, listed, links = _found(docs, doc_id, text, size, percent, frequent_from, long)
     labels = components(links)
     if not listed.isEmpty():
         links = stored(links.union(_tiled(listed, labels, docs, who, text, size, percent)).distinct(), "links")
@@ -330,6 +337,84 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     return who, links, labels
 
 
+def _whole(listed: DataFrame, docs: DataFrame, who: DataFrame, size: int, percent: int, count: bool) -> tuple[DataFrame, DataFrame]:
+    """(clusters, links inside them): sets whose long columns hang together, all multiplied with all; links ``a``, ``b``, ``overlap``,
+    or summed inside the tiles to ``node``, ``n`` (rows of the linked sets)."""
+    leader = listed.groupBy("col").agg(F.min("a").alias("lead"))
+    hang = listed.join(leader, "col").select("a", F.col("lead").alias("b"))
+    # a cluster of one set has no pairs
+    clusters = stored(components(hang.where("a <> b").distinct()).select("node", F.col("label").alias("cluster")), "clusters")
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    rows = who.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"))
+    own = clusters.join(sizes, "cluster").join(rows, "node").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    others = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.struct(F.least("tile", j).alias("i"), F.greatest("tile", j).alias("j")))
+    own = stored(own.select("node", "rows", "cluster", "tile", F.explode(others).alias("at")), "tiles")
+
+    def multiply(table: pa.Table) -> pa.Table:
+        node, rows, tile, i, j = (np.asarray(table.column(c)) for c in ("node", "rows", "tile", "i", "j"))
+        lists = table.column("grams").combine_chunks()
+        row, gram = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
+        n = np.bincount(row, minlength=len(node))
+        _, column, held = np.unique(gram, return_inverse=True, return_counts=True)
+        shared = held > 1
+        place = (np.cumsum(shared) - 1)[column]
+        use = np.flatnonzero(shared[column])
+        use = use[np.argsort(place[use], kind="stable")]
+        up, down = np.flatnonzero(tile == i[0]), np.flatnonzero(tile == j[0])
+        both = np.zeros((len(up), len(down)), np.float32)
+        for c in range(0, int(shared.sum()), 4096):  # so many columns at a time
+            part = use[np.searchsorted(place[use], c) : np.searchsorted(place[use], c + 4096)]
+            matrix = np.zeros((len(node), 4096), np.float32)
+            matrix[row[part], place[part] - c] = 1
+            both += matrix[up] @ matrix[down].T
+        both = np.rint(both).astype(np.int64)
+        x, y = np.nonzero(both * 100 >= percent * (n[up][:, None] + n[down][None, :] - both))
+        overlap, x, y = both[x, y], up[x], down[y]
+        once = x < y if i[0] == j[0] else np.ones(len(x), bool)
+        overlap, x, y = overlap[once], x[once], y[once]
+        if count:
+            total = np.zeros(len(node), np.int64)
+            np.add.at(total, x, rows[y])
+            np.add.at(total, y, rows[x])
+            k = np.flatnonzero(total)
+            return pa.table({"node": node[k], "n": total[k]})
+        return pa.table({"a": np.minimum(node[x], node[y]), "b": np.maximum(node[x], node[y]), "overlap": overlap})
+
+    grams = _grams(own.select("node").distinct(), docs, who, "text", size)
+    tiled = own.join(grams, "node").select("node", "rows", "tile", "grams", "cluster", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+    return clusters, tiled.groupBy("cluster", "i", "j").applyInArrow(multiply, "node long, n long" if count else "a long, b long, overlap long")
+
+
+def _apart(links: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Links that do not lie inside one cluster."""
+    of = lambda c: clusters.select(F.col("node").alias(c), F.col("cluster").alias(f"c{c}"))
+    return links.join(of("a"), "a", "left").join(of("b"), "b", "left").where("ca is null or cb is null or ca <> cb").select("a", "b", "overlap")
+
+
+def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """(members, links): the node of each row; every link between nodes once, ``a`` < ``b``, ``overlap``. Rows of one node are equal sets."""
+    docs, who, listed, found = _found(docs, doc_id, text, size, percent, frequent_from, long)
+    if listed.isEmpty():
+        return who, found
+    clusters, inside = _whole(listed, docs, who, size, percent, False)
+    return who, _apart(found, clusters).union(inside)
+
+
+def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, frequent_from: int = FREQUENT, long: int = LONG) -> DataFrame:
+    """Per row: ``doc_id``, ``th``, ``n_links``: with how many other rows the join links it. Links inside clusters are summed in their tiles, not listed."""
+    docs, who, listed, found = _found(docs, doc_id, text, size, percent, frequent_from, long)
+    rows = who.where("node is not null").groupBy("node").agg(F.count("*").alias("rows"))
+    parts = rows.select("node", (F.col("rows") - 1).alias("n"))
+    if not listed.isEmpty():
+        clusters, inside = _whole(listed, docs, who, size, percent, True)
+        found, parts = _apart(found, clusters), parts.union(inside)
+    for x, y in (("a", "b"), ("b", "a")):
+        parts = parts.union(found.join(rows.select(F.col("node").alias(y), "rows"), y).select(F.col(x).alias("node"), F.col("rows").alias("n")))
+    # stored, so that the join stands apart from the sum and Spark can split a node with many rows
+    total = stored(parts.groupBy("node").agg(F.sum("n").alias("n_links")), "counted")
+    return who.join(total, "node", "left").select("doc_id", "th", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT, **how) -> DataFrame:
     """Per row: ``doc_id``, ``th`` (hash of the text), ``n_shingles``, ``component_id`` (smallest id of the component)."""
     who, _, labels = join(docs, doc_id, text, size, percent, **how)

@@ -61,6 +61,27 @@ def test_components(spark, frequent, long):
     assert sorted(got, key=str) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [7, 512])
+def test_every_link(spark, monkeypatch, tile):
+    """All links and their numbers per row against brute force, where nearly all columns are long."""
+    monkeypatch.setattr(J, "TILE", tile)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for _, t, *_ in rows]
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in words]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = sorted(((str(r[0]), sum(linked(a, b) for k, b in enumerate(sets) if k != i)) for i, (r, a) in enumerate(zip(rows, sets, strict=True))))
+    assert sorted((str(r.doc_id), r.n_links) for r in J.counted(docs, frequent_from=6, long=4).collect()) == want
+    _, links = J.links(docs, frequent_from=6, long=4)
+    links = [tuple(r) for r in links.collect()]
+    every = list(set(sets))
+    overlaps = sorted(len(a & b) for i, a in enumerate(every) for b in every[:i] if linked(a, b))
+    assert len({(a, b) for a, b, _ in links}) == len(links) and all(a < b for a, b, _ in links)
+    assert sorted(n for *_, n in links) == overlaps
+    spanning = J.join(docs, frequent_from=6, long=4)[1].count()
+    assert spanning <= len(links)
+
+
 def test_empty_table(spark):
     assert J.classes(spark.createDataFrame([], SCHEMA)).collect() == []
 
