@@ -27,12 +27,17 @@ WINDOW = 20
 _SET = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{_SET})(?=[A-Za-z+/_=-]*[0-9]){_SET}{{{WINDOW},}}"
 LIMITS = (("^[0-9A-Fa-f]+$", 3.0), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
+# a piece of a path: words (also in camel case) with a short number, or numbers, parted by signs
+_WORD = "(([A-Z]?[a-z]+([A-Z][a-z][a-z]+)*|[A-Z]+)[0-9]{0,4}|[0-9]{1,8})"
+_PIECE = f"{_WORD}([_=-]+{_WORD})*"
 ALLOW = (
     "^[0-9=+/_-]+$",  # numbers, dates, rules of signs
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # identifiers made to be public
-    "/.*/.*/",  # paths
+    f"^(/+({_PIECE}/+){{2,40}}|({_PIECE}/+){{3,40}})({_PIECE})?$",  # paths all of whose pieces are word-like; a slash alone says nothing, base64 has it
     "^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",  # words with a number
-    "([Ee]xample|EXAMPLE|[Dd]ummy|[Cc]hangeme|[Pp]laceholder|[Xx]{6}|0123456789|abcdefghij)",
+    # placeholders, where nothing else is there
+    "^[Xx0-9_=+/-]*(([Ee]xample|EXAMPLE|[Dd]ummy|[Cc]hangeme|[Pp]laceholder|[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|abcdefghij(klmnopqrstuvwxyz)?)[Xx0-9_=+/-]*){0,20}$",
+    "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",  # a published example
 )
 
 

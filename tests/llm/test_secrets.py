@@ -58,6 +58,23 @@ def test_scan(spark):
         assert all(texts[r.doc_id][x.s : x.e] == x.t for x in r.spans)
 
 
+def test_recall(spark):
+    """Random base64 keys, most of which have slashes, and keys around a placeholder are found; paths and placeholders are not."""
+    rng = random.Random(12)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    keys = [k for n in (20, 40, 88, 200, 400) for k in ("".join(rng.choice(b64) for _ in range(n)) for _ in range(200)) if re.search("[0-9]", k)]
+    more = ["".join(rng.choice(b64) for _ in range(30)) + "7" + x + "".join(rng.choice(b64) for _ in range(30)) for x in ("xxxxxx", "abcdefghij", "Example", "/a/b/c/")]
+    known = ["path/to/some/file-0001/index2", "/usr/share/doc/python3/examples/2024/", "src/main/java/com/fastParser/v2/Reader", "example_key_0123456789", "xxxxxxxxxxxxxxxxxxxx1234", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    rows = [(i, f"see {k} end", None, None, None) for i, k in enumerate([*keys, *more, *known])]
+    got = {r.doc_id: any(x.kind == "entropy" and (x.s, x.e) == (4, len(rows[r.doc_id][1]) - 4) for x in r.spans) for r in S.scan(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    found = {n: [got[i] for i, k in enumerate(keys) if len(k) == n] for n in (20, 40, 88, 200, 400)}
+    assert all(all(found[n]) for n in (40, 88, 200, 400)) and sum(found[20]) >= 0.9 * len(found[20])
+    assert all(got[len(keys) + i] for i in range(len(more)))
+    assert not any(got[len(keys) + len(more) + i] for i in range(len(known)))
+    long = ["ab/" * 1000 + "c1", "0" * 3000 + "g", "x" * 3000 + "1y", "Abc" * 500 + "1!", "/a1" * 1000]
+    assert S.scan(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(long)], SCHEMA)).where("size(spans) >= 0").collect() != []
+
+
 def test_entropy(spark):
     rng = random.Random(2)
     rows = [("".join(rng.choice("ab01XYZ+/=-") for _ in range(n)),) for n in (1, 19, 20, 21, 40, 90)] + [("a" * 50,), ("ab" * 30,)]
