@@ -1,10 +1,10 @@
 """Byte-level BPE with word ends: texts to token ids and back, by a tokenization automaton.
 
 The tokenizer's file (JSON of the tokenizers library, read on the driver from a path that is a parameter) is compiled into a
-``TokenAutomaton``; the automaton, some megabytes that depend on the vocabulary alone, is broadcast. In the tasks a text is cut at
-ASCII blanks, which end every piece; a chunk is normalised and split into pieces, each piece's bytes become symbols, the last one
-marked as a word end, and the automaton gives its tokens. Chunks of printable ASCII and Latin-1 letters are normalised and split by one
-pattern; all others by the library's own normaliser and splitter, so that its Unicode tables hold. Special tokens in
+``TokenAutomaton``; the automaton, some megabytes that depend on the vocabulary alone, is broadcast. In the tasks a text is normalised
+and split into pieces, each piece's bytes become symbols, the last one marked as a word end, and the automaton gives its tokens. Texts of
+ASCII and Latin-1 letters are normalised and split by one pattern; of other texts, the chunks between ASCII blanks that hold
+other characters go through the library's own normaliser and splitter, so that its Unicode tables hold. Special tokens in
 the text are one token each, as the library has it. Decoding emits the labels of the ids and joins them as the library does
 for a tokenizer without a decoder: by one blank.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,15 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from formweave.llm.bpe_automaton import TokenAutomaton
 
-KNOWN = 400_000  # chunks, and pieces, that a worker keeps with their ids
+KNOWN = 400_000  # pieces that a worker keeps with their ids
 TOGETHER = 64  # longer pieces are encoded one by one
 WORDS = 8_000  # pieces that take their steps together
 PORTION = 4 << 20  # characters of the texts that are cut at a time
 _CHUNK = re.compile(r"[^ \t-\r]+")
-_PLAIN = re.compile(r"[!-~À-ÿ]*")
+_PLAIN = re.compile(r"[\t-\r -~À-ÿ]*")
 _LETTERS = "a-zß-öø-ÿ"
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^ \t-\r{_LETTERS}0-9]+")
+_LIBRARY = "\0"  # begins the name of a piece that the library has split, in byte symbols
 #: What the pattern above, blanks aside, stands for in the file. Fixed value.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _CLOSED = 0x400  # added to the character of a symbol that ends a word
@@ -76,7 +77,6 @@ class Codec:
 
     def _open(self) -> None:
         self.known: dict[str, bytes] = {}
-        self.known_pieces: dict[str, bytes] = {}
         self.library = None
         self.bytes_shown = dict(enumerate(_byte_symbols()))
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
@@ -88,61 +88,61 @@ class Codec:
         self.__dict__.update(state)
         self._open()
 
-    def _pieces(self, chunk: str) -> list[str]:
-        """Pieces of a chunk without special tokens, as strings of byte symbols."""
-        if self.plain and _PLAIN.fullmatch(chunk):
-            if chunk.isascii():
-                return _PIECE.findall(chunk.lower())
-            return [p.encode().decode("latin-1").translate(self.bytes_shown) for p in _PIECE.findall(chunk.lower())]
+    def _pieces(self, text: str) -> list[str]:
+        """Names of the pieces of a text: special tokens and plain pieces as they are, others with a mark."""
+        if self.cut.search(text):
+            out, at = [], 0
+            for m in self.cut.finditer(text):
+                out += [*self._between(text[at : m.start()]), m[0]]
+                at = m.end()
+            return out + self._between(text[at:])
+        return self._between(text)
+
+    def _between(self, text: str) -> list[str]:
+        if self.plain and _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_str(self.shell)
-        return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of the chunks; those of short chunks stay known for later texts."""
-        made: list[list[str | bytes]] = []
-        for c in chunks:
-            parts: list[str | bytes] = []
-            at = 0
-            for m in self.cut.finditer(c):
-                parts += [*self._pieces(c[at : m.start()]), self.special[m[0]].to_bytes(4, "little")]
-                at = m.end()
-            parts += self._pieces(c[at:])
-            made.append(parts)
-        ids = self.known_pieces
-        new = list({p for parts in made for p in parts if isinstance(p, str) and p not in ids})
-        if len(ids) + len(new) > KNOWN:
-            ids.clear()
-            new = list({p for parts in made for p in parts if isinstance(p, str)})
-        closed = [p[:-1] + chr(ord(p[-1]) + _CLOSED) for p in new]
-        short = [k for k, p in enumerate(new) if len(p) <= TOGETHER]
-        for x in range(0, len(short), WORDS):
-            some = short[x : x + WORDS]
-            tokens, counts = self.automaton.encode_many([closed[k] for k in some])
-            raw, at = self.ids[tokens].tobytes(), 0
-            for k, n in zip(some, counts.tolist(), strict=True):
-                ids[new[k]] = raw[at : at + 4 * n]
-                at += 4 * n
-        far = {p: self.ids[self.automaton.encode(c)].tobytes() for p, c in zip(new, closed, strict=True) if len(p) > TOGETHER}
-        out = {c: b"".join([p if isinstance(p, bytes) else ids.get(p) or far[p] for p in parts]) for c, parts in zip(chunks, made, strict=True)}
-        if len(self.known) + len(out) > KNOWN:
-            self.known.clear()
-        self.known.update((c, x) for c, x in out.items() if len(c) <= TOGETHER)
+        split, norm = self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer.normalize_str
+        out = []
+        for c in _CHUNK.findall(text):
+            out += _PIECE.findall(c.lower()) if self.plain and _PLAIN.fullmatch(c) else [_LIBRARY + p for p, _ in split(norm(c))]
         return out
 
+    def _closed(self, name: str) -> str:
+        """The byte symbols of a piece, the last one as the end of a word."""
+        p = name[1:] if name[0] == _LIBRARY else name if name.isascii() else name.encode().decode("latin-1").translate(self.bytes_shown)
+        return p[:-1] + chr(ord(p[-1]) + _CLOSED)
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
         known, out = self.known, []
         for a, b in _portions(texts):
-            cut = [_CHUNK.findall(t) if t else [] for t in texts[a:b]]
-            new = list({c for cs in cut for c in cs if c not in known})
-            get = {**{c: known[c] for cs in cut for c in cs if c in known}, **self._learn(new)}.__getitem__ if len(known) + len(new) > KNOWN else None
-            if get is None:
-                far = {c: x for c, x in self._learn(new).items() if len(c) > TOGETHER}
-                get = known.__getitem__ if not far else lambda c, far=far: known[c] if c in known else far[c]
-            out += [b"".join(map(get, cs)) for cs in cut]
+            cut = [self._pieces(t) if t else [] for t in texts[a:b]]
+            pieces = set().union(*cut)
+            new = [p for p in pieces if p not in known]
+            if len(known) + len(new) > KNOWN:
+                known.clear()
+                new = list(pieces)
+            long, near = [], []
+            for p in new:
+                if p in self.special:
+                    known[p] = self.special[p].to_bytes(4, "little")
+                elif len(p) > TOGETHER:
+                    known[p] = self.ids[self.automaton.encode(self._closed(p))].tobytes()
+                    long.append(p)
+                else:
+                    near.append(p)
+            for x in range(0, len(near), WORDS):
+                some = near[x : x + WORDS]
+                tokens, counts = self.automaton.encode_many([self._closed(p) for p in some])
+                raw, ends = self.ids[tokens].tobytes(), (4 * np.cumsum(counts)).tolist()
+                known.update(zip(some, [raw[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+            out += [b"".join(map(known.__getitem__, ps)) for ps in cut]
+            for p in long:
+                del known[p]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -171,36 +171,44 @@ def codec(path: str) -> Codec:
         return Codec(f.read())
 
 
-def _with(df: DataFrame, field: StructField, value) -> DataFrame:
+def mapped(df: DataFrame, tokenizer: Codec, schema: StructType | str, run: Callable[[Codec, pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``run`` over the batches of ``df`` with the broadcast tokenizer at hand, all in one pass."""
+    known = df.sparkSession.sparkContext.broadcast(tokenizer)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield run(known.value, b)
+
+    return df.mapInArrow(each, schema)
+
+
+def _with(df: DataFrame, tokenizer: Codec, field: StructField, value: Callable[[Codec, pa.RecordBatch], pa.Array]) -> DataFrame:
     """``df`` and a column that ``value`` gives for each batch."""
     if field.name in df.columns:
         raise ValueError(f"there is a column {field.name}")
+    run = lambda c, b: pa.record_batch([*b.columns, value(c, b)], names=[*b.schema.names, field.name])
+    return mapped(df, tokenizer, StructType([*df.schema.fields, field]), run)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([*b.columns, value(b)], names=[*b.schema.names, field.name])
 
-    return df.mapInArrow(run, StructType([*df.schema.fields, field]))
+def id_lists(tokenizer: Codec, text: pa.Array) -> pa.ListArray:
+    """Token ids of the texts of a batch."""
+    runs = tokenizer.encode(text.to_pylist())
+    ends = np.cumsum([0, *(len(r) // 4 for r in runs)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(runs), "<u4").astype(np.int32), pa.int32()))
 
 
-def encoded(df: DataFrame, tokenizer: Codec, text: str = "text", out: str = "ids") -> DataFrame:
-    """All rows and columns, with the token ids of the text."""
-    known, at = df.sparkSession.sparkContext.broadcast(tokenizer), df.columns.index(text)
+def texts_of(tokenizer: Codec, ids: pa.ListArray) -> pa.Array:
+    """Texts that the lists of token ids of a batch decode to."""
+    return pa.array((tokenizer.decode(x.as_py() or []) for x in ids), pa.string())
 
-    def ids(b: pa.RecordBatch) -> pa.Array:
-        runs = known.value.encode(b.column(at).to_pylist())
-        ends = np.cumsum([0, *(len(r) // 4 for r in runs)])
-        values = np.frombuffer(b"".join(runs), "<u4").astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
 
-    return _with(df, StructField(out, ArrayType(IntegerType())), ids)
+def encoded(df: DataFrame, tokenizer: Codec, text: str = "text", out: str = "ids") -> DataFrame:
+    """All rows and columns, with the token ids of the text."""
+    at = df.columns.index(text)
+    return _with(df, tokenizer, StructField(out, ArrayType(IntegerType())), lambda c, b: id_lists(c, b.column(at)))
 
 
 def decoded(df: DataFrame, tokenizer: Codec, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """All rows and columns, with the text that the token ids decode to."""
-    known, at = df.sparkSession.sparkContext.broadcast(tokenizer), df.columns.index(ids)
-
-    def texts(b: pa.RecordBatch) -> pa.Array:
-        return pa.array((known.value.decode(x.as_py() or []) for x in b.column(at)), pa.string())
-
-    return _with(df, StructField(out, StringType()), texts)
+    at = df.columns.index(ids)
+    return _with(df, tokenizer, StructField(out, StringType()), lambda c, b: texts_of(c, b.column(at)))

@@ -52,53 +52,96 @@ class TokenAutomaton:
         edges = [_joined(c) if c else () for c in cuts]
         self._edge_of = np.cumsum([0, *map(len, edges)])
         self._edges = np.array([x for e in edges for x in e], np.int32)
+        self._tree()
         self._open()
 
+    def _tree(self) -> None:
+        """The tree of the tokens' symbols: keys (node, symbol) in order, the nodes they lead to, the token at each node (or -1);
+        and for each token the longest other one that it begins with (or -1)."""
+        symbols = sorted(t for t in self.tokens if len(t) == 1)
+        self._symbol = np.full(ord(symbols[-1]) + 1, -1, np.int64)
+        self._symbol[[ord(c) for c in symbols]] = np.arange(len(symbols))
+        self._n_symbols = len(symbols)
+        found: dict[int, int] = {}
+        token, shorter = [-1], [-1] * len(self.tokens)
+        for t in sorted(range(len(self.tokens)), key=lambda t: len(self.tokens[t])):
+            node = 0
+            for c in self.tokens[t]:
+                if token[node] >= 0:
+                    shorter[t] = token[node]
+                node = found.setdefault(node * len(symbols) + int(self._symbol[ord(c)]), len(token))
+                if node == len(token):
+                    token.append(-1)
+            token[node] = t
+        keys = np.array(list(found))
+        order = np.argsort(keys)
+        self._keys, self._to = keys[order], np.array(list(found.values()))[order]
+        self._token, self._shorter = np.array(token), np.array([*shorter, -1])
+
     def _open(self) -> None:
-        """Lookup structures that follow from the others; made anew where the automaton arrives."""
-        flat, at = self._edges.tolist(), self._edge_of.tolist()
-        self.cut = [flat[a:b] for a, b in zip(at, at[1:], strict=False)]
-        self.place = {t: k for k, t in enumerate(self.tokens)}
-        root: dict = {}
-        for t, k in self.place.items():
-            node = root
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = k
-        self.root = root
-        self._long = [len(t) for t in self.tokens]
-        self.shorter = [next((self.place[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.place), -1) for t in self.tokens]
-
-        self._tables = None
-
-    def _walk(self) -> tuple[np.ndarray, ...]:
-        """Tables of the tree of the tokens' symbols: keys (node, symbol) and the nodes they lead to; token of a node; symbol of a
-        character; and for the arcs the edges with their states in one sorted array."""
-        if self._tables is None:
-            symbols = sorted({t for t in self.tokens if len(t) == 1})
-            symbol = np.full(ord(symbols[-1]) + 1, -1, np.int64)
-            symbol[[ord(c) for c in symbols]] = np.arange(len(symbols))
-            keys, to, token, todo = [], [], [-1], [(0, self.root)]
-            while todo:
-                at, node = todo.pop()
-                for c, child in node.items():
-                    if c:
-                        keys.append(at * len(symbols) + int(symbol[ord(c)]))
-                        to.append(len(token))
-                        token.append(child.get("", -1))
-                        todo.append((to[-1], child))
-            order = np.argsort(keys)
-            states = np.repeat(np.arange(len(self.tokens)), np.diff(self._edge_of))
-            self._tables = (np.array(keys)[order], np.array(to)[order], np.array(token), symbol, (states << 32) + self._edges,
-                            np.array([*self.number, 0]), np.array([*self._long, 0]), np.array([*self.shorter, -1]), len(symbols))
-        return self._tables
+        """What follows from the other tables; made anew where the automaton arrives."""
+        self._long = np.array([*map(len, self.tokens), 0])
+        self._number = np.array([*self.number, 0])
+        self._arcs = (np.repeat(np.arange(len(self.tokens)), np.diff(self._edge_of)) << 32) + self._edges
+        self._one_by_one = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("_long", "_number", "_arcs", "_one_by_one")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._open()
+
+    def follows(self, state: int, token: int) -> bool:
+        """Is there an arc ``token`` out of the state of the token ``state``?"""
+        lo = int(self._edge_of[state])
+        return not (bisect_right(self._edges, self.number[token], lo, int(self._edge_of[state + 1])) - lo) & 1
+
+    def encode(self, word: str) -> list[int]:
+        """The tokens (their places in ``tokens``) of the one path that spells the word; KeyError for an unknown symbol."""
+        if self._one_by_one is None:
+            self._one_by_one = dict(zip(self._keys.tolist(), self._to.tolist(), strict=True)), self._token.tolist(), self._shorter.tolist(), self._long.tolist()
+        to, token_at, shorter, long = self._one_by_one
+        symbols = self._symbols(word).tolist()
+        path: list[int] = []
+        dead: set[int] = set()
+        at, n, width = 0, len(symbols), self._n_symbols
+        while at < n:
+            node, token = 0, -1
+            for i in range(at, n):
+                node = to.get(node * width + symbols[i])
+                if node is None:
+                    break
+                if token_at[node] >= 0:
+                    token = token_at[node]
+            while True:
+                while token >= 0 and (at + long[token] in dead or (path and not self.follows(path[-1], token))):
+                    token = shorter[token]
+                if token >= 0:
+                    path.append(token)
+                    at += long[token]
+                    break
+                dead.add(at)
+                if not path:
+                    raise ValueError("no path spells the word")
+                token = path.pop()
+                at -= long[token]
+                token = shorter[token]
+        return path
+
+    def _symbols(self, text: str) -> np.ndarray:
+        """Numbers of the symbols of the text."""
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        out = self._symbol[np.minimum(code, len(self._symbol) - 1)]
+        if code.size and (out.min() < 0 or code.max() >= len(self._symbol)):
+            raise KeyError("unknown symbol")
+        return out
 
     def encode_many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after the other, and how many each word has. Words must not be empty."""
-        keys, to, token, symbol, edges, number, long, shorter, n_symbols = self._walk()
-        code = symbol[np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)]
-        if code.size and code.min() < 0:
-            raise KeyError("unknown symbol")
+        keys, to, token, n_symbols = self._keys, self._to, self._token, self._n_symbols
+        edges, number, long, shorter = self._arcs, self._number, self._long, self._shorter
+        code = self._symbols("".join(words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         best = np.full(len(code) + 1, -1)
@@ -139,53 +182,6 @@ class TokenAutomaton:
         taken = np.flatnonzero(on)
         return path[taken], np.diff(np.searchsorted(taken, np.concatenate([begin, ends[-1:]])))
 
-    def __getstate__(self) -> dict:
-        return {k: self.__dict__[k] for k in ("tokens", "number", "_edge_of", "_edges")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._open()
-
-    def follows(self, state: int, token: int) -> bool:
-        """Is there an arc ``token`` out of the state of the token ``state``?"""
-        return not bisect_right(self.cut[state], self.number[token]) & 1
-
-    def encode(self, word: str) -> list[int]:
-        """The tokens (their places in ``tokens``) of the one path that spells the word; KeyError for an unknown symbol."""
-        whole = self.place.get(word)
-        if whole is not None:
-            return [whole]
-        long, number, cut, shorter, root = self._long, self.number, self.cut, self.shorter, self.root
-        path: list[int] = []
-        dead: set[int] = set()
-        at, n, state = 0, len(word), -1
-        while at < n:
-            node, token = root[word[at]], -1
-            token = node[""]
-            for i in range(at + 1, n):
-                node = node.get(word[i])
-                if node is None:
-                    break
-                token = node.get("", token)
-            while True:
-                while token >= 0:
-                    to = at + long[token]
-                    if to not in dead and (state < 0 or not bisect_right(cut[state], number[token]) & 1):
-                        break
-                    token = shorter[token]
-                if token >= 0:
-                    path.append(token)
-                    at, state = to, token
-                    break
-                dead.add(at)
-                if not path:
-                    raise ValueError("no path spells the word")
-                token = path.pop()
-                at -= long[token]
-                state = path[-1] if path else -1
-                token = shorter[token]
-        return path
-
 
 def _preorder(base: int, left: list[int]) -> tuple[list[int], list[int]]:
     """Numbers of the tokens in preorder of the tree in which ``left`` names the parents of the tokens from ``base`` on, children

@@ -53,16 +53,17 @@ def test_automaton_accepts_what_the_merges_give():
             merges.append(rng.choice(pairs))
             made.append("".join(merges[-1]))
         a = TokenAutomaton(["a", "b", "c"], merges)
+        place = {t: k for k, t in enumerate(a.tokens)}
         words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 14))) for _ in range(200)] + ["a" * 13, "ab" * 7]
         want = [left_to_right(w, merges) for w in words]
         assert [[a.tokens[t] for t in a.encode(w)] for w in words] == want
         tokens, counts = a.encode_many(words)
         assert [a.tokens[t] for t in tokens] == [t for w in want for t in w] and counts.tolist() == [len(w) for w in want]
         for w in want:  # a state has the arc of a token exactly where the two stay apart
-            assert all(a.follows(a.place[x], a.place[y]) for x, y in zip(w, w[1:], strict=False))
+            assert all(a.follows(place[x], place[y]) for x, y in zip(w, w[1:], strict=False))
         for x in made:
             for y in made:
-                assert a.follows(a.place[x], a.place[y]) == (left_to_right(x + y, merges) == [x, y])
+                assert a.follows(place[x], place[y]) == (left_to_right(x + y, merges) == [x, y])
 
 
 def test_improper_merges_are_refused():
