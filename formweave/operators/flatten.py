@@ -3,8 +3,9 @@
 Every nesting level is opened in place with ``from_json``: a ``map<string,string>`` view keeps the
 document order and the raw text of nested values, a ``map<string,variant>`` view of the same text
 keeps the kind of scalars. Nothing is exploded or shuffled, so a document of any size stays one row.
-As many levels are opened as the deepest payload has: that number comes from one pass over the brackets.
-Of a repeated key the last value counts, at the place of the first.
+``LEVELS`` levels are opened so. The few payloads that then still hold a container are read again from their tokens with a stack of
+open containers (``json_tokens``), inside the same projection: nesting changes neither the plan nor the other rows, and no payload
+is looked at before the plan is built. Of a repeated key the last value counts, at the place of the first.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalar as S
+from . import json_tokens as JT
 from .records import field_struct, settle
 
+LEVELS = 5  # nesting that is opened level by level; deeper payloads take the stack
 ORDINAL = 10  # digits of an entry's number in its group: as many as the largest array index has
 NODE_TYPE = "struct<path:string,prefix:string,key:string,field:string,group:string,raw:string,kind:string>"
 _COERCE_RE = r"^\$?-?[0-9,]+\.?[0-9]*$"
@@ -110,42 +113,46 @@ def _step(nodes: Column, lists_of_scalars: bool) -> Column:
         return c.otherwise(F.array(n))
 
     opened = F.flatten(F.transform(nodes, expand))
-    again = F.exists(nodes, lambda n: (n["kind"] == "dict") | ((n["kind"] == "list") & (
-        F.lit(True) if lists_of_scalars else _list_of_objects(n["raw"]))))
+    again = F.exists(nodes, lambda n: _still_open(n, lists_of_scalars))
     return F.when(again, opened).otherwise(nodes)
 
 
-def nesting(payload: Column) -> Column:
-    """How deep the brackets of a JSON text go; brackets inside strings do not count."""
-    bare = F.regexp_replace(F.regexp_replace(payload, r"(?s)\\.", ""), r'"[^"]*+"', "")
-    marks = F.regexp_replace(bare, r"[^\[\]{}]++", "")
+def _still_open(n: Column, lists_of_scalars: bool) -> Column:
+    return (n["kind"] == "dict") | ((n["kind"] == "list") & (F.lit(True) if lists_of_scalars else _list_of_objects(n["raw"])))
 
-    def step(state: Column, c: Column) -> Column:
-        now = state["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(state["top"], now).alias("top"))
 
-    return F.aggregate(F.split(marks, ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda state: state["top"])
+def _deep_nodes(raw: Column, lists_of_scalars: bool) -> Column:
+    """The same leaves from the tokens of the payload; raw values and kinds come from one parse of all leaves."""
+    def valued(leaves: Column) -> Column:
+        shown = F.transform(leaves, lambda x: F.when(JT.is_deep(x["text"]), F.lit("[]")).otherwise(x["text"]))
+        texts = F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]"))
+        values = _with_kind(F.from_json(texts, "array<string>"), F.from_json(texts, "array<variant>"))
+        return F.zip_with(leaves, values, lambda x, v: F.struct(
+            x["path"].alias("path"), x["prefix"].alias("prefix"), x["key"].alias("key"), x["field"].alias("field"), x["group"].alias("group"),
+            F.when(JT.is_deep(x["text"]), x["text"]).otherwise(v["e"]).alias("raw"), v["kind"].alias("kind")))
 
+    return S.let(JT.leaves(raw, _ordinal, bare_key, lists_of_scalars), valued)
 
-def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", depth: int | None = None,
-               lists_of_scalars: bool = False) -> DataFrame:
-    """Leaves of the payload in depth-first order. One projection per level keeps each expression small.
 
-    ``depth`` is the deepest nesting; where it is not given it is measured over all rows. A stream must give it.
-    A payload that is a list is opened like a field ``item``.
+def with_nodes(df: DataFrame, payload: str = "payload", out: str = "nodes", lists_of_scalars: bool = False, levels: int = LEVELS) -> DataFrame:
+    """Leaves of the payload in depth-first order, whatever its nesting. One projection per level keeps each expression small.
+
+    A payload that is a list is opened like a field ``item``; one that is no JSON has no leaves.
     """
     # of a repeated key inside a nested object, the last counts
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    if depth is None:
-        depth = df.agg(F.max(nesting(F.col(payload)))).first()[0] or 1
-    raw, none = F.col(payload), F.array().cast(f"array<{NODE_TYPE}>")
+    none = F.array().cast(f"array<{NODE_TYPE}>")
     top = lambda x: [F.lit(v) for v in x]
+    df = settle(df, _deep=JT.is_deep(F.col(payload)))
+    raw = F.when(~F.col("_deep"), F.col(payload))
     root = F.when(raw.rlike(r"^\s*\["), _open_list(raw, *top(("", "item", "")))).otherwise(_open_object(raw, *top(("", "", ""))))
     # settled per level: a level refers to the one below several times
     df = settle(df, **{out: F.coalesce(root, none)})
-    for _ in range(max(0, depth - 1)):
+    for _ in range(levels - 1):
         df = settle(df, **{out: _step(F.col(out), lists_of_scalars)})
-    return df
+    deeper = F.exists(out, lambda n: _still_open(n, lists_of_scalars))
+    stack = F.when(F.col("_deep"), JT.follows_grammar(F.col(payload))).otherwise(deeper)
+    return settle(df, **{out: F.when(stack, F.coalesce(_deep_nodes(F.col(payload), lists_of_scalars), none)).otherwise(F.col(out))}).drop("_deep")
 
 
 def _number_of(n: Column) -> Column:

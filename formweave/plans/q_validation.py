@@ -371,25 +371,25 @@ from fl full outer join fx on fx.doc_id = fl.doc_id and fx.field = fl.field
 
 
 def revalidate(spark, sf_dir):
-    """Patch, validate and count again; here every document has fixes."""
+    """Patch flat records, validate and count again; here every document has fixes."""
     from .validation import revalidate_with_fixes
 
-    fixes = I.derive(spark, sf_dir, _REFIX_SQL, "orders")
+    fixes = I.derive(spark, sf_dir, REFIX_SQL, "orders")
     d = revalidate_with_fixes(I.w2_docs(spark, sf_dir), fixes)
     return d.select("doc_id", "confidence", "n_total", "n_blocking", "n_warning", "document_confidence")
 
 
-_REFIX_SQL = """
+REFIX_SQL = """
 select o_orderkey as doc_id, cast(1 as int) as seq, 'employee_ssn' as field, '123-45-6789' as new_value from {orders}
 union all select o_orderkey, 2, 'employer_tin', '12-3456789' from {orders}
 union all select o_orderkey, 3, 'employee_name', 'DOE JANE' from {orders}
 union all select o_orderkey, 4, 'employer_name', 'ACME' from {orders}
 """
-QUERIES["revalidate_fixed"] = revalidate
+QUERIES["revalidate_records"] = revalidate
 _PATCHED = I.W2_SQL
 _PATCHED_BASE = f"""base0 as ({I.plain(_PATCHED, 'orders', 'customer')}), base as (select * replace ('123-45-6789' as ssn_s, '12-3456789' as ein_s, 'DOE JANE' as employee_s, 'ACME' as employer_s) from base0),
  fl as ({I.fields_sql('base', I.W2_FIELDS)})"""
-ORACLE["revalidate_fixed"] = f"""with {_PATCHED_BASE}, {Q.wide_cte('f0', 'base', I.W2_FIELDS)}, {Q.REG_CTE}, ex as ({Q.union(Q.universal_rows() + Q.w2('f0'))}), {_XS},
+ORACLE["revalidate_records"] = f"""with {_PATCHED_BASE}, {Q.wide_cte('f0', 'base', I.W2_FIELDS)}, {Q.REG_CTE}, ex as ({Q.union(Q.universal_rows() + Q.w2('f0'))}), {_XS},
  sc as (select fl.doc_id, case when fl.kind = 'null' then 0.70 when xs.blk = 1 then 0.35 when xs.wrn = 1 then case when b.pdf_type = 'digital' then 0.87 else 0.81 end
   when b.pdf_type = 'digital' then 0.97 else 0.91 end as score from fl join base b on b.doc_id = fl.doc_id left join xs on xs.doc_id = fl.doc_id and xs.field = fl.field),
  ds as (select doc_id, cast(round(cast(cast(sum(cast(round(score * 100) as bigint)) as double) / (count(*) * 100) as decimal(18,6)), 3) as double) as document_confidence from sc group by doc_id)

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULTS, Thresholds
+from ..functions import scalar as S
 from ..operators import classify as C
 from ..operators import exceptions as X
 from ..operators import rules_context as ctxr
 from ..operators import score as SC
 from ..operators.flatten import flatten_payload
-from ..operators.fixes import apply_to_records
+from ..operators.fixes import apply_to_records, patch_payload
+from ..operators.json_tokens import is_valid
 from ..operators.records import Record, field_map, settle
 from ..operators.rules_forms import form_exceptions
 from ..operators.rules_universal import universal_exceptions
@@ -39,7 +41,10 @@ def with_exceptions(docs: DataFrame, t: Thresholds = DEFAULTS, forms: list[str]
         parts.append(ctxr.type_conflicts(fields))
     excs = F.concat(*parts) if len(parts) > 1 else parts[0]
     if universal:
-        excs = F.when(F.size(fields) > 0, excs).otherwise(F.array(X.exc("FLD_ZERO_VS_BLANK")))
+        empty = F.array(X.exc("FLD_ZERO_VS_BLANK"))
+        if "flatten_failed" in docs.columns:
+            empty = F.when(F.col("flatten_failed"), F.array(X.exc("DB_JSON_FLATTEN_FAIL"))).otherwise(empty)
+        excs = F.when(F.size(fields) > 0, excs).otherwise(empty)
     d = settle(record.settled(d), exceptions=excs).drop("_slots", "_facts")
     if "hv" in docs.columns:
         d = settle(d, exceptions=X.suppress_verified(F.col("exceptions"), F.col("hv")))
@@ -66,12 +71,21 @@ def validate(docs: DataFrame, t: Thresholds = DEFAULTS, forms: list[str] | None
 
 
 def validate_payloads(df: DataFrame, t: Thresholds = DEFAULTS, **flatten_options) -> DataFrame:
-    """Flatten JSON payloads, then run the chain."""
-    return validate(flatten_payload(df, **flatten_options), t)
+    """Flatten JSON payloads, then run the chain. A payload that is no JSON fails its own document only."""
+    flat = flatten_payload(df, **flatten_options)
+    text = F.col(flatten_options.get("payload", "payload"))
+    failed = (F.size("fields") == 0) & (F.coalesce(S.strip(text), F.lit("")) != "") & ~is_valid(text)
+    return validate(flat.withColumn("flatten_failed", failed), t).drop("flatten_failed")
 
 
 def revalidate_with_fixes(docs: DataFrame, fixes: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Patch the documents that have fixes and run the chain on those only."""
+    """Patch the documents that have fixes and run the chain on those only.
+
+    Documents with a ``payload`` are patched in their nested payload, which comes back with the result; flat records are patched as they are.
+    """
+    if "payload" in docs.columns:
+        patched = patch_payload(docs, fixes, only_touched=True)
+        return validate_payloads(patched.drop("fields"), t)
     return validate(apply_to_records(docs, fixes, only_touched=True), t)
 
 

@@ -198,3 +198,82 @@ def test_odd_payloads(spark):
     assert {f.field: f.s for f in got[6]} == {"k": "c", "b": "1"}
     nodes = {r.doc_id: r.nodes for r in FL.with_nodes(df, lists_of_scalars=True).collect()}
     assert len({n.group for n in nodes[4]}) == 10050 and [n.group for n in nodes[4]] == sorted(n.group for n in nodes[4])
+
+
+def _random_payloads(rng, n):
+    keys = ["a", "wages", "box_1_wages", "box_2", 'q"\\x', "é", "c.d"]
+
+    def value(depth):
+        r = rng.random()
+        if depth and r < 0.35:
+            return {rng.choice(keys) + str(rng.randint(0, 1)) * rng.randint(0, 1): value(depth - 1) for _ in range(rng.randint(0, 4))}
+        if depth and r < 0.6:
+            return [value(depth - 1) for _ in range(rng.randint(0, 3))]
+        return rng.choice([1, 2.5, True, None, "x", 'a"b\\', "1,200", "", "ü{[", "\n\t/"])
+
+    return [json.dumps({f"k{i}": value(5) for i in range(3)} | {"wages": value(2)}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(n)]
+
+
+def test_stack_and_levels_agree(spark):
+    """Opening levels one by one and walking the tokens give the same leaves; both of repeated keys too."""
+    import random
+
+    texts = _random_payloads(random.Random(3), 25) + [
+        '{"a":{"x":{"y":1}},"b":2,"a":{"x":{"z":[1, {"c":2}]},"w":{"u":1,"u":{"s":3},"t":0}},"b":{"l":[{"p":1,"p":2},{"p":3}]}}', '[{"a":[[1],{"b":2}]},5]']
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, payload string")
+    for scalars in (False, True):
+        shown = lambda levels, scalars=scalars: {r.doc_id: [(n.path, n.prefix, n.key, n.field, n.raw, n.kind) for n in r.nodes] for r in FL.with_nodes(df, lists_of_scalars=scalars, levels=levels).collect()}
+        assert shown(7) == shown(1)
+
+
+def test_deep_and_broken_payloads(spark):
+    """Texts of a thousand brackets, JSON or not, neither end the engine nor change the plan; what is no JSON fails its own document."""
+    deep = '{"a":' * 900 + '{"b":"7","box_1_c":[1]}' + "}" * 900
+    texts = [deep, "[" * 1000, '{"a":' * 1000, deep[:-1], deep + "x", '{"a":1}', "[" * 900 + "]" * 900, deep.replace("7", '"'), None, " ", "5"]
+    df = spark.createDataFrame([(i, "W-2", t) for i, t in enumerate(texts)], "doc_id int, form_type string, payload string").repartition(3)
+    got = {r.doc_id: [(f.field, f.s) for f in r.fields] for r in FL.flatten_payload(df).select("doc_id", "fields").collect()}
+    assert got[0] == [("b", "7.0"), ("c", "[1]")] and got[5] == [("a", "1")] and not any(got[i] for i in range(11) if i not in (0, 5))
+    codes = {r.doc_id: [e.code for e in r.exceptions] for r in validate_payloads(df).collect()}
+    assert {i for i, c in codes.items() if "DB_JSON_FLATTEN_FAIL" in c} == {1, 2, 3, 4, 7}
+    assert all(codes[i] == ["FLD_ZERO_VS_BLANK"] for i in (6, 8, 9, 10))
+    nodes = lambda d: str(FL.flatten_payload(d)._jdf.queryExecution().optimizedPlan().toString()).count("\n")
+    assert nodes(df) == nodes(df.where("doc_id = 5")) - nodes(df.where("doc_id = 5").where("true")) + nodes(df.where("doc_id = 0"))
+
+
+def test_patch_payload(spark):
+    import copy
+    import random
+    import re
+
+    from formweave.operators.fixes import patch_payload
+
+    def bare(k):
+        return (re.sub("^box_[0-9A-Za-z]+$", "", re.sub("^box_[0-9A-Za-z]+_", "", k)) or k) if k.startswith("box_") else k
+
+    def put(x, fixes):
+        if isinstance(x, dict):
+            for k in x:
+                mine = [v for f, v in fixes if f in (k, bare(k))]
+                x[k] = mine[-1] if mine else put(x[k], fixes)
+        return [put(y, fixes) for y in x] if isinstance(x, list) else x
+
+    rng = random.Random(8)
+    texts = [*_random_payloads(rng, 60), '{"wages":{"wages":1,"b":{"c":2}},"box_9_wages":[1,{"a":2}],"z":3}', "{}", "[1]", '[{"a":1}]', "not json", None,
+             '{"a":' * 500 + '{"wages":1}' + "}" * 500]
+    rows, fixes = [], {}
+    for i, t in enumerate(texts):
+        fixes[i] = [(rng.choice(["a", "wages", "box_1_wages", "box_2", "c.d", "nowhere", "é"]), rng.choice(['x"\\y', "", None, "12", "ü"])) for _ in range(rng.randint(0, 4))]
+        rows += [(i, s, f, v) for s, (f, v) in enumerate(fixes[i])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, payload string")
+    fx = spark.createDataFrame([*rows, (0, 99, "", "none")], "doc_id int, seq int, field string, new_value string")
+    got = {r.doc_id: r.payload for r in patch_payload(df, fx).collect()}
+    for i, t in enumerate(texts):
+        try:
+            data = json.loads(t) if t else {}
+        except ValueError:
+            assert got[i] == t
+            continue
+        want = put(copy.deepcopy(data), fixes[i]) if isinstance(data, dict) else data
+        assert json.dumps(json.loads(got[i])) == json.dumps(want), (t, fixes[i])
+    touched = {i for i in fixes if fixes[i]}
+    assert {r.doc_id for r in patch_payload(df, fx, only_touched=True).collect()} == touched | {0}
