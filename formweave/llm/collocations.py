@@ -20,41 +20,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from formweave.llm import words as W
-from formweave.llm.count_automaton import CountAutomaton, part_hash
+from formweave.llm.count_automaton import CountAutomaton, merged_words, range_of
 from formweave.llm.pointer_sort import Pointers, pointers
 from formweave.llm.tables import stored
-from formweave.llm.words import mix
+from formweave.llm.words import name_hashes
 
 MAX_WORDS = 3
 LEAST = 10
 COVER = 50
 TOP = 2000
 SCALE = 1_000_000
-SLICE = 12 << 20
-RANGE_BYTES = 12 << 20
+SLICE = 8 << 20
+RANGE_BYTES = 8 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _INSIDE = W.byte_classes(separators=b" \t" + _ENDS)
 _BREAKS = ~W.byte_classes(separators=_ENDS)
 _PARTS = "range int, automaton binary"
+_NO_CANDIDATES = pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "a": pa.array([], pa.int64()),
+                           "cuts": pa.array([], pa.list_(pa.struct([("l", pa.int64()), ("r", pa.int64())])))})
 _CANDIDATES = "lang string, phrase string, size int, a long, cuts array<struct<l: long, r: long>>"
 
 
 def _of_slice(p: Pointers, lang: list[str], longest: int) -> CountAutomaton:
     """Counts of all phrases of the words of a slice; ``lang`` of each text."""
     order, heads = p.sorted()
-    own = p.words(order[heads]).to_pylist()
-    words = sorted({*own, *(x.encode() for x in lang)})
-    place = {w: k for k, w in enumerate(words)}
+    langs = pa.array(lang, pa.large_string()).cast(pa.large_binary()).dictionary_encode()
+    words, (own, names) = merged_words([p.words(order[heads]), langs.dictionary])
     run = np.zeros(len(order), np.int64)
     run[heads[1:]] = 1
     label = np.empty(len(order), np.int64)
-    label[order] = np.array([place[w] for w in own], np.int64)[np.cumsum(run)]
-    paths = [np.array([place[x.encode()] for x in lang], np.int64)[p.text], label]
+    label[order] = own[np.cumsum(run)]
+    paths = [names[langs.indices.to_numpy()][p.text], label]
     for k in range(1, longest):
         on = np.full(len(label), -1)
         on[:-k] = np.where(p.piece[k:] == p.piece[:-k], label[k:], -1)
@@ -97,35 +99,34 @@ def range_automata(docs: DataFrame, text: str = "text", lang: str = "lang", long
     return stored(rows.mapInArrow(cut, _PARTS).groupBy("range").applyInArrow(unite, _PARTS), "phrase-automata"), n
 
 
-def _candidates(a: CountAutomaton) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    for level in range(2, len(a.levels)):
-        yield a.phrases(level)
-
-
-def _asked(a: CountAutomaton) -> list[tuple[np.ndarray, ...]]:
-    """The distinct parts (labels, language first) of all phrases of two words or more, by the number of words."""
-    by_size: dict[int, list[np.ndarray]] = {}
-    for labels, weight in _candidates(a):
-        if len(weight):
-            m = len(labels) - 1
-            for k in range(1, m):
-                by_size.setdefault(k, []).append(np.stack([labels[0], *labels[1 : k + 1]]))
-                by_size.setdefault(m - k, []).append(np.stack([labels[0], *labels[k + 1 :]]))
-    return [tuple(np.unique(np.concatenate(parts, axis=1), axis=1)) for _, parts in sorted(by_size.items())]
-
-
-def _part_ranges(labels: tuple[np.ndarray, ...], names: np.ndarray, n: int) -> np.ndarray:
-    h = np.full(len(labels[0]), np.uint64(7))
-    with np.errstate(over="ignore"):
-        for x in labels[:3]:
-            h = mix(h * np.uint64(0xFF51AFD7ED558CCD) + names[x])
-    return (h >> np.uint64(32)).astype(np.int64) * n >> 32
-
-
-def _spelled(a: CountAutomaton, labels: tuple[np.ndarray, ...]) -> tuple[list[str], list[str]]:
+def _asked(a: CountAutomaton) -> tuple[list[list[np.ndarray]], list[tuple[list[np.ndarray], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]]:
+    """The distinct parts (labels by level) of all phrases of two words or more; and per number of words the phrases, their
+    counts, and for each cut the places of the two parts in the list of all parts."""
+    found = [(labels, weight) for level in range(2, len(a.levels)) for labels, weight in [a.phrases(level)]]
+    pieces: dict[int, list[tuple[int, int, int, list[np.ndarray]]]] = {}
+    for m, (labels, _) in enumerate(found):
+        for k in range(1, len(labels) - 1):
+            pieces.setdefault(k, []).append((m, k, 0, [labels[0], *labels[1 : k + 1]]))
+            pieces.setdefault(len(labels) - 1 - k, []).append((m, k, 1, [labels[0], *labels[k + 1 :]]))
+    parts, places, start = [], {}, 0
+    for _, own in sorted(pieces.items()):
+        columns = [np.concatenate(c) for c in zip(*(x[3] for x in own), strict=True)]
+        key = np.zeros(len(columns[0]), np.int64)
+        for c in columns:
+            _, first, key = np.unique(key * (len(a.words) + 1) + c, return_index=True, return_inverse=True)
+        parts.append([c[first] for c in columns])
+        for (m, k, side, x), at in zip(own, np.split(key, np.cumsum([len(x[3][0]) for x in own])[:-1]), strict=True):
+            places[m, k, side] = start + at
+        start += len(first)
+    return parts, [(labels, weight, [(places[m, k, 0], places[m, k, 1]) for k in range(1, len(labels) - 1)]) for m, (labels, weight) in enumerate(found)]
+
+
+def _spelled(a: CountAutomaton, labels: list[np.ndarray]) -> tuple[pa.Array, pa.Array]:
     """Languages, and phrases joined by blanks."""
-    text = [w.decode() for w in a.words]
-    return [text[i] for i in labels[0].tolist()], [" ".join([text[i] for i in row]) for row in zip(*(x.tolist() for x in labels[1:]), strict=True)]
+    text = a.words.cast(pa.large_string())
+    columns = [text.take(pa.array(x)) for x in labels]
+    phrase = columns[1] if len(columns) == 2 else pc.binary_join_element_wise(*columns[1:], pa.scalar(" ", pa.large_string()))
+    return columns[0].cast(pa.string()), phrase.cast(pa.string())
 
 
 def candidates(automata: DataFrame, n: int) -> DataFrame:
@@ -135,43 +136,37 @@ def candidates(automata: DataFrame, n: int) -> DataFrame:
         for b in batches:
             for source, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 a = CountAutomaton.from_bytes(raw.as_py())
-                names = np.array([part_hash(w) for w in a.words], np.uint64)
-                for labels in _asked(a):
+                names, at = name_hashes(a.words), 0
+                for labels in _asked(a)[0]:
                     langs, parts = _spelled(a, labels)
-                    yield pa.record_batch([pa.array(_part_ranges(labels, names, n), pa.int32()), pa.array([source] * len(parts), pa.int32()), pa.array(langs, pa.string()), pa.array(parts, pa.string())],
-                                          names=["range", "source", "lang", "part"])
+                    number = np.arange(at, at + len(parts))
+                    at += len(parts)
+                    yield pa.record_batch([pa.array(range_of(labels, names, n), pa.int32()), pa.array(np.full(len(parts), source), pa.int32()), pa.array(number, pa.int64()), langs, parts],
+                                          names=["range", "source", "number", "lang", "part"])
 
     def answer(mine: pa.Table, asked: pa.Table) -> pa.Table:
         found = np.zeros(asked.num_rows, np.int64)
         if mine.num_rows and asked.num_rows:
-            a = CountAutomaton.from_bytes(mine["automaton"][0].as_py())
-            found = a.compose([(x.encode(), *p.encode().split(b" ")) for x, p in zip(asked["lang"].to_pylist(), asked["part"].to_pylist(), strict=True)])
-        return pa.table({"source": asked["source"], "lang": asked["lang"], "part": asked["part"], "count": pa.array(found, pa.int64())})
+            found = CountAutomaton.from_bytes(mine["automaton"][0].as_py()).compose(asked["lang"].combine_chunks(), asked["part"].combine_chunks())
+        return pa.table({"source": asked["source"], "number": asked["number"], "count": pa.array(found, pa.int64())})
 
     def join(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {"lang": [], "phrase": [], "size": [], "a": []}
-        left, right, edges = [], [], [0]
-        known = dict(zip(zip(answers["lang"].to_pylist(), answers["part"].to_pylist(), strict=True), answers["count"].to_pylist(), strict=True))
+        out = []
         if mine.num_rows:
             a = CountAutomaton.from_bytes(mine["automaton"][0].as_py())
-            for labels, weight in _candidates(a):
+            count = np.zeros(answers.num_rows, np.int64)
+            count[answers["number"].to_numpy()] = answers["count"].to_numpy()
+            for labels, weight, cuts in _asked(a)[1]:
                 m = len(labels) - 1
                 langs, phrases = _spelled(a, labels)
-                for x, p in zip(langs, phrases, strict=True):
-                    w = p.split(" ")
-                    for k in range(1, m):
-                        left.append(known[x, " ".join(w[:k])])
-                        right.append(known[x, " ".join(w[k:])])
-                    edges.append(len(left))
-                out["lang"] += langs
-                out["phrase"] += phrases
-                out["size"] += [m] * len(phrases)
-                out["a"] += weight.tolist()
-        cuts = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["l", "r"]))
-        return pa.table({"lang": pa.array(out["lang"], pa.string()), "phrase": pa.array(out["phrase"], pa.string()), "size": pa.array(out["size"], pa.int32()), "a": pa.array(out["a"], pa.int64()), "cuts": cuts})
-
-    asked = automata.mapInArrow(ask, "range int, source int, lang string, part string")
-    counts = automata.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(answer, "source int, lang string, part string, count long")
+                sides = [np.stack([count[c[side]] for c in cuts], axis=1).ravel() for side in (0, 1)]
+                pairs = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in sides], ["l", "r"])
+                listed = pa.ListArray.from_arrays(pa.array(np.arange(len(weight) + 1) * (m - 1), pa.int32()), pairs)
+                out.append(pa.table({"lang": langs, "phrase": phrases, "size": pa.array(np.full(len(weight), m), pa.int32()), "a": pa.array(weight, pa.int64()), "cuts": listed}))
+        return pa.concat_tables(out) if out else _NO_CANDIDATES
+
+    asked = automata.mapInArrow(ask, "range int, source int, number long, lang string, part string")
+    counts = automata.groupBy("range").cogroup(asked.groupBy("range")).applyInArrow(answer, "source int, number long, count long")
     return automata.groupBy("range").cogroup(counts.groupBy("source")).applyInArrow(join, _CANDIDATES)
 
 
@@ -183,7 +178,7 @@ def words_of(automata: DataFrame) -> DataFrame:
             for raw in b.column(1):
                 a = CountAutomaton.from_bytes(raw.as_py())
                 labels, weight = a.phrases(0)
-                yield pa.record_batch([pa.array([a.words[i].decode() for i in labels[0].tolist()], pa.string()), pa.array(weight, pa.int64())], names=["lang", "n"])
+                yield pa.record_batch([a.words.take(pa.array(labels[0])).cast(pa.large_string()).cast(pa.string()), pa.array(weight, pa.int64())], names=["lang", "n"])
 
     return automata.mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 

@@ -11,29 +11,29 @@ made one, so phrases that go on alike share what follows.
 
 from __future__ import annotations
 
-import hashlib
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from formweave.llm.words import mix
+from formweave.llm.words import mix, name_hashes
 
 _U = np.uint64
 
 
 class CountAutomaton:
-    """``words``: sorted byte strings. Per level the arrays ``parent`` (state of the level before; 0 at level 0), ``label``
+    """``words``: sorted byte strings (an Arrow array). Per level the arrays ``parent`` (state of the level before; 0 at level 0), ``label``
     and ``weight``; ``parent`` and then ``label`` rise. The weight of a path that is only there for its ends is 0."""
 
-    def __init__(self, words: list[bytes], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    def __init__(self, words: pa.LargeBinaryArray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.words, self.levels = words, levels
 
     @staticmethod
-    def counted(words: list[bytes], paths: list[np.ndarray], weights: np.ndarray | None = None) -> CountAutomaton:
+    def counted(words: pa.LargeBinaryArray, paths: list[np.ndarray]) -> CountAutomaton:
         """From occurrences: ``paths[k]`` has per place the label of level k, or -1 where the phrase has ended before. A place
-        counts for every level that it reaches; ``weights``: for the level where it ends only."""
+        counts for every level that it reaches."""
         levels, state, here = [], np.zeros(len(paths[0]), np.int64), np.arange(len(paths[0]))
         for k, labels in enumerate(paths):
             on = labels[here] >= 0
@@ -43,12 +43,8 @@ class CountAutomaton:
             first = np.ones(len(order), bool)
             first[1:] = np.diff(key[order]) != 0
             at = np.flatnonzero(first)
-            if weights is None:
-                total = np.diff(np.concatenate([at, [len(order)]]))
-            else:
-                ends = paths[k + 1][here] < 0 if k + 1 < len(paths) else np.ones(len(here), bool)
-                total = np.add.reduceat(np.where(ends, weights[here], 0)[order], at) if len(at) else np.empty(0, np.int64)
-            levels.append((key[order[at]] // len(words), key[order[at]] % len(words), total))
+            own = key[order[at]]
+            levels.append((own // max(len(words), 1), own % max(len(words), 1), np.diff(np.concatenate([at, [len(order)]]))))
             state[order] = np.cumsum(first) - 1
         return CountAutomaton(words, levels)
 
@@ -62,15 +58,7 @@ class CountAutomaton:
 
     def ranges(self, parts: int, level: int) -> np.ndarray:
         """For each arc of the level, the range of its prefix: of the hash of its labels up to level 2 (the first two words)."""
-        h = np.full(len(self.levels[level][0]), _U(7))
-        names = self._word_hashes()
-        with np.errstate(over="ignore"):
-            for labels in self.path_labels(level)[:3]:
-                h = mix(h * _U(0xFF51AFD7ED558CCD) + names[labels])
-        return (h >> _U(32)).astype(np.int64) * parts >> 32
-
-    def _word_hashes(self) -> np.ndarray:
-        return np.array([part_hash(w) for w in self.words], _U)
+        return range_of(self.path_labels(level), name_hashes(self.words), parts)
 
     def parts(self, n: int) -> Iterator[tuple[int, CountAutomaton]]:
         """The automaton cut into prefix ranges, each with the phrases whose arc is in the range; states that are only on the way to
@@ -103,7 +91,7 @@ class CountAutomaton:
     def _renamed(self, levels: list[tuple[np.ndarray, ...]]) -> CountAutomaton:
         """With those words only that the levels use."""
         used = np.unique(np.concatenate([label for _, label, _ in levels]))
-        return CountAutomaton([self.words[i] for i in used.tolist()], [(p, np.searchsorted(used, x), w) for p, x, w in levels])
+        return CountAutomaton(self.words.take(pa.array(used)), [(p, np.searchsorted(used, x), w) for p, x, w in levels])
 
     def pruned(self, least: int) -> CountAutomaton:
         """Without phrases of words that count less than ``least`` (unless a longer one counts that much); languages stay."""
@@ -123,15 +111,13 @@ class CountAutomaton:
     @staticmethod
     def union(parts: list[CountAutomaton]) -> CountAutomaton:
         """All phrases of the parts; weights of the same phrase are added."""
-        words = sorted(set().union(*(p.words for p in parts)))
-        place = {w: k for k, w in enumerate(words)}
+        words, new = merged_words([p.words for p in parts])
         levels, states = [], [np.zeros(1, np.int64) for _ in parts]
         for k in range(max(len(p.levels) for p in parts)):
             keys, weights = [], []
-            for p, up in zip(parts, states, strict=True):
+            for p, up, place in zip(parts, states, new, strict=True):
                 parent, label, weight = p.levels[k]
-                new = np.array([place[w] for w in p.words], np.int64)
-                keys.append(up[parent] * len(words) + new[label])
+                keys.append(up[parent] * len(words) + place[label])
                 weights.append(weight)
             both = np.concatenate(keys)
             order = np.argsort(both, kind="stable")
@@ -140,7 +126,7 @@ class CountAutomaton:
             at = np.flatnonzero(first)
             total = np.add.reduceat(np.concatenate(weights)[order], at) if len(at) else np.empty(0, np.int64)
             key = both[order[at]]
-            levels.append((key // len(words), key % len(words), total))
+            levels.append((key // max(len(words), 1), key % max(len(words), 1), total))
             state = np.empty(len(order), np.int64)
             state[order] = np.cumsum(first) - 1
             states = np.split(state, np.cumsum([len(x) for x in keys])[:-1])
@@ -152,19 +138,24 @@ class CountAutomaton:
         at = np.flatnonzero(weight > 0)
         return [x[at] for x in self.path_labels(level)], weight[at]
 
-    def compose(self, phrases: list[tuple[bytes, ...]]) -> np.ndarray:
-        """Composition with the phrases (language first) as an automaton without weights: the weight of each, 0 where it is not."""
-        place = {w: k for k, w in enumerate(self.words)}
+    def compose(self, lang: pa.Array, phrases: pa.Array) -> np.ndarray:
+        """Composition with phrases (a language each, and words joined by blanks) as an automaton without weights: the weight of each
+        phrase, 0 where it is not."""
+        rows = pc.split_pattern(phrases.cast(pa.large_string()), " ")
+        size = pc.list_value_length(rows).to_numpy(zero_copy_only=False)
+        first = np.cumsum(size) - size
+        beyond = len(self.words)
+        named = lambda x: pc.fill_null(pc.index_in(x.cast(pa.large_binary()), self.words), beyond).to_numpy(zero_copy_only=False).astype(np.int64)
+        langs, labels = named(lang), named(rows.flatten())
         out = np.zeros(len(phrases), np.int64)
         state, here = np.zeros(len(phrases), np.int64), np.arange(len(phrases))
-        size = np.array([len(p) for p in phrases])
         for k, (parent, label, weight) in enumerate(self.levels):
-            key = parent * (len(self.words) + 1) + label
-            want = state * (len(self.words) + 1) + np.array([place.get(phrases[i][k], len(self.words)) for i in here.tolist()], np.int64)
+            key = parent * (beyond + 1) + label
+            want = state * (beyond + 1) + (labels[first[here] + k - 1] if k else langs[here])
             at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
             hit = key[at] == want if len(key) else np.zeros(len(want), bool)
             here, state = here[hit], at[hit]
-            ends = size[here] == k + 1
+            ends = size[here] == k
             out[here[ends]] = weight[state[ends]]
             here, state = here[~ends], state[~ends]
         return out
@@ -189,10 +180,10 @@ class CountAutomaton:
                     arrays += [of, counts[one], label[take], weight[take]]
                     continue
             arrays += [np.arange(n_states if last else 0), counts, label, weight]
-        words = b"".join(self.words)
+        off, words = _flat(self.words)
         head = [len(self.levels), len(words)]
         body = [words]
-        for a in [np.fromiter(map(len, self.words), np.int64, len(self.words)), *arrays]:
+        for a in [np.diff(off), *arrays]:
             size = next(s for s in (1, 2, 4, 8) if not a.size or int(a.max()) < 1 << (8 * s - 1))
             raw = a.astype(f"<i{size}").tobytes()
             head += [size, len(a)]
@@ -207,12 +198,12 @@ class CountAutomaton:
         n_levels, at = head[:2]
         sizes = list(zip(head[2::2], head[3::2], strict=True))
         flat = pa.decompress(raw[8 + 8 * n :], at + sum(s * m for s, m in sizes), "zstd", asbytes=True)
-        text, arrays = flat[:at], []
+        text, arrays = pa.py_buffer(flat[:at]), []
         for s, m in sizes:
             arrays.append(np.frombuffer(flat, f"<i{s}", m, at).astype(np.int64))
             at += s * m
-        ends = np.cumsum(arrays[0]).tolist()
-        words = [text[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        off = np.concatenate([[0], np.cumsum(arrays[0])]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer(off), text])
         levels, n_states = [], 1
         for k in range(n_levels):
             of, counts, label, weight = arrays[4 * k + 1 : 4 * k + 5]
@@ -225,9 +216,30 @@ class CountAutomaton:
         return CountAutomaton(words, levels)
 
 
-def part_hash(word: bytes) -> int:
-    """A 64-bit name of a word that is the same in every process."""
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+def range_of(labels: list[np.ndarray], names: np.ndarray, parts: int) -> np.ndarray:
+    """The prefix range of paths with these labels by level; ``names``: hash of each word."""
+    h = np.full(len(labels[0]), _U(7))
+    with np.errstate(over="ignore"):
+        for x in labels[:3]:
+            h = mix(h * _U(0xFF51AFD7ED558CCD) + names[x])
+    return (h >> _U(32)).astype(np.int64) * parts >> 32
+
+
+def merged_words(lists: list[pa.LargeBinaryArray]) -> tuple[pa.LargeBinaryArray, list[np.ndarray]]:
+    """All words in order, each once, and the place of each list's words among them."""
+    coded = pa.concat_arrays([pa.array([], pa.large_binary()), *lists]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    new = place[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.empty(0, np.int64)
+    return coded.dictionary.take(pa.array(order)), np.split(new, np.cumsum([len(x) for x in lists])[:-1])
+
+
+def _flat(words: pa.LargeBinaryArray) -> tuple[np.ndarray, bytes]:
+    """Offsets from 0, and the bytes, of the words."""
+    off = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2]
+    return off - off[0], data[int(off[0]) : int(off[-1])].to_pybytes() if data is not None and len(words) else b""
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

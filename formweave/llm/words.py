@@ -119,6 +119,18 @@ class Words:
         return b" ".join(self.data[self.start[i] : self.end[i]].tobytes() for i in range(a, b))
 
 
+def name_hashes(names: pa.LargeBinaryArray) -> np.ndarray:
+    """A 64-bit hash of each byte string, the same in every process."""
+    off = np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1]
+    data = np.frombuffer(names.buffers()[2], np.uint8)[off[0] : off[-1]] if len(names) and names.buffers()[2] is not None else np.empty(0, np.uint8)
+    off = off - off[0] if len(off) else np.zeros(1, np.int64)
+    up, down = _TABLES.get(len(data) + 1)
+    total = np.zeros(len(data) + 1, _U)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=total[1:])
+        return mix((total[off[1:]] - total[off[:-1]]) * down[off[:-1]] + np.diff(off).astype(_U) * _U(0xD6E8FEB86659FD93), 5)
+
+
 def buffers(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string array; null counts as empty."""
     if isinstance(text, pa.ChunkedArray):
