@@ -31,13 +31,25 @@ def _spans(kind: int, pattern: str, keep: str) -> str:
 
 
 _LEAST = "CASE " + " ".join(f"WHEN regexp_matches(h, '{p}') THEN {b}" for p, b in S.LIMITS[:-1]) + f" ELSE {S.LIMITS[-1][1]} END"
-_ALLOWED = " OR ".join(f"regexp_matches(h, '{p}')" for p in S.ALLOW)
+_LETTERS = "([A-Z]?[a-z]+([A-Z][a-z][a-z]+)*|[A-Z]+)"
+_WORD = f"({_LETTERS}[0-9]{{0,4}}|[0-9]{{1,8}})"
+_PIECE = f"{_WORD}([_=-]+{_WORD})*"
+_SQL_ALLOW = [
+    "^[0-9=+/_-]+$",
+    f"^[=+/_-]*({_LETTERS}[=+/_-]+)*({_LETTERS})?$",
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+    f"^(/+({_PIECE}/+)({_PIECE}/+)+|({_PIECE}/+)({_PIECE}/+)({_PIECE}/+)+)({_PIECE})?$",
+    "^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",
+    "^[Xx0-9_=+/-]*(([Ee]xample|EXAMPLE|[Dd]ummy|[Cc]hangeme|[Pp]laceholder|[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|abcdefghij(klmnopqrstuvwxyz)?)[Xx0-9_=+/-]*)*$",
+    "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
+]
+_ALLOWED = " OR ".join(f"regexp_matches(h, '{p}')" for p in _SQL_ALLOW)
 ORACLE = {
     "op3_secret_scan": f"""
 WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 b AS MATERIALIZED ({_spans(0, S.ASSIGN, f"len(regexp_extract(h, {_q(S.ASSIGN)}, 2)) >= {S.VALUE}")}
   UNION ALL {_spans(1, S.ACCESS, "true")} UNION ALL {_spans(2, S.HEX, "true")}),
-c AS MATERIALIZED ({_spans(3, "[A-Za-z0-9+/_=-]{20,}", f"regexp_matches(h, '[0-9]') AND NOT ({_ALLOWED})")}),
+c AS MATERIALIZED ({_spans(3, "[A-Za-z0-9+/_=-]{20,}", f"NOT ({_ALLOWED})")}),
 f AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = c.doc_id AND b.s <= c.s AND b.e >= c.e)
   AND list_max(list_transform(range(1, len(h) - {S.WINDOW - 2}), lambda i: list_aggregate(string_split(substr(h, i, {S.WINDOW}), ''), 'entropy'))) >= {_LEAST} - 1e-9),
 x AS (SELECT doc_id, k, s, ['assign', 'access', 'hex', 'entropy'][k + 1] || ':' || s || ':' || e AS v FROM (SELECT * FROM b UNION ALL SELECT * FROM f)),

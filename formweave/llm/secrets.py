@@ -2,10 +2,15 @@
 
 Patterns (leftmost, not overlapping, per kind): ``assign`` a key word and a value of 12 characters or more, ``access`` a cloud
 access key id, ``hex`` a hexadecimal run. The method adds ``entropy``: a candidate is a run of ``WINDOW`` or more characters of
-the base64 alphabets with a digit in it. Its class is the narrowest alphabet that holds it (hexadecimal, alphanumeric, base64).
+the base64 alphabets. Its class is the narrowest alphabet that holds it (without digits, hexadecimal, alphanumeric, base64).
 A window of ``WINDOW`` characters slides over it; the counts of the characters and the sum of c log c change by the character
 that enters and the one that leaves, and where the entropy reaches the limit of the class the candidate is reported, unless a
-pattern of the allow list fits it or a pattern span already covers it.
+pattern of the allow list fits it or a pattern span already covers it. Without digits the limit is highest, and runs all of whose
+pieces are word-like are allowed.
+
+The characters of a candidate are split once and the counts are changed at two places for each step, so the time is in proportion to
+the text. Loops over groups in the allow list are possessive: the regex engine runs them without calling itself, however long the run
+is, and each is followed by what it cannot take, so nothing else fits or fails than without.
 
 Positions are code points, ends exclusive. Null texts count as empty. Rows are scanned one by one, without a shuffle.
 """
@@ -25,18 +30,20 @@ ACCESS, HEX = "AKIA[A-Z0-9]{14,}", "[0-9a-f]{16,}"
 VALUE = 12
 WINDOW = 20
 _SET = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_SET})(?=[A-Za-z+/_=-]*[0-9]){_SET}{{{WINDOW},}}"
-LIMITS = (("^[0-9A-Fa-f]+$", 3.0), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
-# a piece of a path: words (also in camel case) with a short number, or numbers, parted by signs
-_WORD = "(([A-Z]?[a-z]+([A-Z][a-z][a-z]+)*|[A-Z]+)[0-9]{0,4}|[0-9]{1,8})"
-_PIECE = f"{_WORD}([_=-]+{_WORD})*"
+CANDIDATE = rf"(?<!{_SET}){_SET}{{{WINDOW},}}"
+LIMITS = (("^[^0-9]+$", 3.9), ("^[0-9A-Fa-f]+$", 3.0), ("^[A-Za-z0-9]+$", 3.6), ("", 3.8))
+# words, also in camel case; a piece of a path: words with a short number, or numbers, parted by signs
+_LETTERS = "(?:[A-Z]?[a-z]++(?:[A-Z][a-z][a-z]++)*+|[A-Z]++)"
+_WORD = f"(?:{_LETTERS}[0-9]{{0,4}}+|[0-9]{{1,8}}+)"
+_PIECE = f"{_WORD}(?:[_=-]++{_WORD})*+"
 ALLOW = (
     "^[0-9=+/_-]+$",  # numbers, dates, rules of signs
+    f"^[=+/_-]*+(?:{_LETTERS}[=+/_-]++)*+(?:{_LETTERS})?+$",  # words without numbers
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # identifiers made to be public
-    f"^(/+({_PIECE}/+){{2,40}}|({_PIECE}/+){{3,40}})({_PIECE})?$",  # paths all of whose pieces are word-like; a slash alone says nothing, base64 has it
-    "^[A-Za-z]+([_-][A-Za-z]+)*[_-]?[0-9]{1,4}$",  # words with a number
+    f"^(?:/++(?:{_PIECE}/++){{2,}}+|(?:{_PIECE}/++){{3,}}+)(?:{_PIECE})?+$",  # paths all of whose pieces are word-like; a slash alone says nothing, base64 has it
+    "^[A-Za-z]++(?:[_-][A-Za-z]++)*+[_-]?[0-9]{1,4}$",  # words with a number
     # placeholders, where nothing else is there
-    "^[Xx0-9_=+/-]*(([Ee]xample|EXAMPLE|[Dd]ummy|[Cc]hangeme|[Pp]laceholder|[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|abcdefghij(klmnopqrstuvwxyz)?)[Xx0-9_=+/-]*){0,20}$",
+    "^[Xx0-9_=+/-]*+(?:(?:[Ee]xample|EXAMPLE|[Dd]ummy|[Cc]hangeme|[Pp]laceholder|[Kk]ey|KEY|[Tt]oken|TOKEN|[Ss]ecret|SECRET|abcdefghij(?:klmnopqrstuvwxyz)?)[Xx0-9_=+/-]*+)*+$",
     "^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",  # a published example
 )
 
@@ -58,21 +65,27 @@ def _matches(text: Column, pattern: str) -> Column:
 def peak_entropy(s: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of a window of the string; -1 for a shorter string."""
     term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
-    code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
+    put = lambda n, k, v: F.concat(F.slice(n, F.lit(1), k), F.array(v), F.slice(n, k + 2, F.lit(128)))
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("best"))
 
-    def step(state: Column, i: Column) -> Column:
-        enter, leave = code(i), F.when(i > window, code(i - window)).otherwise(F.lit(-1))
-        n, same = state["n"], enter == leave
-        add = F.element_at(n, enter + 1)
-        gone = F.when(leave >= 0, F.element_at(n, F.greatest(leave, F.lit(0)) + 1))
-        change = F.when(same, 0.0).otherwise(term(add + 1) - term(add) + F.when(leave >= 0, term(gone - 1) - term(gone)).otherwise(0.0))
-        total = state["sum"] + change
-        counts = F.when(same, n).otherwise(F.transform(n, lambda x, k: x + (k == enter).cast("int") - (k == leave).cast("int")))
-        best = F.when(i >= window, F.greatest(state["best"], F.log2(F.lit(float(window))) - total / window)).otherwise(state["best"])
-        return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), start, step, lambda state: state["best"])
+    def over(codes: Column) -> Column:
+        def step(state: Column, i: Column) -> Column:
+            enter, leave = F.get(codes, i), F.when(i >= window, F.get(codes, i - window))
+            n = state["n"]
+            less = F.when(leave.isNull() | (leave == enter), n).otherwise(put(n, leave, F.get(n, leave) - 1))
+            counts = F.when(leave == enter, n).otherwise(put(less, enter, F.get(less, enter) + 1))
+            add, gone = F.get(n, enter), F.get(n, leave)
+            change = F.when(leave == enter, 0.0).otherwise(term(add + 1) - term(add) + F.when(leave.isNotNull(), term(gone - 1) - term(gone)).otherwise(0.0))
+            total = state["sum"] + change
+            best = F.when(i >= window - 1, F.greatest(state["best"], F.log2(F.lit(float(window))) - total / window)).otherwise(state["best"])
+            return F.struct(counts.alias("n"), total.alias("sum"), best.alias("best"))
+
+        places = F.transform(codes, lambda _, i: i)
+        return F.aggregate(places, start, step, lambda state: state["best"])
+
+    # bound once: the lambda of the walk reads the codes as they are
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    return F.coalesce(F.get(F.transform(F.array(codes), over), F.lit(0)), F.lit(-1.0))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", allow: Sequence[str] = ALLOW, limits: Sequence[tuple[str, float]] = LIMITS) -> DataFrame:

@@ -28,7 +28,7 @@ def brute(t):
             if len(m[2]) >= 12 if kind == "assign" else len(m[0]) >= {"access": 18, "hex": 16}[kind]:
                 out.append((m.start(), k, m.end()))
     for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t):
-        if len(m[0]) < S.WINDOW or not re.search("[0-9]", m[0]) or any(re.search(p, m[0]) for p in S.ALLOW) or any(s <= m.start() and e >= m.end() for s, k, e in out if k < 3):
+        if len(m[0]) < S.WINDOW or any(re.search(p, m[0]) for p in S.ALLOW) or any(s <= m.start() and e >= m.end() for s, k, e in out if k < 3):
             continue
         if peak(m[0], S.WINDOW) >= next(b for p, b in S.LIMITS if re.search(p, m[0])) - 1e-9:
             out.append((m.start(), 3, m.end()))
@@ -62,11 +62,16 @@ def test_recall(spark):
     """Random base64 keys, most of which have slashes, and keys around a placeholder are found; paths and placeholders are not."""
     rng = random.Random(12)
     b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    keys = [k for n in (20, 40, 88, 200, 400) for k in ("".join(rng.choice(b64) for _ in range(n)) for _ in range(200)) if re.search("[0-9]", k)]
+    keys = [k for n in (20, 40, 88, 200, 400) for k in ("".join(rng.choice(b64) for _ in range(n)) for _ in range(200))]
     more = ["".join(rng.choice(b64) for _ in range(30)) + "7" + x + "".join(rng.choice(b64) for _ in range(30)) for x in ("xxxxxx", "abcdefghij", "Example", "/a/b/c/")]
     known = ["path/to/some/file-0001/index2", "/usr/share/doc/python3/examples/2024/", "src/main/java/com/fastParser/v2/Reader", "example_key_0123456789", "xxxxxxxxxxxxxxxxxxxx1234", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
     rows = [(i, f"see {k} end", None, None, None) for i, k in enumerate([*keys, *more, *known])]
     got = {r.doc_id: any(x.kind == "entropy" and (x.s, x.e) == (4, len(rows[r.doc_id][1]) - 4) for x in r.spans) for r in S.scan(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()}
+    letters = ["".join(rng.choice(b64[:52]) for _ in range(40)) for _ in range(100)]
+    words = ["incomprehensibilities", "getUserAccountByPhoneNumber", "state-of-the-art-technologies", "src/main/java/com/fastParser/Reader", "-" * 30]
+    free = [(i, f"see {k} end", None, None, None) for i, k in enumerate([*letters, *words])]
+    seen = {r.doc_id for r in S.scan(spark.createDataFrame(free, SCHEMA)).collect() if any(x.kind == "entropy" for x in r.spans)}
+    assert len([i for i in seen if i < 100]) >= 90 and not [i for i in seen if i >= 100]
     found = {n: [got[i] for i, k in enumerate(keys) if len(k) == n] for n in (20, 40, 88, 200, 400)}
     assert all(all(found[n]) for n in (40, 88, 200, 400)) and sum(found[20]) >= 0.9 * len(found[20])
     assert all(got[len(keys) + i] for i in range(len(more)))
@@ -75,6 +80,20 @@ def test_recall(spark):
     assert S.scan(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(long)], SCHEMA)).where("size(spans) >= 0").collect() != []
 
 
+def test_long_runs(spark):
+    """Runs of a megabyte, and of many words, pieces and signs, end in time in proportion to their length and do not end the engine."""
+    import time
+
+    rng = random.Random(3)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    runs = ["".join(rng.choice(b64) for _ in range(1 << 20)), "Abc" * 300000 + "1", "ab/c1/" * 150000, "ab_Cd-" * 150000 + "x1", "example0" * 100000, "ab_" * 300000 + "12", "/" * 500000 + "a1b", "Ab" * 400000]
+    df = spark.createDataFrame([(i, f"key {t} end", None, None, None) for i, t in enumerate(runs)], SCHEMA).repartition(8)
+    began = time.time()
+    got = {r.doc_id: [(x.kind, x.s, x.e) for x in r.spans] for r in S.scan(df).collect()}
+    assert time.time() - began < 120
+    assert ("entropy", 4, 4 + (1 << 20)) in got[0] and not any(got[i] for i in range(1, 7))
+
+
 def test_entropy(spark):
     rng = random.Random(2)
     rows = [("".join(rng.choice("ab01XYZ+/=-") for _ in range(n)),) for n in (1, 19, 20, 21, 40, 90)] + [("a" * 50,), ("ab" * 30,)]
