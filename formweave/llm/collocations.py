@@ -36,7 +36,7 @@ LEAST = 10
 COVER = 50
 TOP = 2000
 SCALE = 1_000_000
-SLICE = 8 << 20
+SLICE = 5 << 20
 RANGE_BYTES = 8 << 20
 _ENDS = b".,;:!?\n\x0b\x0c\r"
 _INSIDE = W.byte_classes(separators=b" \t" + _ENDS)
