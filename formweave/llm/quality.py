@@ -5,9 +5,9 @@ passage is described by shares of byte classes and by word statistics, standardi
 attention (tanh times sigmoid, softmax over the bag) weighs the encoded passages; a logistic unit scores their weighted mean.
 All layers are trained together on the log loss of document labels.
 
-The model is fitted on at most ``SAMPLE`` labelled rows, those with the least hash of the id, with at most ``TRAIN_PASSAGES``
-evenly spaced passages each; this bounds what reaches the driver. Scoring reads whole texts, every passage, and has no
-shuffle. Rows without a label or an id train nothing. Without labels of both classes the score is their share (0.5 if none).
+The model is fitted on at most ``SAMPLE`` labelled rows, those with the least hash of the id, as far as all their passages together
+number at most ``PASSAGES``; every passage of such a row is read. Both bounds are arguments of ``train`` and limit what reaches the driver. Scoring reads whole texts, every passage, and has no
+shuffle. Equal rows train once; rows without a label or an id train nothing. Without labels of both classes the score is their share (0.5 if none).
 Null texts count as empty, and are scored as such. Only the text enters a score. Repeated rows get equal scores.
 """
 
@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from formweave.llm import words as W
+from formweave.llm.tables import stored
 
-PASSAGE, SAMPLE, TRAIN_PASSAGES = 64, 6000, 64
+PASSAGE, SAMPLE, PASSAGES = 64, 6000, 200_000
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b";:", b"!", b"?", b"|", b"%", b"*", b"#", b"$", b"&", b"@", b"\"'`", b"()[]{}", b"-_", b"/\\", b"<>=+~^"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)
 for _i, _g in enumerate(_GROUPS):
@@ -130,22 +132,33 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, hidden: int = 24, gate: int
     return Model(float(labels.mean()), mean, scale, w)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Column | None = None, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows of ``labels``; ``where`` (over ``id``) leaves rows out."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Column | None = None, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, most_passages: int = PASSAGES) -> Model:
+    """Fit on at most ``sample`` labelled rows with at most ``most_passages`` passages together; ``where`` (over ``id``) leaves rows out."""
     rows = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("y")).where("id is not null and y is not null")
     if where is not None:
         rows = rows.where(where)
     rows = rows.orderBy(F.xxhash64("id"), "id", "y").limit(sample)
-    known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rows), "id").select("id", "y", "text")  # at most `sample` rows
+    known = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(rows), "id").select("id", "y", "text")  # at most `sample` labels
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            size, out = [], []
             for _, _, x, n in passages(batch.column(2)):
-                out += [p[np.unique(np.linspace(0, len(p) - 1, min(len(p), TRAIN_PASSAGES)).astype(int))].tobytes() for p in np.split(x, np.cumsum(n)[:-1])]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "y", "x"])
-
-    got = known.mapInArrow(encode, f"id {dict(known.dtypes)['id']}, y double, x binary").orderBy("id", "y", "x").limit(2 * sample).collect()
+                size += n.tolist()
+                out += [p.tobytes() for p in np.split(x, np.cumsum(n)[:-1])]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["id", "y", "k", "x"])
+
+    kind = dict(known.dtypes)["id"]
+    coded = stored(known.mapInArrow(encode, f"id {kind}, y double, k long, x binary").select(F.xxhash64("id").alias("h"), "id", "y", F.xxhash64("x").alias("xh"), "k", "x"), "bags")
+    key = ["h", "id", "y", "xh"]
+    # a row has a passage at least, so so many rows decide; they are numbers only
+    first = coded.select(*key, "k").distinct().orderBy(*key).limit(most_passages)
+    upto = first.withColumn("sum", F.sum("k").over(Window.orderBy(*key))).withColumn("nth", F.row_number().over(Window.orderBy(*key)))
+    last = upto.where((F.col("sum") <= most_passages) | (F.col("nth") == 1)).agg(F.max(F.struct(*key)).alias("m")).first().m
+    if last is None:
+        return fit([], np.empty(0))
+    within = F.struct(*key) <= F.struct(*[F.lit(last[c]).cast(dict(coded.dtypes)[c]).alias(c) for c in key])
+    got = coded.where(within).dropDuplicates(key).orderBy(*key).select("x", "y").collect()
     return fit([np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in got], np.array([min(max(r.y, 0.0), 1.0) for r in got]))
 
 

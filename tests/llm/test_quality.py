@@ -77,6 +77,21 @@ def test_held_out(spark):
     assert all(np.array_equal(model.weights[k], again.weights[k]) for k in model.weights)
 
 
+def test_bounds_take_whole_rows(spark, monkeypatch):
+    """Every passage of a taken row trains; rows past the bound are left out whole, equal rows count once."""
+    seen = []
+    monkeypatch.setattr(Q, "fit", lambda bags, y: seen.append((sorted(map(len, bags)), len(y))))
+    long = [(k, f"w{k} " * (64 * 70 * (k + 1)), None, None, None) for k in range(3)]
+    d = spark.createDataFrame([*long, *long[:1] * 200, (3, "short", None, None, None)], DOCS).repartition(4)
+    lab = spark.createDataFrame([(k, k % 2, 0, None) for k in range(4)], LABELS)
+    Q.train(d, lab)
+    Q.train(d, lab, most_passages=75)
+    Q.train(d, lab, most_passages=1)
+    assert seen[0] == ([1, 70, 140, 210], 4)
+    assert sum(seen[1][0]) <= 75 or len(seen[1][0]) == 1
+    assert len(seen[2][0]) == 1
+
+
 def test_without_labels(spark):
     d = spark.createDataFrame([(1, "a b", None, None, None)], DOCS)
     assert [r.score for r in Q.score(d, Q.train(d, spark.createDataFrame([], LABELS))).collect()] == [0.5]
