@@ -56,8 +56,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     odds = lambda c: c / (1 - c)
     ranked = rows.join(plan, ["none", "name"]).withColumn("u", chance("doc_id"))
     ranked = ranked.withColumn("rank", F.when(F.col("p") > 0, odds(F.col("u")) / odds(F.col("p"))).otherwise(F.col("u")))
-    # within a source p is one number, so u rises with the rank and spreads it evenly
-    ranked = running(ranked, ["none", "name"], "u", ["rank", "doc_id", "size", "th"], {"before": F.col("size")})
+    ranked = running(ranked, ["none", "name"], ["rank", "doc_id", "size", "th"], {"before": F.col("size")})
     ranked = stored(ranked.withColumn("extra", (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 <= F.col("rest"))), "ranked")
     gap = ranked.groupBy("none", "name").agg((F.first("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("gap"))
     gap = stored(gap.coalesce(1), "gap")

@@ -54,7 +54,7 @@ def propagate(vertices: DataFrame, shards: int, total: int, rounds: int = ROUNDS
             break
         quotas = spark.createDataFrame([(*k, n) for k, n in _quotas(flows, loads, total / shards * (1 + slack)).items()], "label int, want int, quota long")
         movers = asked.where("label <> want").withColumn("_u", unit_hash(F.col("hub"), F.lit("move")))
-        moved = running(movers, ["label", "want"], "_u", ["_u", "hub", "v"], {"before": F.col("bytes")}).join(F.broadcast(quotas), ["label", "want"])  # shards * shards rows
+        moved = running(movers, ["label", "want"], ["_u", "hub", "v"], {"before": F.col("bytes")}).join(F.broadcast(quotas), ["label", "want"])  # shards * shards rows
         moved = moved.select("hub", "v", "bytes", F.when(F.col("before") + F.col("bytes") <= F.col("quota"), F.col("want")).otherwise(F.col("label")).alias("label"))
         linked = stored(asked.where("label = want").select("hub", "v", "bytes", "label").union(moved), "linked")
     return single.select("hub", "label").union(linked.groupBy("hub", "label").agg(F.sum("bytes").alias("bytes")).groupBy("hub").agg(choice))
@@ -78,11 +78,11 @@ def assign(docs: DataFrame, shards: int = SHARDS, doc_id: str = "doc_id", text:
     hubs = rows.groupBy("hub", "g").agg(F.sum("size").alias("bytes")).join(labels, "hub")
     half = F.least(F.log2(F.col("bytes").cast("double")) / 96, F.lit(0.4999))
     hubs = hubs.withColumn("_u", (F.col("label") + F.when(F.xxhash64("g", F.lit("side")) % 2 == 0, half).otherwise(1 - 1e-9 - half)) / shards).withColumn("_all", F.lit(0))
-    hubs = running(hubs, ["_all"], "_u", ["_u", "g", "hub"], {"from": F.col("bytes")}).select("hub", "from")
-    placed = running(rows.withColumn("_u", unit_hash(F.col("v"), F.lit("place"))), ["hub"], "_u", ["_u", "v"], {"nth": F.lit(1)}).join(hubs, "hub")
+    hubs = running(hubs, ["_all"], ["_u", "g", "hub"], {"from": F.col("bytes")}).select("hub", "from")
+    placed = running(rows.withColumn("_u", unit_hash(F.col("v"), F.lit("place"))), ["hub"], ["_u", "v"], {"nth": F.lit(1)}).join(hubs, "hub")
     middle = (F.col("from") + F.col("nth") * F.col("size")) * 2 + F.col("size")
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / (2 * total)), F.lit(shards - 1)).cast("int"))
-    placed = running(placed.withColumn("_u", unit_hash(F.col("v"), F.lit("slot"))), ["shard"], "_u", ["_u", "v"], {"slot": F.lit(1)})
+    placed = running(placed.withColumn("_u", unit_hash(F.col("v"), F.lit("slot"))), ["shard"], ["_u", "v"], {"slot": F.lit(1)})
     return placed.select("doc_id", "th", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
 
 

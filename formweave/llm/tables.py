@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from formweave.session import shared_dir
 
-FAN = 512
+RANGE_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,21 +27,22 @@ def unit_hash(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
 
 
-def running(df: DataFrame, keys: list[str], unit: str, order: list[str], sums: dict[str, Column]) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column]) -> DataFrame:
     """Add, per name in ``sums``, the sum over all earlier rows of the same keys (0 for the first row).
 
-    ``order`` sorts the rows and ``unit``, a number in [0, 1), must not fall along it. The unit deals the rows of a key
-    over FAN * FAN cells; windows run over one cell, over the cells of one of FAN strips, and over the strips of a key, so
-    no task ever holds a key. Keys must not be null.
+    Rows are dealt into ranges of (keys, order, a row number), which hold about as many rows each however many of them are equal. Windows run
+    inside one range of a key, and over the totals of a key's ranges; so no task holds a key, a common value or a group of
+    equal rows. Both steps read stored tables: the row numbers are fixed, and what follows is a small plan. Keys must not be null; rows that are
+    equal in ``order`` come in any order.
     """
-    n = df.withColumn("_cell", F.least(F.floor(F.col(unit) * FAN * FAN), F.lit(FAN * FAN - 1)).cast("int")).withColumns({f"_v_{s}": c for s, c in sums.items()})
+    cols = df.columns
+    n = stored(df.withColumns({f"_v_{s}": c for s, c in sums.items()}), "running")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), n.count() // RANGE_ROWS + 1)
+    n = n.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(ranges, *keys, *order, "_row")
+    n = stored(n.withColumn("_range", F.spark_partition_id()), "ranges")
     before = lambda part, by: Window.partitionBy(*part).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     past = lambda s, w: F.coalesce(F.sum(s).over(w), F.lit(0))
-    cells = n.groupBy(*keys, "_cell").agg(*[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums]).withColumn("_strip", F.floor(F.col("_cell") / FAN).cast("int"))
-    strips = cells.groupBy(*keys, "_strip").agg(*[F.sum(f"_t_{s}").alias(f"_u_{s}") for s in sums])
-    strips = strips.select(*keys, "_strip", *[past(f"_u_{s}", before(keys, ["_strip"])).alias(f"_a_{s}") for s in sums])
-    cells = cells.select(*keys, "_strip", "_cell", *[past(f"_t_{s}", before([*keys, "_strip"], ["_cell"])).alias(f"_b_{s}") for s in sums])
-    cells = cells.join(strips, [*keys, "_strip"]).select(*keys, "_cell", *[(F.col(f"_a_{s}") + F.col(f"_b_{s}")).alias(f"_c_{s}") for s in sums])
-    n = n.withColumns({f"_d_{s}": past(f"_v_{s}", before([*keys, "_cell"], order)) for s in sums}).join(cells, [*keys, "_cell"])
-    out = n.withColumns({s: F.col(f"_c_{s}") + F.col(f"_d_{s}") for s in sums})
-    return out.drop("_cell", *[f"_{x}_{s}" for s in sums for x in "vcd"])
+    totals = n.groupBy(*keys, "_range").agg(*[F.sum(f"_v_{s}").alias(f"_t_{s}") for s in sums])
+    totals = totals.select(*keys, "_range", *[past(f"_t_{s}", before(keys, ["_range"])).alias(f"_c_{s}") for s in sums])
+    n = n.withColumns({f"_d_{s}": past(f"_v_{s}", before([*keys, "_range"], [*order, "_row"])) for s in sums}).join(totals, [*keys, "_range"])
+    return n.select(*cols, *[(F.col(f"_c_{s}") + F.col(f"_d_{s}")).alias(s) for s in sums])

@@ -60,10 +60,34 @@ def test_running(spark):
     rng = random.Random(3)
     rows = [(rng.choice("aab"), rng.random(), i, rng.randint(0, 9)) for i in range(3000)]
     rows += [("a", 0.999999999, -1, 3), ("b", 0.0, -2, 4)]
-    got = T.running(spark.createDataFrame(rows, "k string, u double, i long, x long"), ["k"], "u", ["u", "i"], {"s": F.col("x"), "n": F.lit(1)}).collect()
+    got = T.running(spark.createDataFrame(rows, "k string, u double, i long, x long"), ["k"], ["u", "i"], {"s": F.col("x"), "n": F.lit(1)}).collect()
     want, seen = {}, defaultdict(lambda: [0, 0])
     for k, u, i, x in sorted(rows, key=lambda r: (r[1], r[2])):
         want[k, i] = tuple(seen[k])
         seen[k][0] += x
         seen[k][1] += 1
     assert {(r.k, r.i): (r.s, r.n) for r in got} == want
+
+
+def test_running_over_equal_rows(spark):
+    """A third of the rows are one row: they are counted in turn, and no task gets them all."""
+    rows = [("a", 0.5, 7, 2)] * 2000 + [("a", i / 4000, i, 1) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k string, u double, i long, x long").repartition(4)
+    out = T.running(df, ["k"], ["u", "i"], {"n": F.lit(1), "s": F.col("x")})
+    assert sorted(r.n for r in out.collect()) == list(range(6000))
+    same = out.where("i = 7 and u = 0.5")
+    at = sorted((r.n, r.s) for r in same.collect())
+    assert [n for n, _ in at] == list(range(at[0][0], at[0][0] + 2000)) and {b[1] - a[1] for a, b in zip(at, at[1:], strict=False)} == {2}
+    assert T.running(df.limit(0), ["k"], ["u", "i"], {"n": F.lit(1)}).collect() == []
+
+
+def test_a_third_of_equal_rows(spark):
+    docs = [(i, "text %d " % i * (i % 9), None) for i in range(120)] + [(5, "the same row", None)] * 60 + [(None, "without an id", None)] * 20
+    got = S.assign(spark.createDataFrame(docs, "doc_id long, text string, shard string").repartition(3)).collect()
+    assert len(got) == 200
+    by = defaultdict(list)
+    for r in got:
+        by[r.shard].append(r)
+    assert all(sorted(r.slot for r in rs) == list(range(len(rs))) for rs in by.values())
+    loads = [sum(r.size for r in by[k]) for k in range(8)]
+    assert max(loads) - min(loads) <= 2 * max(r.size for r in got)
