@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalar as S
+from ..session import shared_dir
 
 
 # --- enum dimension -------------------------------------------------------------------------------------
@@ -200,3 +201,39 @@ def sync_client_ids(ledger: DataFrame, logs: DataFrame, clients: DataFrame, only
         F.count_if(~on & F.col("changed")).alias("updated_document_log_rows"))
     put = lambda d: d.withColumn("client_id", F.when(F.col("changed"), F.col("found")).otherwise(F.col("client_id"))).drop("found", "changed", "name_key")
     return put(new_ledger), put(new_logs), counts
+
+
+# --- merged clients ---------------------------------------------------------------------------------------------
+def surviving_clients(merges: DataFrame) -> DataFrame:
+    """(client_id, survivor, cyclic) for every client that was merged into another (``client_id``, ``merged_into`` [, ``merged_at``]).
+
+    A client's last merge counts. Chains are followed by pointer doubling: each round joins the open clients with the targets of their targets, so
+    a chain of n merges takes log n joins, and only clients that have not met a survivor go on. A client whose chain never ends has no survivor
+    and is marked as cyclic. Merges into oneself or into nothing are none.
+    """
+    spark = merges.sparkSession
+
+    def stored(df: DataFrame) -> DataFrame:
+        path = shared_dir(spark, "merges")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    at = F.col("merged_at") if "merged_at" in merges.columns else F.lit(0)
+    valid = merges.where("client_id IS NOT NULL AND merged_into IS NOT NULL AND client_id <> merged_into")
+    arrows = stored(valid.groupBy("client_id").agg(F.max_by("merged_into", F.struct(at, "merged_into")).alias("merged_into")))
+    steps, count, open_, done = arrows, arrows.count(), arrows.select("client_id", F.col("merged_into").alias("to")), []
+    reach = 1
+    while True:
+        ahead = stored(open_.join(steps.select(F.col("client_id").alias("to"), F.col("merged_into").alias("next")), "to", "left"))
+        done.append(ahead.where("next IS NULL").select("client_id", F.col("to").alias("survivor"), F.lit(False).alias("cyclic")))
+        open_ = ahead.where("next IS NOT NULL").select("client_id", F.col("next").alias("to"))
+        # an end has no arrow; one that was reached by a doubled arrow is an end again
+        if open_.isEmpty() or reach > 2 * count:
+            break
+        second = steps.select(F.col("client_id").alias("merged_into"), F.col("merged_into").alias("far"))
+        steps = stored(steps.join(second, "merged_into", "left").select("client_id", F.coalesce("far", "merged_into").alias("merged_into")))
+        reach *= 2
+    out = open_.select("client_id", F.lit(None).cast(dict(arrows.dtypes)["merged_into"]).alias("survivor"), F.lit(True).alias("cyclic"))
+    for d in done:
+        out = out.unionByName(d)
+    return out

@@ -160,6 +160,22 @@ def current(hist: DataFrame) -> DataFrame:
                       "last.*", "status", "kept.*", "upload_count", "version")
 
 
+def repaired_names(submissions: DataFrame) -> DataFrame:
+    """(document_id, client_name): a stored name that is a document number or ``Unknown`` gives way to the next name that comes.
+
+    Off by default: documents here are found by the client's name, so this matters where submissions bring their ``document_id``. The first proper
+    name stays; without one the last name that came stands. One aggregate that combines map side.
+    """
+    name = S.strip(F.coalesce("client_name", F.lit("")))
+    place = F.struct("ts", "seq")
+    proper = (name != "") & ~name.startswith("DOC-") & (name != "Unknown")
+    # an empty first name is no placeholder: it stays
+    first_empty = F.min_by(name == "", place)
+    agg = submissions.groupBy("document_id").agg(
+        F.min_by(name, F.when(proper, place)).alias("proper"), F.max_by(name, F.when(name != "", place)).alias("last"), first_empty.alias("empty"))
+    return agg.select("document_id", F.when(F.col("empty"), F.lit("")).otherwise(F.coalesce("proper", "last")).alias("client_name"))
+
+
 def with_canonical(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Replace the client name by its first spelling and add the content hash."""
     d = docs.join(names, "client_key", "left").withColumn("client_name", F.coalesce("canonical_name", "client_name"))

@@ -85,6 +85,18 @@ def unknown_clients(docs: DataFrame, clients: DataFrame) -> DataFrame:
     return _rows(docs.join(clients.select("client_id").distinct(), "client_id", "left_anti"), "ENG_UNKNOWN_CLIENT", "doc_id")
 
 
+def merged_clients(docs: DataFrame, survivors: DataFrame) -> DataFrame:
+    """Documents of clients that were merged into others; the value is the surviving client, none where the merges go in a circle."""
+    hit = docs.join(survivors, "client_id")
+    return _rows(hit, "ENG_CLIENT_MERGED", "doc_id", value=F.col("survivor").cast("string"))
+
+
+def deleted_clients(docs: DataFrame, survivors: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Documents whose client, or the client that it was merged into, is deleted."""
+    now = docs.join(survivors.select("client_id", "survivor"), "client_id", "left").select("doc_id", F.coalesce("survivor", "client_id").alias("client_id"))
+    return _rows(now.join(deleted.select("client_id").distinct(), "client_id", "left_semi"), "ENG_CLIENT_DELETED", "doc_id")
+
+
 def unknown_senders(mails: DataFrame, domains: DataFrame) -> DataFrame:
     d = mails.withColumn("domain", F.lower(F.regexp_extract("sender", "@([^@]+)$", 1)))
     return _rows(d.join(domains.select("domain").distinct(), "domain", "left_anti"), "EMAIL_UNKNOWN_SENDER", "doc_id", value=F.col("domain"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import clients as CL
 from ..operators import rules_tables as R
 from . import inputs as I
 
@@ -61,6 +62,18 @@ _DC = "select o_orderkey as doc_id, o_custkey + (case when o_orderkey % 20 = 0 t
 _CC = "select c_custkey as client_id, case c_custkey % 3 when 0 then 'individual' when 1 then 'business' else 'trust' end as client_entity_type, cast(1995 + c_custkey % 5 as int) as engagement_year, concat(lpad(cast(c_custkey % 700 as varchar(12)), 3, '0'), '-', lpad(cast(c_nationkey as varchar(12)), 2, '0'), '-1111') as tax_id from {customer}"
 _add("unknown_client", lambda s, d: R.unknown_clients(_d(s, d, _DC, "orders"), _d(s, d, _CC, "customer")).drop("value"),
      f"select doc_id, 'ENG_UNKNOWN_CLIENT' as code from ({I.plain(_DC, 'orders')}) a where client_id not in (select c_custkey from customer)")
+_MG = """select c_custkey as client_id, case when c_custkey % 10 = 9 then case when c_custkey % 20 = 9 then c_custkey + 10 else c_custkey - 10 end
+  when c_custkey % 3 = 0 then cast(c_custkey / 3 as bigint) when c_custkey % 7 = 0 then c_custkey + 1 end as merged_into, c_custkey as merged_at from {customer}"""
+_SV = f"""m as (select * from ({I.plain(_MG, 'customer')}) z where merged_into is not null and merged_into <> client_id),
+ r(client_id, cur, n) as (select client_id, merged_into, 1 from m union all select r.client_id, m.merged_into, n + 1 from r join m on m.client_id = r.cur where n < 40),
+ sv as (select client_id, max(case when cur not in (select client_id from m) then cur end) as survivor from r group by 1)"""
+_survivors = lambda s, d: CL.surviving_clients(_d(s, d, _MG, "customer"))
+_add("client_survivors", lambda s, d: _survivors(s, d), f"with recursive {_SV} select client_id, survivor, survivor is null as cyclic from sv")
+_add("client_merged", lambda s, d: R.merged_clients(_d(s, d, _DC, "orders"), _survivors(s, d)),
+     f"with recursive {_SV} select doc_id, 'ENG_CLIENT_MERGED' as code, cast(survivor as varchar) as value from ({I.plain(_DC, 'orders')}) a join sv using (client_id)")
+_DL = "select c_custkey as client_id from {customer} where c_custkey % 4 = 1"
+_add("client_deleted", lambda s, d: R.deleted_clients(_d(s, d, _DC, "orders"), _survivors(s, d), _d(s, d, _DL, "customer")).drop("value"),
+     f"with recursive {_SV} select doc_id, 'ENG_CLIENT_DELETED' as code from ({I.plain(_DC, 'orders')}) a left join sv using (client_id) where coalesce(survivor, client_id) in (select client_id from ({I.plain(_DL, 'customer')}) z)")
 _add("wrong_year_engagement", lambda s, d: R.wrong_years(_d(s, d, _DC, "orders"), _d(s, d, _CC, "customer").select("client_id", "engagement_year")),
      f"select doc_id, 'ENG_WRONG_YEAR' as code, cast(form_tax_year as varchar) as value from ({I.plain(_DC, 'orders')}) a join ({I.plain(_CC, 'customer')}) c using (client_id) where form_tax_year <> engagement_year")
 _add("wrong_entity", lambda s, d: R.wrong_entities(_d(s, d, _DC, "orders"), _d(s, d, _CC, "customer")),

@@ -260,3 +260,10 @@ def correction_history(spark, sf_dir):
 QUERIES["correction_history"] = correction_history
 ORACLE["correction_history"] = f"""with s as (select *, lag(stage) over (partition by user_id order by ts, seq) as prev_stage from ({I.plain(_STAGE_SQL, 'events')}) b)
 select user_id, row_number() over (partition by user_id order by ts, seq) as n, ts, seq from s where stage = 'corrected' and prev_stage in ('extracted','corrected')"""
+
+
+NAME_SQL = """select concat('D', cast(user_id % 40 as varchar(12)), event_type) as document_id, ts, event_id as seq, case when event_id % 5 < 2 then concat('DOC-', cast(event_id as varchar(12))) when event_id % 5 = 2 then 'Unknown'
+ when event_id % 10 = 3 then '' when value > 40 then concat(' Client ', cast(user_id as varchar(12))) else 'Unknown' end as client_name from {events}"""
+QUERIES["name_repair"] = lambda s, d: L.repaired_names(I.derive(s, d, NAME_SQL, "events"))
+ORACLE["name_repair"] = f"""select document_id, list_reduce(list(trim(client_name) order by ts, seq), lambda acc, x: case when x <> '' and (acc like 'DOC-%' or acc = 'Unknown') then x else acc end) as client_name
+ from ({I.plain(NAME_SQL, 'events')}) e group by 1"""

@@ -58,6 +58,6 @@ _add("stream_sessions", lambda s, d: ST.first_seen(shared_dir(s, "sessions"), {"
      "select user_id as session_id, min(ts) as created_at, min(ts) + interval '30' minute as expires_at from events group by 1")
 _add("fixed_sessions", lambda s, d: ST.fixed_sessions(I.table(s, d, "events").select(F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMddHH")).alias("session_id"), "ts", "event_id")).select("event_id", "session_id", "live"),
      "with e as (select event_id, ts, user_id || '-' || strftime(ts, '%Y%m%d%H') as session_id from events), c as (select session_id, min(ts) as c from e group by 1) select event_id, session_id, ts <= c + interval '30' minute as live from e join c using (session_id)")
-_add("activity_sessions", lambda s, d: ST.activity_sessions(I.table(s, d, "events"), "user_id", "12 hours"),
+_add("activity_sessions", lambda s, d: ST.SessionTable(shared_dir(s, "activity"), "user_id", 12 * 3600, full_every=4).run(_shuffled(s, d)),
      """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '12' hour then 0 else 1 end as b from events), n as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as sid from g)
  select user_id, min(ts) as started, max(ts) + interval '12' hour as ended, count(*) as n_events from n group by user_id, sid""")

@@ -174,3 +174,125 @@ def test_upload_stream(spark, tmp_path):
     q.awaitTermination()
     assert [r["source"] for r in spark.read.parquet(str(tmp_path / "good")).collect()] == ["a.json"]
     assert [r["source"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()] == ["b.json"]
+
+
+def test_lines_against_the_fold(spark):
+    """Line by line as the rule is written: inside pages, and over page changes with pages of one top and of many."""
+    import random
+
+    from formweave.operators import layout as LY
+
+    rng, rows = random.Random(4), []
+    for d in range(9):
+        for p in range(1, rng.choice([1, 3, 9]) + 1):
+            for k in range(rng.choice([1, 1, 2, 30])):
+                top = rng.choice([10.0, 12.5, 15.0, 20.0]) if d % 3 == 0 else rng.randint(0, 400) * 0.5 + rng.choice([0, 0.1])
+                rows.append((d, p, f"w{k}", float(rng.randint(0, 300)), top, 0.9))
+    df = spark.createDataFrame(rows, "doc_id int, page int, text string, x0 double, y0 double, confidence double").repartition(3)
+
+    def folded(page_break):
+        out = {}
+        n = 2 if page_break else 1
+        for key in sorted({r[:n] for r in rows}):
+            anchor, line = None, 0
+            for r in sorted((r for r in rows if r[:n] == key), key=lambda r: (r[1], r[4])):
+                far = anchor is not None and (r[4] - anchor[1] if page_break else abs(r[4] - anchor[1])) > 5.0
+                if anchor is None or far:
+                    anchor, line = (r[1], r[4]), line + 1
+                out.setdefault((r[0], anchor[0], line), []).append((r[3], r[4], f"[{round(r[3])}] {r[2]}"))
+        return {k: "  ".join(c for *_, c in sorted(v)) for k, v in out.items()}
+
+    for page_break in (True, False):
+        got = {(r.doc_id, r.page, r.line): r.line_text for r in LY.digital_lines(df, page_break=page_break).collect()}
+        assert got == folded(page_break)
+
+
+def test_sessions_under_late_events(spark, tmp_path):
+    """Batches in any order, a late event that joins two sessions, a batch that runs twice, a null key: as if all came at once."""
+    import random
+    from datetime import datetime, timedelta
+
+    from formweave.streaming.streams import SessionTable
+
+    rng, t0 = random.Random(5), datetime(2026, 1, 1)
+    events = [(rng.choice(["a", "a", "b", "c", None]), t0 + timedelta(seconds=60 * rng.randint(0, 4000)), i) for i in range(400)]
+    events += [("d", t0, 1), ("d", t0 + timedelta(minutes=40), 2), ("d", t0 + timedelta(minutes=20), 3), ("e", t0, 4), ("e", t0 + timedelta(minutes=30), 5), ("f", None, 6)]
+    rng.shuffle(events[:400])
+    table = SessionTable(str(tmp_path), "k", 1800.0, full_every=3)
+    size, schema = 37, "k string, ts timestamp, i int"
+    batches = [events[a : a + size] for a in range(0, len(events), size)]
+    for n, rows in enumerate(batches):
+        table.write(spark.createDataFrame(rows, schema), n)
+        if n == 4:
+            table.write(spark.createDataFrame(rows, schema), n)
+    got = sorted(((r.k, r.started, r.ended, r.n_events) for r in table.read(spark, len(batches)).collect()), key=str)
+    want = []
+    for k in {e[0] for e in events}:
+        at, run = sorted(e[1] for e in events if e[0] == k and e[1]), []
+        for t in [*at, None]:
+            if run and (t is None or t - run[-1] >= timedelta(minutes=30)):
+                want.append((k, run[0], run[-1] + timedelta(minutes=30), len(run)))
+                run = []
+            run.append(t)
+    assert got == sorted(want, key=str)
+    assert [(g[0], g[3]) for g in got if g[0] in ("d", "e")] == [("d", 3), ("e", 1), ("e", 1)]
+
+
+def test_merged_runs_by_level(spark, tmp_path):
+    """After many batches few runs are read; a merge that did not finish, and a batch that runs twice, lose nothing."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from formweave.streaming.streams import MergedTable
+
+    table = MergedTable(str(tmp_path), {"k": F.col("k")}, {"n": (F.count("*"), F.sum), "first": (F.min("v"), F.min)}, fan=3)
+    batch = lambda n: spark.createDataFrame([(j % 4, n * 10 - j) for j in range(n % 5 + 1)], "k int, v int")
+    total = 20
+    for n in range(total):
+        table.write(batch(n), n)
+        if n in (8, 11):
+            table.write(batch(n), n)
+    want = {}
+    for n in range(total):
+        for j in range(n % 5 + 1):
+            c, v = want.get(j % 4, (0, 10**9))
+            want[j % 4] = (c + 1, min(v, n * 10 - j))
+    read = lambda: {r.k: (r.n, r.first) for r in table.read(spark, total).collect()}
+    assert read() == want
+    runs = table.runs(spark, total)
+    assert len(runs) <= 2 * 3 and not os.path.exists(table._folder(0, 0)) and not os.path.exists(table._folder(1, 0))
+    table.write(batch(total), total)  # a merge to level 1 ends here: its parts stay until the next batch
+    os.remove(f"{table._folder(1, 6)}/_SUCCESS")
+    assert len(table.runs(spark, total + 1)) > len(runs) - 2
+    n = total
+    for j in range(n % 5 + 1):
+        c, v = want.get(j % 4, (0, 10**9))
+        want[j % 4] = (c + 1, min(v, n * 10 - j))
+    assert {r.k: (r.n, r.first) for r in table.read(spark, total + 1).collect()} == want
+
+
+def test_surviving_clients(spark):
+    import random
+
+    from formweave.operators.clients import surviving_clients
+
+    rng = random.Random(6)
+    arrows = {i: rng.randint(0, 300) for i in range(300) if rng.random() < 0.7} | {1000 + i: 1001 + i for i in range(70)} | {2000: 2001, 2001: 2002, 2002: 2000, 2003: 2000}
+    rows = [(a, b, 5) for a, b in arrows.items()] + [(a, 77, 1) for a in list(arrows)[:20]] + [(5000, None, 1), (5001, 5001, 1), (None, 3, 1)]
+    got = {r.client_id: (r.survivor, r.cyclic) for r in surviving_clients(spark.createDataFrame(rows, "client_id long, merged_into long, merged_at int")).collect()}
+    arrows = {a: b for a, b in arrows.items() if a != b}
+
+    def end(a):
+        seen = set()
+        while a in arrows and a not in seen:
+            seen.add(a)
+            a = arrows[a]
+        return (None, True) if a in arrows else (a, False)
+
+    selves = [a for a, b, _ in rows if a is not None and a == b]
+    for a in selves:  # a merge into oneself is none: an earlier one of the same client counts
+        if a < 300 and (a, 77, 1) in rows:
+            arrows[a] = 77
+    assert got == {a: end(a) for a in arrows}
+    assert surviving_clients(spark.createDataFrame([], "client_id long, merged_into long")).collect() == []
