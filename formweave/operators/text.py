@@ -15,22 +15,6 @@ EDGE_UNITS = 64
 _EDGE = rf"^(?:[\s-]++|[0-9]++|[^\s0-9-]){{0,{EDGE_UNITS}}}+"
 
 
-def _loose(name: str) -> str:
-    """Pattern of one form name in which blanks and hyphens may stand, or be left out, between any two characters."""
-    words = name.replace("-", " ").split()
-    gap = r"[\s-]*"
-    return gap.join(gap.join(word) for word in words)
-
-
-def form_name_pattern() -> str:
-    """Any known form name; longer names are tried before the names they begin with."""
-    by_length = sorted(V.GATE_FORMS, key=lambda name: -len(name))
-    return rf"(?i)\b(?:Form\s+)?({'|'.join(map(_loose, by_length))})\b"
-
-
-FORM_PATTERN = form_name_pattern()
-
-
 def signals(text: Column) -> dict[str, Column]:
     """Raw findings of a text; each pattern is searched once."""
 
@@ -38,7 +22,7 @@ def signals(text: Column) -> dict[str, Column]:
         return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
     return {
-        "omb_number": first(V.OMB_PATTERN), "form_type": F.upper(first(FORM_PATTERN)),
+        "omb_number": first(V.OMB_PATTERN), "form_type": F.upper(first(V.FORM_PATTERN)),
         "agency": text.rlike(V.AGENCY_PATTERN), "tax_year": first(V.YEAR_PATTERN).cast("int"),
         "keywords": F.regexp_count(text, F.lit(V.KEYWORD_PATTERN)),
     }

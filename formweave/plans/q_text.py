@@ -41,7 +41,7 @@ def _gate_sql(base, key="doc_id", text="text"):
     raw = text
     # word boundaries are ASCII-only in this engine: accented letters become another word character first
     text = f"regexp_replace({raw}, '[À-ÖØ-öø-ɏ]', '_', 'g')"
-    return f"""g0 as (select {key}, length(trim({text}, E' \\t\\n\\r')) as len, nullif(regexp_extract({text}, '{esc(V.OMB_PATTERN)}', 1), '') as omb, upper(nullif(regexp_extract({text}, '{esc(T.FORM_PATTERN)}', 1), '')) as form,
+    return f"""g0 as (select {key}, length(trim({text}, E' \\t\\n\\r')) as len, nullif(regexp_extract({text}, '{esc(V.OMB_PATTERN)}', 1), '') as omb, upper(nullif(regexp_extract({text}, '{esc(V.FORM_PATTERN)}', 1), '')) as form,
  regexp_matches({text}, '{esc(V.AGENCY_PATTERN)}') as agency, try_cast(nullif(regexp_extract({text}, '{esc(V.YEAR_PATTERN)}', 1), '') as int) as yr, len(regexp_extract_all({text}, '{esc(V.KEYWORD_PATTERN)}')) as kw from {base}),
  g1 as (select *, case when len < 10 then 0 else case when omb is not null then 40 else 0 end + case when form is not null then 25 else 0 end + case when agency then 20 else 0 end + case when yr is not null then 10 else 0 end + case when kw >= 3 then 5 else 0 end end as score from g0)"""
 
