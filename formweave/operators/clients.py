@@ -155,10 +155,10 @@ def contained_names(names: DataFrame, clients: DataFrame, longest: int = LONGEST
     """First client whose name contains each given name: (name_key, client_id).
 
     Exact and without a pairwise join: client names are cut into their substrings of the lengths that the given names
-    have, one row per substring keeps the client that wins, and a name is joined with the substring that equals it. So
-    the rows are in proportion to the client text, however similar the names are. Names longer than ``longest`` are joined
-    on so many characters and compared in full. Tiers are person, business, trust name; within a tier the oldest
-    client wins.
+    have, and a name is joined with the substring that equals it. So the rows are in proportion to the client text, however similar the
+    names are. Substrings longer than ``longest`` travel as their length and hash, and what meets is compared in full. The given names,
+    each once, are the small side: where Spark can broadcast them, no substring is shuffled. Tiers are person, business, trust name; within
+    a tier the oldest client wins.
     """
     person = F.lower(F.concat(F.coalesce("first_name", F.lit("")), F.lit(" "), F.coalesce("last_name", F.lit(""))))
     tiers = F.array(*[F.struct(F.lit(i).alias("tier"), c.alias("full"))
@@ -166,16 +166,21 @@ def contained_names(names: DataFrame, clients: DataFrame, longest: int = LONGEST
     full = clients.select("id", "created_at", F.explode(tiers).alias("t")).select("id", "created_at", "t.*").where("full <> ''")
     # equal full names in a tier differ only in who wins, so one row per name is enough
     full = full.groupBy("tier", "full").agg(F.min(F.struct("created_at", "id")).alias("who"))
-    wanted = names.select(S.strip(F.lower("name_key")).alias("key")).where("key <> ''").distinct()
-    size = F.least(F.length("key"), F.lit(longest))
-    lengths = sorted(r[0] for r in wanted.select(size.alias("n")).distinct().collect())  # at most `longest` numbers
-    cut = lambda ns: full.select("full", F.struct("tier", "who").alias("best"), F.explode(F.concat(F.array().cast("array<string>"), *[_pieces(F.col("full"), n) for n in ns])).alias("piece"))
-    exact = cut(lengths).groupBy("piece").agg(F.min("best").alias("best"))
-    best = wanted.where(F.length("key") <= longest).join(exact, F.col("key") == F.col("piece")).select("key", "best")
-    if longest in lengths:
-        hits = wanted.where(F.length("key") > longest).withColumn("piece", F.left("key", F.lit(longest))).join(cut([longest]), "piece")
-        best = best.union(hits.where(F.col("full").contains(F.col("key"))).groupBy("key").agg(F.min("best").alias("best")))
-    return best.select(F.col("key").alias("name_key"), F.col("best.who.id").alias("client_id"), F.col("best.tier").alias("tier"))
+    wanted = names.select(S.strip(F.lower("name_key")).alias("key")).where("key <> ''").distinct().withColumn("size", F.length("key"))
+    lengths = sorted(r[0] for r in wanted.select("size").distinct().collect())  # as many as names have lengths
+    short, long = [n for n in lengths if n <= longest], [n for n in lengths if n > longest]
+    best = F.struct("tier", "who").alias("best")
+    cut = full.select(best, F.explode(F.concat(F.array().cast("array<string>"), *[_pieces(F.col("full"), n) for n in short])).alias("piece"))
+    hits = [wanted.where(F.col("size") <= longest).join(cut, F.col("key") == F.col("piece")).select("key", "best")]
+    if long:
+        named = F.flatten(F.transform(F.array(*[F.lit(n) for n in long]), lambda n: F.when(F.length("full") >= n, F.transform(
+            F.sequence(F.lit(0), F.length("full") - n), lambda i: F.struct(n.alias("size"), F.xxhash64(F.substr("full", i + 1, n)).alias("h")))).otherwise(F.array().cast("array<struct<size:int,h:bigint>>"))))
+        cut = full.select("full", best, F.explode(F.array_distinct(named)).alias("p")).select("full", "best", "p.*")
+        met = wanted.where(F.col("size") > longest).withColumn("h", F.xxhash64("key")).join(cut, ["size", "h"])
+        hits.append(met.where(F.col("full").contains(F.col("key"))).select("key", "best"))
+    every = hits[0] if len(hits) == 1 else hits[0].union(hits[1])
+    found = every.groupBy("key").agg(F.min("best").alias("best"))
+    return found.select(F.col("key").alias("name_key"), F.col("best.who.id").alias("client_id"), F.col("best.tier").alias("tier"))
 
 
 def sync_client_ids(ledger: DataFrame, logs: DataFrame, clients: DataFrame, only_missing: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

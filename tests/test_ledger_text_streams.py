@@ -296,3 +296,20 @@ def test_surviving_clients(spark):
             arrows[a] = 77
     assert got == {a: end(a) for a in arrows}
     assert surviving_clients(spark.createDataFrame([], "client_id long, merged_into long")).collect() == []
+
+
+def test_long_names_that_begin_alike(spark):
+    """Names over the limit, all with the same first characters: what meets is what is contained, and few other rows."""
+    from formweave.operators.clients import contained_names
+
+    head = "the very long family trust of the "
+    clients = [(i, f"2026-01-{i % 28 + 1:02d}", None, None, f"{head}{i:04d} house and its heirs", f"x {head}{i % 50:04d}" if i % 3 else None) for i in range(400)]
+    names = [f"{head}{i:04d} house" for i in range(0, 500, 2)] + [f" {head.upper()}{i:04d}" for i in range(20)] + [head.strip(), "house", "nobody", "", None]
+    df = spark.createDataFrame(clients, "id int, created_at string, first_name string, last_name string, business_name string, trust_name string")
+    got = {r.name_key: (r.client_id, r.tier) for r in contained_names(spark.createDataFrame([(n,) for n in names], "name_key string"), df).collect()}
+    want = {}
+    for n in {(n or "").lower().strip() for n in names} - {""}:
+        hit = [(t, c[1], c[0]) for c in clients for t, full in enumerate((" ", c[4], c[5])) if full and n in full.lower()]
+        if hit:
+            want[n] = (min(hit)[2], min(hit)[0])
+    assert got == want
