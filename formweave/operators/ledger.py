@@ -2,17 +2,20 @@
 
 A ledger document is one (client, document type). Its running state (upload count, version, carried
 values) is a prefix computation in time order. A plain window would put all submissions of a document
-into one task, and one busy document can hold a large share of the log. So the log is cut into time
-chunks: windows run inside (document, chunk), a small table of chunk totals is scanned per document,
-and the totals are joined back on the key the rows are already partitioned by.
+into one task, and one busy document, or one bulk load of it within an hour, can hold a large share of the
+log. So the log is cut by rank: ranges of (document, time, sequence) that hold about as many rows each are
+the chunks. Windows run inside (document, chunk), a small table of chunk totals, which carry the state from
+chunk to chunk, is scanned per document, and the totals are joined back on the key the rows are partitioned by.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import scalar as S
+from ..session import shared_dir
 
 CARRIED = ["cpa", "due_date", "confidence_score", "local_json_path", "client_id"]
 OVERWRITTEN = ["stage", "status", "provider", "description", "tax_year"]
@@ -69,19 +72,31 @@ def status_updates(updates: DataFrame, like: DataFrame) -> DataFrame:
     return u.select(*[c for c in u.columns if c in like.columns], *missing).select(like.columns)
 
 
-def _chunk(unit: str) -> Column:
-    """Time chunk of an event; events without a time come first, after an earlier state."""
-    return F.coalesce(F.date_trunc(unit, "ts"), F.lit("0001-01-02").cast("timestamp"))
+CHUNK_ROWS = 500_000
 
 
-def history(prepared: DataFrame, chunk: str = "hour", prior: DataFrame | None = None) -> DataFrame:
+def _chunked(d: DataFrame, keys: list[str], chunk: str) -> DataFrame:
+    """Add ``chunk``, a number that never falls along (keys, ts, seq): by rank, or by a unit of time.
+
+    ``rows`` cuts the log in ranges of equal row counts and stores it, for the cut must not change when rows are read again. A unit of time
+    needs no pass of its own; it suits a stream, whose batches are bounded. Events without a time come first, after an earlier state.
+    """
+    if chunk != "rows":
+        return d.withColumn("chunk", F.coalesce(F.unix_micros(F.date_trunc(chunk, "ts")), F.lit(-(1 << 62)).cast("long")))
+    spark, path = d.sparkSession, shared_dir(d.sparkSession, "log")
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.count() // CHUNK_ROWS + 1)
+    d.repartitionByRange(ranges, *keys, "ts", "seq").withColumn("chunk", F.spark_partition_id().cast("long")).write.parquet(path)
+    return spark.read.schema(StructType([*d.schema.fields, StructField("chunk", LongType())])).parquet(path)
+
+
+def history(prepared: DataFrame, chunk: str = "rows", prior: DataFrame | None = None) -> DataFrame:
     """Every event with upload_count, version, content_changed and carried values after the event.
 
     ``prior`` is an earlier ledger state (see ``running_state``); it enters as the oldest chunk total of its
     document, so a stream can continue where the last batch ended.
     """
     key = ["document_id", "chunk"]
-    d = prepared.withColumn("chunk", _chunk(chunk)).withColumn("at", F.struct("ts", "seq"))
+    d = _chunked(prepared, ["document_id"], chunk).withColumn("at", F.struct("ts", "seq"))
     submit = F.col("kind") == "submit"
     # the client name is constant per document up to case, so it does not take part in the comparison
     sig = F.when(submit, F.to_json(F.struct("source", "stage", "status", "tax_year"), {"ignoreNullFields": "false"}))
@@ -106,7 +121,7 @@ def history(prepared: DataFrame, chunk: str = "hour", prior: DataFrame | None =
         F.max_by("sig", F.when(submit, F.col("at"))).alias("last_sig"), *[latest(c) for c in CARRIED])
     if prior is not None:
         totals = totals.unionByName(prior.select(
-            "document_id", F.lit("0001-01-01").cast("timestamp").alias("chunk"), F.col("upload_count").alias("n"),
+            "document_id", F.lit(-(1 << 63)).cast("long").alias("chunk"), F.col("upload_count").alias("n"),
             (F.col("version") - 1).alias("n_chg"), F.col("sig").alias("first_sig"), F.col("sig").alias("last_sig"),
             *[F.col(c).alias(f"p_{c}") for c in CARRIED]))
     cw = Window.partitionBy("document_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -238,9 +253,9 @@ def as_of(hist: DataFrame, when: Column) -> DataFrame:
     return current(hist.where(F.col("ts") <= when))
 
 
-def transitions(events: DataFrame, key: str, allowed: dict[str, list[str]], chunk: str = "hour") -> DataFrame:
+def transitions(events: DataFrame, key: str, allowed: dict[str, list[str]], chunk: str = "rows") -> DataFrame:
     """Stage changes that are not allowed, with the previous stage; same chunked scan as the ledger."""
-    d = events.withColumn("chunk", _chunk(chunk)).withColumn("at", F.struct("ts", "seq"))
+    d = _chunked(events, [key], chunk).withColumn("at", F.struct("ts", "seq"))
     w = Window.partitionBy(key, "chunk").orderBy("ts", "seq")
     local = d.withColumn("prev", F.lag("stage").over(w)).withColumn("rn", F.row_number().over(w))
     last = local.groupBy(key, "chunk").agg(F.max_by("stage", "at").alias("last_stage"))

@@ -313,3 +313,23 @@ def test_long_names_that_begin_alike(spark):
         if hit:
             want[n] = (min(hit)[2], min(hit)[0])
     assert got == want
+
+
+def test_bulk_load_of_one_document(spark):
+    """A third of the log is one document within one hour, many events at one time: several chunks, and the state as by time units."""
+    import random
+    from datetime import datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    from formweave.operators import ledger as L
+
+    rng, t0 = random.Random(9), datetime(2026, 3, 1)
+    rows = [("Busy", "W-2", t0 + timedelta(seconds=i // 50), i, rng.choice("ab"), rng.choice([None, "x", "y"])) for i in range(1500)]
+    rows += [(f"C{rng.randint(0, 40)}", "1040", rng.choice([None, t0 + timedelta(hours=rng.randint(0, 300))]), 5000 + i, rng.choice("ab"), rng.choice([None, "z"])) for i in range(3000)]
+    df = spark.createDataFrame(rows, "client_name string, document_type string, ts timestamp, seq long, source string, cpa string").repartition(5)
+    prepared = L.prepare(df)
+    shown = lambda chunk: sorted(map(tuple, L.history(prepared, chunk).select("document_id", "ts", "seq", "upload_count", "version", "content_changed", "cpa").collect()), key=str)
+    assert shown("rows") == shown("hour")
+    cut = L._chunked(prepared, ["document_id"], "rows").where("client_name = 'Busy'").groupBy("chunk").agg(F.count("*").alias("n")).collect()
+    assert len(cut) > 1 and max(r.n for r in cut) < 1200
