@@ -50,7 +50,7 @@ def test_stages(spark):
 def test_registered():
     ours = E._corpus("QUERIES")
     assert set(ours) == {"pipeline", *(k for k in ours if k.startswith("op"))}
-    assert sorted(int(k[2:].split("_")[0]) for k in ours if k != "pipeline") == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in ours if k != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(1, "a b c", "en", "s", 5), (1, "a b c", "en", "s", 5), (None, "", None, None, None)]])
