@@ -253,16 +253,22 @@ def as_of(hist: DataFrame, when: Column) -> DataFrame:
     return current(hist.where(F.col("ts") <= when))
 
 
-def transitions(events: DataFrame, key: str, allowed: dict[str, list[str]], chunk: str = "rows") -> DataFrame:
-    """Stage changes that are not allowed, with the previous stage; same chunked scan as the ledger."""
+def with_previous(events: DataFrame, key: str, value: str, chunk: str = "rows") -> DataFrame:
+    """Add ``prev``: the ``value`` of the event before, by (ts, seq); same chunked scan as the ledger."""
+    cols = events.columns
     d = _chunked(events, [key], chunk).withColumn("at", F.struct("ts", "seq"))
     w = Window.partitionBy(key, "chunk").orderBy("ts", "seq")
-    local = d.withColumn("prev", F.lag("stage").over(w)).withColumn("rn", F.row_number().over(w))
-    last = local.groupBy(key, "chunk").agg(F.max_by("stage", "at").alias("last_stage"))
+    local = d.withColumn("_lag", F.lag(value).over(w)).withColumn("rn", F.row_number().over(w))
+    last = local.groupBy(key, "chunk").agg(F.max_by(value, "at").alias("_last"))
     cw = Window.partitionBy(key).orderBy("chunk")
-    last = last.select(F.col(key).alias("_key"), F.col("chunk").alias("_chunk"), F.lag("last_stage").over(cw).alias("before"))
-    j = local.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chunk") == F.col("_chunk"))).withColumn(
-        "prev_stage", F.when(F.col("rn") == 1, F.col("before")).otherwise(F.col("prev")))
+    last = last.select(F.col(key).alias("_key"), F.col("chunk").alias("_chunk"), F.lag("_last").over(cw).alias("before"))
+    j = local.join(last, F.col(key).eqNullSafe(F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
+    return j.select(*cols, F.when(F.col("rn") == 1, F.col("before")).otherwise(F.col("_lag")).alias("prev"))
+
+
+def transitions(events: DataFrame, key: str, allowed: dict[str, list[str]], chunk: str = "rows") -> DataFrame:
+    """Stage changes that are not allowed, with the previous stage."""
+    j = with_previous(events, key, "stage", chunk).withColumnRenamed("prev", "prev_stage")
     bad = None
     for stage, froms in allowed.items():
         cond = (F.col("stage") == stage) & ~F.coalesce(F.col("prev_stage").isin(froms), F.lit(False))

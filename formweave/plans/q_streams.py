@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from ..streaming import keyed as K
 from ..streaming import streams as ST
 from ..streaming.ledger_stream import LedgerStream
 from . import inputs as I
+from . import q_context as QC
 from . import q_ledger as QL
 
 QUERIES: dict = {}
@@ -61,3 +63,23 @@ _add("fixed_sessions", lambda s, d: ST.fixed_sessions(I.table(s, d, "events").se
 _add("activity_sessions", lambda s, d: ST.SessionTable(shared_dir(s, "activity"), "user_id", 12 * 3600, full_every=4).run(_shuffled(s, d)),
      """with g as (select *, case when ts - lag(ts) over (partition by user_id order by ts) < interval '12' hour then 0 else 1 end as b from events), n as (select *, sum(b) over (partition by user_id order by ts rows unbounded preceding) as sid from g)
  select user_id, min(ts) as started, max(ts) + interval '12' hour as ended, count(*) as n_events from n group by user_id, sid""")
+_add("stream_attempts_sliding", lambda s, d: ST.SlidingCounts(shared_dir(s, "panes"), {"user_id": F.col("user_id")}, "12 hours", 4).run(_shuffled(s, d)).where("n > 10").select(F.col("user_id").alias("doc_id"), "window_start", F.lit("SEC_EXCESS_ATTEMPTS").alias("code"), F.col("n").alias("attempts")),
+     QC.ORACLE["excess_attempts_sliding"])
+
+
+def stream_live_sessions(s, d):
+    """Sessions by user and hour, live for 30 minutes from their first event, judged as events come in any order."""
+    session = F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMddHH"))
+    events = _shuffled(s, d).select(session.alias("session_id"), "ts", F.col("event_id").alias("seq"))
+    return K.LiveSessions(shared_dir(s, "live"), "session_id").run(events).select(F.col("seq").alias("event_id"), "session_id", "live")
+
+
+_add("stream_live_sessions", stream_live_sessions, ORACLE["fixed_sessions"])
+
+
+def stream_transitions(s, d):
+    """Steps that do not follow a stage they may follow, as a stream whose steps come in any order."""
+    return K.StageGate(shared_dir(s, "gate"), "user_id", QL.ALLOWED, minutes=3 * 24 * 60).run(s.sql(QL._STAGE_SQL, events=_shuffled(s, d)))
+
+
+_add("stream_transitions", stream_transitions, QL.ORACLE["status_transitions"])

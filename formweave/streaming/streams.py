@@ -201,14 +201,28 @@ class MergedTable:
         return self._merged(spark, self.runs(spark, batches))
 
 
-def window_start(size: str, slide: str | None = None) -> Column:
-    """Start of the window of ``ts``; a sliding window gives a row several."""
-    return (F.window("ts", size, slide) if slide else F.window("ts", size))
+def counted(path: str, keys: dict[str, Column], size: str) -> MergedTable:
+    """Events per key and window ``w``; read with a filter on ``n`` it gives the windows over a limit."""
+    return MergedTable(path, {**keys, "w": F.window("ts", size)}, {"n": (F.count("*"), F.sum)})
 
 
-def counted(path: str, keys: dict[str, Column], size: str, slide: str | None = None) -> MergedTable:
-    """Events per key and window ``w``; read with a filter on ``n`` it gives the windows over a limit."""
-    return MergedTable(path, {**keys, "w": window_start(size, slide)}, {"n": (F.count("*"), F.sum)})
+class SlidingCounts(MergedTable):
+    """Events per key and sliding window of ``panes`` slides.
+
+    What is kept is the count of each pane, the time from one slide to the next, so an event touches one pane however many windows hold it
+    and however late it comes. Windows are summed from their panes when they are read.
+    """
+
+    def __init__(self, path: str, keys: dict[str, Column], slide: str, panes: int, fan: int = 8):
+        super().__init__(path, {**keys, "pane": F.window("ts", slide)["start"]}, {"n": (F.count("*"), F.sum)}, fan)
+        self.slide, self.panes, self.names = slide, panes, list(keys)
+
+    def read(self, spark: SparkSession, batches: int) -> DataFrame:
+        """(keys, window_start, n) for every window that holds an event."""
+        back = F.explode(F.array(*[F.col("pane") - F.expr(f"interval {self.slide}") * k for k in range(self.panes)]))
+        # panes first: their merged counts are few beside the events
+        held = super().read(spark, batches).where("pane IS NOT NULL")
+        return held.select(*self.names, back.alias("window_start"), "n").groupBy(*self.names, "window_start").agg(F.sum("n").alias("n"))
 
 
 def first_seen(path: str, keys: dict[str, Column], time: str = "ts") -> MergedTable:
