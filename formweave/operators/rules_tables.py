@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..fixed_values import DEFAULTS, Thresholds
 from ..functions import scalar as S
+from .joins import split_join
 from .rules_context import box_drift, name_differs, wrong_entity
 
 
@@ -25,11 +26,11 @@ def duplicate_uploads(docs: DataFrame) -> DataFrame:
     """Documents whose content hash was seen before (doc_id, doc_hash, ts).
 
     The first document per hash is a combinable minimum. A hash shared by a third of all documents is one
-    row on the other side of the join, which adaptive execution can split or broadcast.
+    row on the other side of the join; its documents are cut into parts.
     """
     first = docs.groupBy("doc_hash").agg(F.min(F.struct("ts", "doc_id")).alias("f"), F.count("*").alias("n")).where("n > 1").select(
         "doc_hash", F.col("f.doc_id").alias("first_id"))
-    return _rows(docs.join(first, "doc_hash").where("doc_id <> first_id"), "XDOC_DUPLICATE_UPLOAD", "doc_id", value=F.col("doc_hash"))
+    return _rows(split_join(docs, first, "doc_hash").where("doc_id <> first_id"), "XDOC_DUPLICATE_UPLOAD", "doc_id", value=F.col("doc_hash"))
 
 
 def duplicate_pages(pages: DataFrame) -> DataFrame:
@@ -126,7 +127,7 @@ def wrong_entities(docs: DataFrame, clients: DataFrame) -> DataFrame:
 
 def name_tin_mismatches(docs: DataFrame, tins: DataFrame) -> DataFrame:
     """Employer names that disagree with the registered name of their identifier (tins: tin, known_name)."""
-    j = docs.join(tins, "tin").where(name_differs(F.col("known_name"), F.col("employer_name")))
+    j = split_join(docs, tins, "tin").where(name_differs(F.col("known_name"), F.col("employer_name")))
     return _rows(j, "ID_NAME_TIN_MISMATCH", "doc_id", value=F.col("tin"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed_values as V
 from ..functions import scalar as S
+from .joins import split_join
 
 
 # --- derivations ------------------------------------------------------------------------------------------
@@ -97,7 +98,7 @@ def merge_live(ledger: DataFrame, live: DataFrame) -> DataFrame:
     """Ledger rows plus live rows that are in the ledger neither by document id nor by client name."""
     ids = ledger.where(F.col("document_id") != "").select("document_id").distinct()
     names = ledger.select(S.norm_name(F.col("name")).alias("_k")).distinct()
-    rest = live.join(ids, "document_id", "left_anti").withColumn("_k", S.norm_name(F.col("name"))).join(names, "_k", "left_anti").drop("_k")
+    rest = split_join(live.join(ids, "document_id", "left_anti").withColumn("_k", S.norm_name(F.col("name"))), names, "_k", "left_anti").drop("_k")
     return ledger.unionByName(rest)
 
 

@@ -37,12 +37,17 @@ class ExpiringState:
         self.path, self.key, self.parts, self.expires = path.rstrip("/"), key, parts, expires
         self.cold = MergedTable(f"{self.path}/cold", {key: F.col(key)}, {k: (merge(k), merge) for k, (_, merge) in parts.items()}, fan)
 
-    def _merge(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(self.key).agg(*[merge(k).alias(k) for k, (_, merge) in self.parts.items()])
+    def _kept(self, rows: DataFrame, label: str, number: int) -> DataFrame:
+        path = f"{self.path}/{label}/batch={number}"
+        rows.write.mode("overwrite").parquet(path)
+        return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
-    def _hot(self, spark: SparkSession, number: int, schema: StructType) -> DataFrame:
+    def _state(self, spark: SparkSession, number: int, schema: StructType) -> DataFrame:
         full = StructType([*schema.fields, StructField("expired", IntegerType())])
-        return spark.read.schema(full).parquet(f"{self.path}/state/batch={number}").where("expired = 0").drop("expired")
+        return spark.read.schema(full).parquet(f"{self.path}/state/batch={number}")
+
+    def _hot(self, spark: SparkSession, number: int, schema: StructType) -> DataFrame:
+        return self._state(spark, number, schema).where("expired = 0").drop("expired")
 
     def _clock(self, spark: SparkSession, number: int):
         return spark.read.parquet(f"{self.path}/clock/batch={number}").first()[0] if number >= 0 else None
@@ -50,35 +55,32 @@ class ExpiringState:
     def advance(self, batch: DataFrame, number: int) -> DataFrame:
         """Take in a batch (``key``, ``ts`` and the columns of the aggregates). Per key of the batch: the state ``before`` it, null for a new key, and ``after`` it."""
         spark, key = batch.sparkSession, self.key
-        new = batch.groupBy(key).agg(*[partial.alias(k) for k, (partial, _) in self.parts.items()])
-        new.write.mode("overwrite").parquet(f"{self.path}/new/batch={number}")
-        schema = StructType(new.schema.fields)
-        new = spark.read.schema(schema).parquet(f"{self.path}/new/batch={number}")
+        partial = [p.alias(k) for k, (p, _) in self.parts.items()]
+        new = self._kept(batch.groupBy(key).agg(*partial, F.max("ts").alias("_ts")), "new", number)
         # one row: the latest time of the batch, kept for the batches to come
-        old_clock = self._clock(spark, number - 1)
-        clock = F.greatest(F.max("ts"), F.lit(old_clock).cast("timestamp")).alias("clock")
-        batch.agg(clock).write.mode("overwrite").parquet(f"{self.path}/clock/batch={number}")
-        now = self._clock(spark, number)
-
-        keys = new.select(F.col(key).alias("_k"))
-        known = spark.createDataFrame([], schema)
-        rest = known
+        was = self._clock(spark, number - 1)
+        now = new.agg(F.greatest(F.max("_ts"), F.lit(was).cast("timestamp")).alias("clock"))
+        now.write.mode("overwrite").parquet(f"{self.path}/clock/batch={number}")
+        now, new = self._clock(spark, number), new.drop("_ts")
+        schema = new.schema
+        known = rest = None
         if number > 0:
-            hot = self._hot(spark, number - 1, schema)
+            hot, keys = self._hot(spark, number - 1, schema), new.select(F.col(key).alias("_k"))
             missing = keys.join(hot.select(F.col(key).alias("_h")), _same("_k", "_h"), "left_anti")
             cold = self.cold.read(spark, number).join(missing, _same(key, "_k"), "left_semi")
-            known = hot.join(keys, _same(key, "_k"), "left_semi").unionByName(cold)
+            known = hot.join(keys, _same(key, "_k"), "left_semi").unionByName(cold).withColumn("_old", F.lit(True))
             rest = hot.join(keys, _same(key, "_k"), "left_anti")
-        state = lambda c: F.struct(*[F.col(p) for p in self.parts]).alias(c)
-        known.select(F.col(key), state("s")).write.mode("overwrite").parquet(f"{self.path}/known/batch={number}")
-        known = spark.read.schema(StructType([schema[key], StructField("s", StructType([schema[p] for p in self.parts]))])).parquet(f"{self.path}/known/batch={number}")
-        after = self._merge(known.select(key, "s.*").unionByName(new))
+        both = new.withColumn("_old", F.lit(False))
+        both = both if known is None else both.unionByName(known)
+        values = F.struct(*[F.col(p) for p in self.parts])
+        change = both.groupBy(key).agg(*[merge(k).alias(k) for k, (_, merge) in self.parts.items()], F.any_value(F.when(F.col("_old"), values), F.lit(True)).alias("before"))
+        change = self._kept(change.select(key, values.alias("after"), "before"), "change", number)
+        state = change.select(key, "after.*")
+        state = state if rest is None else state.unionByName(rest)
         expired = F.coalesce(self.expires < F.lit(now).cast("timestamp"), F.lit(False)).cast("int")
-        after.unionByName(rest).withColumn("expired", expired).write.mode("overwrite").partitionBy("expired").parquet(f"{self.path}/state/batch={number}")
-        full = StructType([*schema.fields, StructField("expired", IntegerType())])
-        self.cold.write(spark.read.schema(full).parquet(f"{self.path}/state/batch={number}").where("expired = 1").drop("expired"), number)
-        was = known.select(F.col(key).alias("_k"), F.col("s").alias("before"))
-        return after.select(key, state("after")).join(was, _same(key, "_k"), "left").drop("_k")
+        state.withColumn("expired", expired).write.mode("overwrite").partitionBy("expired").parquet(f"{self.path}/state/batch={number}")
+        self.cold.write(self._state(spark, number, schema).where("expired = 1").drop("expired"), number)
+        return change
 
     def hot_rows(self, spark: SparkSession, number: int) -> DataFrame:
         """The hot rows after a batch."""
