@@ -4,10 +4,13 @@ The terms of a text are its pairs of neighbouring words (A-Z lower-cased; a text
 occurs c times has the weight 1 + ln c; its 128 hash bits vote with this weight, and a bit is set where the votes for 1 lead.
 Texts with equal terms have equal fingerprints. Null, empty and blank texts have no terms: all bits are 0.
 
-``with_neighbours`` counts the rows within ``RADIUS`` bits: the fingerprints that are asked for and those of all rows are dealt
-into tiles, and every pair of tiles is compared bit by bit and summed inside its task, so a large group of near copies makes no
-pairs. Equal fingerprints are one row with a count. No index is exact and selective at this radius; the work is that of all
-comparisons, asked times distinct fingerprints.
+``with_neighbours`` counts the rows within ``RADIUS`` bits by block tables: the bits are permuted into tables by ``BLOCKS`` blocks, one table per
+block, each with its block as the key. Block k has a reach r_k, and the sum of all r_k + 1 is the radius plus one, so two fingerprints
+within the radius differ in at most r_k bits in some block k. A fingerprint that is asked for is sought in each table under all values
+within the reach of its own block; what meets there is compared in full, and a pair counts in the first table only where it meets. Keys that
+many fingerprints share (large groups of near copies) are cut into parts. Equal fingerprints are one row with a count. At a radius of
+20 over 9 blocks a fingerprint is compared with about 2.5 % of all others; that is still a share of the rows, so a much larger corpus wants
+fewer, wider blocks (argument), with more values per search. ids may be of any type here; ``with_next`` needs numbers.
 
 ``near`` lists the pairs themselves, for radii of a few bits: the bits are cut into ``blocks`` blocks. Two fingerprints within
 radius r agree in at least blocks - r of them, so each choice of blocks - r blocks is a table with these blocks as the key, and
@@ -23,15 +26,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from formweave.llm import words as W
 from formweave.llm.tables import stored
 
-BITS, RADIUS = 128, 20
-TILE, ASKED = 1 << 15, 1 << 16  # fingerprints of a tile: of all rows, of those asked for
+BITS, RADIUS, BLOCKS = 128, 20, 9
+PART = 1 << 15  # fingerprints of one key that one task holds
 _VOTE = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2 - 1)
 _SLICE, _ROWS = 1 << 19, 512  # votes take 32 KB a text
 
@@ -140,40 +143,51 @@ def compared(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return rows.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, hi long, lo long")
 
 
-def _tally(radius: int):
-    """Per fingerprint of the left tile: how many rows of the right tile lie within the radius, where there are any."""
+def _block(hi: Column, lo: Column, a: int, b: int) -> Column:
+    """Bits a to b (from the highest) of a fingerprint as an int."""
+    ones = F.lit((1 << (b - a)) - 1)
+    if b <= 64:
+        return F.shiftrightunsigned(hi, 64 - b).bitwiseAND(ones).cast("int")
+    if a >= 64:
+        return F.shiftrightunsigned(lo, 128 - b).bitwiseAND(ones).cast("int")
+    return F.shiftleft(hi.bitwiseAND(F.lit((1 << (64 - a)) - 1)), b - 64).bitwiseOR(F.shiftrightunsigned(lo, 128 - b)).cast("int")
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = [np.empty((0, 3), np.int64)]
-        if left.num_rows and right.num_rows:
-            flat = lambda t: [np.asarray(c) for c in t.column("held").combine_chunks().flatten().flatten()]
-            (hi, lo), (ohi, olo, n) = flat(left), flat(right)
-            uhi, ulo, uohi, uolo = (x.view(np.uint64) for x in (hi, lo, ohi, olo))
-            for a in range(0, len(hi), 32):
-                upper = np.bitwise_count(uhi[a : a + 32, None] ^ uohi[None, :])
-                q, r = np.nonzero(upper <= radius)
-                fits = upper[q, r] + np.bitwise_count(ulo[a + q] ^ uolo[r]) <= radius
-                total = np.zeros(len(hi[a : a + 32]), np.int64)
-                np.add.at(total, q[fits], n[r[fits]])
-                k = np.flatnonzero(total)
-                out.append(np.stack([hi[a + k], lo[a + k], total[k]], axis=1))
-        found = np.concatenate(out)
-        return pa.table({c: found[:, i] for i, c in enumerate(("hi", "lo", "n"))})
 
-    return run
+def block_reach(radius: int, blocks: int) -> list[tuple[int, int, int]]:
+    """(first bit, end, reach) of each block: together the reaches leave no pair within the radius unmet. Blocks that are not needed are left out."""
+    edge = [BITS * k // blocks for k in range(blocks + 1)]
+    each, more = divmod(radius + 1, blocks)
+    return [(edge[k], edge[k + 1], each - 1 + (k < more)) for k in range(blocks) if each + (k < more) > 0]
+
 
+def with_neighbours(prints: DataFrame, asked: Column, radius: int = RADIUS, blocks: int = BLOCKS, part: int = PART) -> DataFrame:
+    """Add ``n_within``: for the rows that ``asked`` names, how many other rows lie within the radius; null elsewhere.
 
-def with_neighbours(prints: DataFrame, asked, radius: int = RADIUS, tile: int = TILE, asked_tile: int = ASKED) -> DataFrame:
-    """Add ``n_within``: for the rows that ``asked`` names, how many other rows lie within the radius; null elsewhere."""
+    ``prints`` has ``hi`` and ``lo``. The key of a row is its table and block value. How many rows a key has is a table of at most the
+    possible block values; those of more than ``part`` are dealt by hash into parts, and searches are repeated once per part.
+    """
     prints = stored(prints, "fingerprints")
     every = prints.groupBy("hi", "lo").agg(F.count("*").alias("n"))
     wanted = prints.where(asked).select("hi", "lo").distinct()
-    across, down = (max(1, -(-df.count() // size)) for df, size in ((every, tile), (wanted, asked_tile)))
-    spot = lambda n: F.pmod(F.xxhash64("hi", "lo"), F.lit(n)).cast("int")
-    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = wanted.groupBy(spot(down).alias("i")).agg(F.collect_list(F.struct("hi", "lo")).alias("held")).select("i", upto(across).alias("j"), "held")
-    right = every.groupBy(spot(across).alias("j")).agg(F.collect_list(F.struct("hi", "lo", "n")).alias("held")).select(upto(down).alias("i"), "j", "held")
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_tally(radius), "hi long, lo long, n long")
+    tables = block_reach(radius, blocks)
+    own = lambda k: _block(F.col("hi"), F.col("lo"), *tables[k][:2])
+    key = lambda k, v: F.struct(F.lit(k).alias("k"), v.alias("v"))
+    rows = every.select("hi", "lo", "n", F.inline(F.array(*[key(k, own(k)) for k in range(len(tables))])))
+    flips = [[sum(1 << i for i in chosen) for r in range(reach + 1) for chosen in combinations(range(b - a), r)] for a, b, reach in tables]
+    spread = lambda v, masks: F.transform(F.lit(masks), lambda m: v.bitwiseXOR(m))
+    values = [F.struct(F.lit(k).alias("k"), spread(own(k), masks).alias("vs")) for k, masks in enumerate(flips)]
+    probes = wanted.select("hi", "lo", F.inline(F.array(*values))).select(F.col("hi").alias("qhi"), F.col("lo").alias("qlo"), "k", F.explode("vs").alias("v"))
+    crowded = rows.groupBy("k", "v").agg(F.count("*").alias("c")).where(F.col("c") > part).select("k", "v", F.ceil(F.col("c") / part).cast("int").alias("parts"))
+    crowded = stored(crowded.coalesce(1), "crowded")
+    if crowded.isEmpty():
+        rows, probes = rows.withColumn("p", F.lit(0)), probes.withColumn("p", F.lit(0))
+    else:
+        parts = F.coalesce("parts", F.lit(1))
+        rows = rows.join(crowded, ["k", "v"], "left").withColumn("p", F.pmod(F.xxhash64("hi", "lo"), parts).cast("int")).drop("parts")
+        probes = probes.join(crowded, ["k", "v"], "left").withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    differ = (F.col("hi").bitwiseXOR(F.col("qhi")), F.col("lo").bitwiseXOR(F.col("qlo")))
+    first = F.coalesce(*[F.when(F.bit_count(_block(*differ, a, b)) <= reach, F.lit(k)) for k, (a, b, reach) in enumerate(tables)])
+    met = rows.join(probes, ["k", "v", "p"]).where(F.bit_count(differ[0]) + F.bit_count(differ[1]) <= radius).where(first == F.col("k"))
     # stored, so that the join stands apart from the sum and Spark can split a fingerprint that many rows have
-    found = stored(found.groupBy("hi", "lo").agg((F.sum("n") - 1).alias("_n")), "within")
-    return prints.join(found, ["hi", "lo"], "left").withColumn("n_within", F.when(asked, F.col("_n"))).select(*prints.columns, "n_within")
+    found = met.groupBy(F.col("qhi").alias("hi"), F.col("qlo").alias("lo")).agg((F.sum("n") - 1).alias("_n"))
+    return prints.join(stored(found, "within"), ["hi", "lo"], "left").withColumn("n_within", F.when(asked, F.col("_n"))).select(*prints.columns, "n_within")

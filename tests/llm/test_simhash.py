@@ -107,8 +107,16 @@ def test_recall(spark):
     assert sum(got.values()) >= 0.97 * len(texts) and max(got.values()) == 1
 
 
-def test_tiles(spark):
-    """Small tiles, copies and ids that are null against brute force."""
+def test_block_reach():
+    """No pair within the radius can differ by more than the reach in every block; blocks cover all bits."""
+    for radius, blocks in ((20, 9), (20, 8), (3, 4), (12, 5), (0, 1), (2, 6)):
+        tables = S.block_reach(radius, blocks)
+        assert sum(reach + 1 for _, _, reach in tables) == radius + 1 and len(tables) == min(blocks, radius + 1)
+        assert all(reach >= 0 and a < b for a, b, reach in tables)
+
+
+def test_block_tables(spark):
+    """Few and many blocks, crowded keys, copies and ids that are null against brute force."""
     rng = random.Random(9)
     base = [rng.getrandbits(128) for _ in range(8)]
     prints = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(128), rng.randint(0, 14))) for _ in range(120)] + base * 3 + [0, 0]
@@ -116,6 +124,20 @@ def test_tiles(spark):
     rows = [(i, signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in enumerate(prints)] + [(None, 0, 0)]
     df = spark.createDataFrame(rows, "doc_id long, hi long, lo long")
     every = [*prints, 0]
-    for tile, asked in ((7, 3), (1000, 1000)):
-        got = sorted((str(r.doc_id), r.n_within) for r in S.with_neighbours(df, F.col("doc_id") % 2 == 0, tile=tile, asked_tile=asked).collect() if r.doc_id is not None and r.doc_id % 2 == 0)
+    for blocks, part in ((9, 7), (9, 1000), (8, 20)):
+        got = sorted((str(r.doc_id), r.n_within) for r in S.with_neighbours(df, F.col("doc_id") % 2 == 0, blocks=blocks, part=part).collect() if r.doc_id is not None and r.doc_id % 2 == 0)
         assert got == sorted((str(i), sum((p ^ q).bit_count() <= S.RADIUS for q in every) - 1) for i, p in enumerate(prints) if i % 2 == 0)
+
+
+def test_string_ids_and_few_comparisons(spark):
+    """Ids of any type; of random fingerprints few meet in a table."""
+    rng = random.Random(10)
+    prints = [rng.getrandbits(128) for _ in range(2000)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(128), 20)) for p in prints[:40]]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(f"d{i}", signed(p >> 64), signed(p & (1 << 64) - 1)) for i, p in enumerate(prints)], "doc_id string, hi long, lo long")
+    got = {r.doc_id: r.n_within for r in S.with_neighbours(df, F.col("doc_id").endswith("7")).collect()}
+    assert got == {f"d{i}": sum((p ^ q).bit_count() <= S.RADIUS for q in prints) - 1 if i % 10 == 7 else None for i, p in enumerate(prints)}
+    cut = lambda p, a, b: (p >> (128 - b)) & ((1 << (b - a)) - 1)
+    met = sum(any((cut(p, a, b) ^ cut(q, a, b)).bit_count() <= r for a, b, r in S.block_reach(S.RADIUS, S.BLOCKS)) for p in prints[:50] for q in prints)
+    assert met < 0.04 * 50 * len(prints)
