@@ -187,7 +187,8 @@ def with_neighbours(prints: DataFrame, asked: Column, radius: int = RADIUS, bloc
         probes = probes.join(crowded, ["k", "v"], "left").withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     differ = (F.col("hi").bitwiseXOR(F.col("qhi")), F.col("lo").bitwiseXOR(F.col("qlo")))
     first = F.coalesce(*[F.when(F.bit_count(_block(*differ, a, b)) <= reach, F.lit(k)) for k, (a, b, reach) in enumerate(tables)])
-    met = rows.join(probes, ["k", "v", "p"]).where(F.bit_count(differ[0]) + F.bit_count(differ[1]) <= radius).where(first == F.col("k"))
+    # merged: the size that Spark expects of the searches leaves out how many values each is sought under, so it might broadcast them
+    met = rows.join(probes.hint("merge"), ["k", "v", "p"]).where(F.bit_count(differ[0]) + F.bit_count(differ[1]) <= radius).where(first == F.col("k"))
     # stored, so that the join stands apart from the sum and Spark can split a fingerprint that many rows have
     found = met.groupBy(F.col("qhi").alias("hi"), F.col("qlo").alias("lo")).agg((F.sum("n") - 1).alias("_n"))
     return prints.join(stored(found, "within"), ["hi", "lo"], "left").withColumn("n_within", F.when(asked, F.col("_n"))).select(*prints.columns, "n_within")
