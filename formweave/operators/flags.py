@@ -95,3 +95,12 @@ def verdicts(df: DataFrame, flags: Flags, keep: list[str], t: Thresholds = DEFAU
     return d.select(
         *keep, F.when(F.col("n_critical") + F.col("n_blocking") > 0, "LOW").when(F.col("n_warning") > 0, "MEDIUM").otherwise("HIGH").alias("confidence"),
         *counts, confidence.alias("document_confidence"), ((confidence < t.review_document_score) | low).alias("needs_review"))
+
+
+def review_hints(df: DataFrame, flags: Flags) -> DataFrame:
+    """Review items per code and hint: one sum per code, added up in every task before anything is shuffled."""
+    codes = list(dict.fromkeys(x.code for x in flags.rules))
+    d = flags.settled(df).agg(*[F.sum(flags.split("review", c)).alias(c) for c in codes])
+    hint = lambda c: F.lit(V.EDIT_HINTS.get(c, V.DEFAULT_HINT))
+    rows = F.array(*[F.struct(F.lit(c).alias("code"), hint(c).alias("edit_hint"), F.col(c).alias("n")) for c in codes])
+    return d.select(F.inline(rows)).where(F.col("n") > 0)
