@@ -1,6 +1,7 @@
 """Versioned document ledger as a segmented scan over the submission log.
 
-A ledger document is one (client, document type). Its running state (upload count, version, carried
+A ledger document is one (client, document type). Its number is short (32 bits), so two documents may share one:
+state is kept per client and type, never per number alone. Its running state (upload count, version, carried
 values) is a prefix computation in time order. A plain window would put all submissions of a document
 into one task, and one busy document, or one bulk load of it within an hour, can hold a large share of the
 log. So the log is cut by rank: ranges of (document, time, sequence) that hold about as many rows each are
@@ -19,6 +20,7 @@ from ..session import shared_dir
 
 CARRIED = ["cpa", "due_date", "confidence_score", "local_json_path", "client_id"]
 OVERWRITTEN = ["stage", "status", "provider", "description", "tax_year"]
+DOCUMENT = ["document_id", "client_key", "document_type"]  # what a document is known by; the number alone may stand for two
 COLUMNS = {
     "provider": "string", "description": "string", "source": "string", "tax_year": "int", "stage": "string",
     "status": "string", "cpa": "string", "due_date": "string", "confidence_score": "double",
@@ -43,7 +45,7 @@ def content_text(name: Column) -> Column:
 
 
 def document_id(client_key: Column, document_type: Column) -> Column:
-    """Stable identifier of a (client, document type)."""
+    """Stable number of a (client, document type); of a few hundred thousand documents some share theirs."""
     return F.concat(F.lit("DOC-"), F.upper(F.left(F.sha2(F.concat_ws("|", client_key, document_type), 256), F.lit(8))))
 
 
@@ -95,8 +97,8 @@ def history(prepared: DataFrame, chunk: str = "rows", prior: DataFrame | None =
     ``prior`` is an earlier ledger state (see ``running_state``); it enters as the oldest chunk total of its
     document, so a stream can continue where the last batch ended.
     """
-    key = ["document_id", "chunk"]
-    d = _chunked(prepared, ["document_id"], chunk).withColumn("at", F.struct("ts", "seq"))
+    key = [*DOCUMENT, "chunk"]
+    d = _chunked(prepared, DOCUMENT, chunk).withColumn("at", F.struct("ts", "seq"))
     submit = F.col("kind") == "submit"
     # the client name is constant per document up to case, so it does not take part in the comparison
     sig = F.when(submit, F.to_json(F.struct("source", "stage", "status", "tax_year"), {"ignoreNullFields": "false"}))
@@ -121,10 +123,10 @@ def history(prepared: DataFrame, chunk: str = "rows", prior: DataFrame | None =
         F.max_by("sig", F.when(submit, F.col("at"))).alias("last_sig"), *[latest(c) for c in CARRIED])
     if prior is not None:
         totals = totals.unionByName(prior.select(
-            "document_id", F.lit(-(1 << 63)).cast("long").alias("chunk"), F.col("upload_count").alias("n"),
+            *DOCUMENT, F.lit(-(1 << 63)).cast("long").alias("chunk"), F.col("upload_count").alias("n"),
             (F.col("version") - 1).alias("n_chg"), F.col("sig").alias("first_sig"), F.col("sig").alias("last_sig"),
             *[F.col(c).alias(f"p_{c}") for c in CARRIED]))
-    cw = Window.partitionBy("document_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    cw = Window.partitionBy(*DOCUMENT).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("before_sig", F.last("last_sig", ignorenulls=True).over(cw)).withColumn(
         "first_chg", (F.col("first_sig").isNotNull() & ~F.col("first_sig").eqNullSafe(F.col("before_sig"))).cast("long"))
     totals = totals.select(
@@ -148,11 +150,11 @@ def history(prepared: DataFrame, chunk: str = "rows", prior: DataFrame | None =
 def running_state(hist: DataFrame) -> DataFrame:
     """What a later batch needs to continue: counters, last content, carried values, newest event time."""
     submit = F.col("kind") == "submit"
-    g = hist.groupBy("document_id").agg(
+    g = hist.groupBy(*DOCUMENT).agg(
         F.max("upload_count").alias("upload_count"), F.max("version").alias("version"),
         F.max_by("sig", F.when(submit, F.col("at"))).alias("sig"), F.max_by(F.struct(*CARRIED), "at").alias("kept"),
         F.max_by("status", "at").alias("status"), F.max("ts").alias("last_ts"))
-    return g.select("document_id", "upload_count", "version", "sig", "kept.*", "status", "last_ts")
+    return g.select(*DOCUMENT, "upload_count", "version", "sig", "kept.*", "status", "last_ts")
 
 
 def canonical_names(prepared: DataFrame) -> DataFrame:
@@ -165,9 +167,8 @@ def current(hist: DataFrame) -> DataFrame:
     """Latest state per document: first source, last stage/status/etc., carried values, counters."""
     submit = F.col("kind") == "submit"
     at, sub_at = F.col("at"), F.when(submit, F.col("at"))
-    agg = hist.groupBy("document_id").agg(
-        F.min_by("client_name", sub_at).alias("client_name"), F.min_by("client_key", sub_at).alias("client_key"),
-        F.min_by("document_type", sub_at).alias("document_type"), F.min_by(F.struct("source"), sub_at).alias("src"),
+    agg = hist.groupBy(*DOCUMENT).agg(
+        F.min_by("client_name", sub_at).alias("client_name"), F.min_by(F.struct("source"), sub_at).alias("src"),
         F.max_by(F.struct(*[c for c in OVERWRITTEN if c != "status"]), sub_at).alias("last"),
         F.max_by("status", at).alias("status"), F.max_by(F.struct(*CARRIED), at).alias("kept"),
         F.max("upload_count").alias("upload_count"), F.max("version").alias("version"))
@@ -213,7 +214,7 @@ def audit_trail(hist: DataFrame) -> DataFrame:
 
 def escalate(ledger: DataFrame, escalations: DataFrame) -> DataFrame:
     """Link escalations to ledger documents: by id, else by exact client name and document type."""
-    by_id = ledger.select(F.col("document_id"), F.lit(True).alias("id_hit"))
+    by_id = ledger.select("document_id", F.lit(True).alias("id_hit")).distinct()
     by_name = ledger.groupBy("client_name", "document_type").agg(F.min("document_id").alias("name_hit"))
     j = escalations.join(by_id, "document_id", "left").join(by_name, ["client_name", "document_type"], "left")
     linked = F.when(F.col("id_hit"), F.col("document_id")).otherwise(F.col("name_hit"))
@@ -253,6 +254,7 @@ def as_of(hist: DataFrame, when: Column) -> DataFrame:
     return current(hist.where(F.col("ts") <= when))
 
 
+
 def with_previous(events: DataFrame, key: str, value: str, chunk: str = "rows") -> DataFrame:
     """Add ``prev``: the ``value`` of the event before, by (ts, seq); same chunked scan as the ledger."""
     cols = events.columns

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ledger as L
 
-STATE_COLUMNS = "document_id string, upload_count bigint, version bigint, sig string, cpa string, due_date string, confidence_score double, local_json_path string, client_id string, status string, last_ts timestamp"
+STATE_COLUMNS = "document_id string, client_key string, document_type string, upload_count bigint, version bigint, sig string, cpa string, due_date string, confidence_score double, local_json_path string, client_id string, status string, last_ts timestamp"
 BUCKETS = 16
 
 
@@ -46,7 +46,8 @@ class LedgerStream:
         if buckets is not None:
             d = d.where(F.col("bucket").isin(buckets))
         cols = [c.split()[0] for c in STATE_COLUMNS.split(", ")]
-        return d.groupBy("document_id").agg(F.max_by(F.struct(*cols[1:]), "batch").alias("r")).select("document_id", "r.*")
+        rest = [c for c in cols if c not in L.DOCUMENT]
+        return d.groupBy(*L.DOCUMENT).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*L.DOCUMENT, "r.*")
 
     def _write(self, df: DataFrame, kind: str, number: int) -> None:
         df.withColumn("bucket", _bucket()).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{kind}/batch={number}")
@@ -59,15 +60,15 @@ class LedgerStream:
         buckets = sorted(r[0] for r in batch.select(_bucket()).distinct().collect())  # BUCKETS numbers at most
         old, again = self.state(spark, number, buckets), None
         if old is not None:
-            old = old.join(batch.select("document_id").distinct(), "document_id", "left_semi")
-            behind = batch.join(old.select("document_id", "last_ts"), "document_id").where("ts is null or ts <= last_ts").select("document_id").distinct()
+            old = old.join(batch.select(*L.DOCUMENT).distinct(), L.DOCUMENT, "left_semi")
+            behind = batch.join(old.select(*L.DOCUMENT, "last_ts"), L.DOCUMENT).where("ts is null or ts <= last_ts").select(*L.DOCUMENT).distinct()
             behind.write.mode("overwrite").parquet(f"{self.path}/behind/batch={number}")
-            behind = spark.read.schema("document_id string").parquet(f"{self.path}/behind/batch={number}")
+            behind = spark.read.schema("document_id string, client_key string, document_type string").parquet(f"{self.path}/behind/batch={number}")
             if not behind.isEmpty():
                 log = spark.read.option("basePath", f"{self.path}/events").parquet(*[f"{self.path}/events/batch={b}" for b in range(number + 1)])
                 log = log.where(F.col("bucket").isin(buckets)).select(*columns)
-                again = L.history(log.join(behind, "document_id", "left_semi"), self.chunk).withColumn("rewrite", F.lit(True))
-            batch, old = batch.join(behind, "document_id", "left_anti"), old.join(behind, "document_id", "left_anti")
+                again = L.history(log.join(behind, L.DOCUMENT, "left_semi"), self.chunk).withColumn("rewrite", F.lit(True))
+            batch, old = batch.join(behind, L.DOCUMENT, "left_anti"), old.join(behind, L.DOCUMENT, "left_anti")
         hist = L.history(batch, self.chunk, old).withColumn("rewrite", F.lit(False))
         if again is not None:
             hist = hist.unionByName(again)
@@ -79,7 +80,7 @@ class LedgerStream:
         if number > 0 and number % self.every == 0:
             full = self.state(spark, number)
             newer = spark.read.schema(STATE_COLUMNS).parquet(f"{self.path}/state/batch={number}").select(*names)
-            self._write(full.join(newer.select("document_id"), "document_id", "left_anti").unionByName(newer), "full", number)
+            self._write(full.join(newer.select(*L.DOCUMENT), L.DOCUMENT, "left_anti").unionByName(newer), "full", number)
 
     def start(self, submissions: DataFrame, **trigger):
         """Run over a streaming DataFrame of raw submissions."""
@@ -90,6 +91,6 @@ class LedgerStream:
     def history(self, spark: SparkSession) -> DataFrame:
         """History of all documents; of a document that was run again, what came before is replaced."""
         every = spark.read.option("basePath", f"{self.path}/history").parquet(f"{self.path}/history")
-        since = every.where("rewrite").groupBy("document_id").agg(F.max("batch").alias("since"))
-        kept = every.join(since, "document_id", "left").where("since is null or batch >= since")
+        since = every.where("rewrite").groupBy(*L.DOCUMENT).agg(F.max("batch").alias("since"))
+        kept = every.join(since, L.DOCUMENT, "left").where("since is null or batch >= since")
         return kept.drop("since", "rewrite", "bucket")
