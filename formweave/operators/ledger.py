@@ -254,6 +254,11 @@ def as_of(hist: DataFrame, when: Column) -> DataFrame:
     return current(hist.where(F.col("ts") <= when))
 
 
+def numbers_as_of(hist: DataFrame, when: Column) -> DataFrame:
+    """State of each document number at a point in time; documents that share a number give the latest status and the highest counters."""
+    return hist.where(F.col("ts") <= when).groupBy("document_id").agg(
+        F.max_by("status", "at").alias("status"), F.max("upload_count").alias("upload_count"), F.max("version").alias("version"))
+
 
 def with_previous(events: DataFrame, key: str, value: str, chunk: str = "rows") -> DataFrame:
     """Add ``prev``: the ``value`` of the event before, by (ts, seq); same chunked scan as the ledger."""
