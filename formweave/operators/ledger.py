@@ -68,8 +68,10 @@ def prepare(submissions: DataFrame) -> DataFrame:
 
 
 def status_updates(updates: DataFrame, like: DataFrame) -> DataFrame:
-    """Status events (document_id, status, ts, seq) shaped like prepared submissions."""
-    u = updates.withColumn("kind", F.lit("status"))
+    """Status events (document_id, status, ts, seq) shaped like prepared submissions, on the document among them that had the number first."""
+    first = F.min_by(F.struct(*DOCUMENT[1:]), F.struct("ts", "seq"))
+    owners = like.where("kind = 'submit'").groupBy("document_id").agg(first.alias("_own")).select("document_id", "_own.*")
+    u = updates.join(owners, "document_id", "left").withColumn("kind", F.lit("status"))
     missing = [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns if c not in u.columns]
     return u.select(*[c for c in u.columns if c in like.columns], *missing).select(like.columns)
 
